@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Code points of Unicode's White_Space, which the vocabulary's regular expressions mean by \s.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_alphabet() -> list[str]:
