@@ -31,9 +31,16 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_warc": op5_warc,
+    "op8_quality": op8_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
