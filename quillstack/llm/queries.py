@@ -37,9 +37,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_duplicate_lines
+
+    return drop_duplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_warc": op5_warc,
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality": op8_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
