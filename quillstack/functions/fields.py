@@ -27,7 +27,7 @@ def absolute_url(base: Text, href: Text) -> Column:
     """URL-02."""
     h = F.trim(blank(href))
     root = F.regexp_extract(blank(base), r"^([a-z]+://[^/]+)", 1)
-    return F.when(h.rlike("(?i)^[a-z][a-z0-9+.-]*:"), h).when(h.startswith("/"), F.concat(root, h)).otherwise(F.concat(F.regexp_replace(blank(base), "/*$", "/"), h))
+    return F.when(h.rlike("(?i)^[a-z][a-z0-9+.-]*:"), h).when(h.startswith("/"), F.concat(root, h)).otherwise(F.concat(F.regexp_replace(blank(base), "/+$", ""), F.lit("/"), h))
 
 
 def pick_paper_url(candidates: Column) -> Column:
@@ -190,7 +190,7 @@ def merged_arrays(*arrays: Column) -> Column:
 
 def csv_values(c: Text) -> Column:
     """ARR-03."""
-    return F.filter(F.transform(F.split(blank(c), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(blank(c), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 PARTS = ("talk", "slides", "video", "paper")

@@ -185,7 +185,7 @@ def paragraphs(c: Text) -> Column:
     blocks = F.filter(F.split(normalize_body(c), "\n{2,}"), lambda b: F.trim(b) != "")
 
     def block(b: Column) -> Column:
-        lines = F.filter(F.transform(F.split(b, "\n"), F.trim), lambda x: x != "")
+        lines = F.filter(F.transform(F.split(b, "\n"), lambda x: F.trim(x)), lambda x: x != "")
         kind = F.when(F.forall(lines, lambda x: x.rlike("^[-*•]\\s")), "bullets").when(F.forall(lines, lambda x: x.rlike("^\\d+[.)]\\s")), "numbers").otherwise("text")
         return F.struct(kind.alias("kind"), F.transform(lines, lambda x: F.when(kind == "text", x).otherwise(F.regexp_replace(x, "^([-*•]|\\d+[.)])\\s+", ""))).alias("lines"))
 

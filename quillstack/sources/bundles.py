@@ -107,7 +107,7 @@ def seeds(spark: SparkSession, path: str) -> DataFrame:
     """(canonical, alias) of lines `canonical` or `canonical:alias,alias`, # starting comments (SRC-23)."""
     t = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> '' and not startswith(v, '#')")
     name = F.trim(F.element_at(F.split("v", ":"), 1))
-    rest = F.filter(F.transform(F.split(F.regexp_replace("v", "^[^:]*:?", ""), ","), F.trim), lambda x: x != "")
+    rest = F.filter(F.transform(F.split(F.regexp_replace("v", "^[^:]*:?", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
     return t.select(name.alias("canonical"), F.explode(F.array_distinct(F.concat(F.array(name), rest))).alias("alias"))
 
 
