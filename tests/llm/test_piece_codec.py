@@ -1,4 +1,9 @@
+import random
+import struct
+
+import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 
 from quillstack.llm.piece_codec import PieceModel, decode, encode
@@ -12,8 +17,6 @@ TEXTS = [
 
 def test_equals_library():
     own, lib = PieceModel(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
-    import numpy as np
-
     got = [np.frombuffer(x, "<i4").tolist() for x in own.encode(TEXTS)]
     assert got == lib.encode(TEXTS)
     assert [own.decode(x) for x in got] == [lib.decode(x) for x in got]
@@ -34,3 +37,37 @@ def test_table(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r.doc_id: r.ids for r in encode(d, PATH).collect()}
     assert got == {r.doc_id: lib.encode(r.text or "") for r in d.collect()}
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out += bytes([n & 127 | 128])
+        n >>= 7
+    return out + bytes([n])
+
+
+def field(number, value):
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+@pytest.mark.parametrize("squeeze", [0, 1])
+def test_unigram_model_made_by_hand(tmp_path, squeeze):
+    r = random.Random(2)
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", -20.0, 6) for i in range(256)]
+    words = {"▁"} | {c for c in "abcdeé"} | {"".join(r.choice("abcdeé") for _ in range(r.randint(2, 4))) for _ in range(60)}
+    pieces += [(w, -round(r.uniform(1, 12), 3), 1) for w in sorted(words | {"▁" + w for w in words if "▁" not in w})]
+    raw = b"".join(field(1, field(1, p) + field(2, s) + field(3, k)) for p, s, k in pieces)
+    raw += field(2, field(3, 1) + field(35, 1)) + field(3, field(1, "identity") + field(3, 1) + field(4, squeeze) + field(5, 1))
+    path = tmp_path / "m.model"
+    path.write_bytes(raw)
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=str(path)), PieceModel(str(path))
+    texts = ["", "abcde", "a  bé", " x🙂y ", "".join(r.choice("abcdeé ") for _ in range(300))]
+    got = [np.frombuffer(x, "<i4").tolist() for x in own.encode(texts)]
+    assert got == lib.encode(texts)
+    assert [own.decode(x) for x in got] == [lib.decode(x) for x in got]
