@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions import fields as fl
@@ -38,7 +38,13 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-TITLE = F.element_at(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), 1)
+
+
+def title() -> Column:
+    """A document's first line."""
+    return F.element_at(F.split(tx.blank("text"), "\n"), 1)
+
+
 SQL_TITLE = "split_part(coalesce(text, ''), chr(10), 1)"
 SQL_SPLIT = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9+#.]+'), lambda x: length(x) >= 2)"
 #: (topic, r) of a document's distinct tokens, numbered by first occurrence.
@@ -52,7 +58,7 @@ SQL_TOPICS = f"""
 
 
 def _fields() -> dict:
-    return {"title": TITLE, "abstract": F.col("text"), "meeting": F.col("source"), "category": F.col("lang")}
+    return {"title": title(), "abstract": F.col("text"), "meeting": F.col("source"), "category": F.col("lang")}
 
 
 @query(f"""
@@ -292,8 +298,8 @@ def identity_dedupe_exact(spark: SparkSession, sf: str) -> DataFrame:
 """)
 def identity_components(spark: SparkSession, sf: str) -> DataFrame:
     """ER-01, ER-02, JON-17, KEY-13."""
-    title = ky.title_key(TITLE)
-    keys = F.array_compact(F.array(F.concat(F.lit("text:"), F.md5(tx.blank("text").cast("binary"))), F.when(title != "", F.concat(F.lit("title:"), title))))
+    head = ky.title_key(title())
+    keys = F.array_compact(F.array(F.concat(F.lit("text:"), F.md5(tx.blank("text").cast("binary"))), F.when(head != "", F.concat(F.lit("title:"), head))))
     from quillstack.operators.graph import key_components
 
     return key_components(t(spark, sf, "documents").select("doc_id", keys.alias("keys")), "doc_id", "keys")
@@ -490,7 +496,7 @@ def token_sets(spark: SparkSession, sf: str) -> DataFrame:
 """)
 def record_keys(spark: SparkSession, sf: str) -> DataFrame:
     """KEY-01, KEY-03, KEY-14."""
-    return t(spark, sf, "documents").select("doc_id", ky.title_key(TITLE).alias("title_key"), ky.alnum_key(TITLE).alias("alnum_key"), ky.slugify(TITLE).alias("slug"))
+    return t(spark, sf, "documents").select("doc_id", ky.title_key(title()).alias("title_key"), ky.alnum_key(title()).alias("alnum_key"), ky.slugify(title()).alias("slug"))
 
 
 @query("""
@@ -638,7 +644,7 @@ def html_best_titles(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def mined_keywords(spark: SparkSession, sf: str) -> DataFrame:
     """KWX-04 to KWX-08, AGG-16."""
-    return keywords.mined_keywords(t(spark, sf, "benchmark").withColumn("title", TITLE), "item_id", "title", "text")
+    return keywords.mined_keywords(t(spark, sf, "benchmark").withColumn("title", title()), "item_id", "title", "text")
 
 
 @query("""
