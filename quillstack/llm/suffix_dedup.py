@@ -12,7 +12,7 @@ are never compared across buckets.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_scratch, staged
 
-PIECE = 1 << 21  # window starts worked on at a time
-BITS = 22  # of a place within a piece and its margin
+PIECE = 1 << 19  # window starts worked on at a time
+BITS = 20  # of a place within a piece and its margin
 HOT = 4096  # members from which a bucket's windows are counted over the cluster
 BASE = 0x9E3779B97F4A7C15
 M31 = np.uint64(31)
@@ -125,7 +125,7 @@ def packed(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([z.compress(t) for t in b.column(3).to_pylist()], pa.binary())], names=["d", "h", "id", "t"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([z.compress(t.as_py()) for t in b.column(3)], pa.binary())], names=["d", "h", "id", "t"])
 
     return rows.mapInArrow(run, f"d long, h int, id {kind}, t binary")
 
@@ -142,7 +142,7 @@ def runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], cut])], starts[np.concatenate([cut - 1, [len(starts) - 1]])]
 
 
-def _batches_of(rows: list, most: int, size) -> Iterator[list]:
+def _batches_of(rows: Iterable, most: int, size) -> Iterator[list]:
     some, held = [], 0
     for r in rows:
         some.append(r)
@@ -159,7 +159,7 @@ def anchor_table(rows: DataFrame, length: int, gram: int) -> DataFrame:
         for b in batches:
             d, h = b.column(0).to_numpy(), b.column(1).to_numpy()
             at = 0
-            for some in _batches_of(b.column(2).to_pylist(), PIECE, len):
+            for some in _batches_of((t.as_py() for t in b.column(2)), PIECE, len):
                 w, place, back, forth, bucket, whole = anchors(some, length, gram)
                 for lo in range(0, len(w), 200_000):
                     x = slice(lo, lo + 200_000)
@@ -179,7 +179,7 @@ def contexts(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
     both = docs.select("d", "h", "t").join(lists, ["d", "h"]).select("d", "h", "t", "anchors").dropDuplicates(["d", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, 200) for b in batches for at in range(0, b.num_rows, 200)):
             for d, h, t, some in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 t = unpacked(t)
                 for lo in range(0, len(some), 20_000):
@@ -302,14 +302,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     extra = ", kept binary" if with_text else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             out = []
             for t, lo, hi in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
                 t = unpacked(t)
                 spans = merged(lo, hi) if lo else []
                 ends = [0, *(x for s in spans for x in s), len(t)]
                 kept = b"".join(t[ends[i] : ends[i + 1]] for i in range(0, len(ends), 2))
-                out.append((len(t), len(t) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"lo": x, "hi": y} for x, y in spans], kept))
+                out.append((len(t), len(t) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"lo": x, "hi": y} for x, y in spans], kept if with_text else b""))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             span = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
             arrays = [b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.binary()), strict=True))]
