@@ -45,10 +45,13 @@ def deletion_keys(line: str) -> tuple[int, np.ndarray]:
 def part_keys(line: Column, parts: int) -> Column:
     """Hashes of the line with each of `parts` equal parts left out, for its own length and one less."""
     n = F.length(line)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(2 * parts - 1)),
-        lambda i: (lambda m, j: F.xxhash64(m, j, F.left(line, F.floor(j * m / parts).cast("int")), F.right(line, m - F.floor((j + 1) * m / parts).cast("int"))))(n - i % 2, F.floor(i / 2).cast("int")),
-    )
+
+    def key(m: Column, j: Column | int) -> Column:
+        return F.xxhash64(m, F.lit(j) if isinstance(j, int) else j, F.left(line, F.floor(j * m / parts).cast("int")), F.right(line, m - F.floor((j + 1) * m / parts).cast("int")))
+
+    if parts <= 2:  # few enough to be compiled one by one
+        return F.array(*(key(n - less, j) for less in (0, 1) for j in range(parts)))
+    return F.transform(F.sequence(F.lit(0), F.lit(2 * parts - 1)), lambda i: key(n - i % 2, F.floor(i / 2).cast("int")))
 
 
 def shared_only(lines: DataFrame, parts: int) -> DataFrame:
@@ -76,18 +79,20 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     places = staged(lines.select("d", "i", "h"), "lines")
     first = places.groupBy("h").agg(F.min(F.struct("d", "i")).alias("p"))
     if max_edits:
-        fuzzy = staged(_later_of_near(lines, min_chars), "lines-near")
+        fuzzy = staged(_later_of_near(lines, places), "lines-near")
         first = first.join(fuzzy, "h", "left").withColumn("near", F.coalesce("near", F.lit(False)))
     else:
         first = first.withColumn("near", F.lit(False))
     return places.join(first, "h").where(F.col("near") | (F.struct("d", "i") != F.col("p"))).select("d", "i", "h")
 
 
-def _later_of_near(lines: DataFrame, min_chars: int) -> DataFrame:
+def _later_of_near(lines: DataFrame, places: DataFrame) -> DataFrame:
     """(h, near = true) of distinct lines whose first place comes after that of another line one edit away."""
-    coarse = staged(lines.select("d", "i", "h", F.explode(part_keys(F.col("line"), 2)).alias("k")).groupBy("k", "h").agg(F.min(F.struct("d", "i")).alias("p")), "lines-coarse")
+    # k before p: the aggregation on keys needs numbers only, and first places are asked of what is left
+    coarse = staged(lines.select("h", F.explode(part_keys(F.col("line"), 2)).alias("k")), "lines-coarse")
     met = coarse.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("k")
-    some = coarse.join(met, "k", "left_semi").groupBy("h").agg(F.min("p").alias("p")).select("h", "p.d", "p.i")
+    left = coarse.join(met, "k", "left_semi").select("h").distinct()
+    some = places.join(left, "h", "left_semi").groupBy("h").agg(F.min(F.struct("d", "i")).alias("p")).select("h", "p.d", "p.i")
     texts = staged(lines.join(some, ["h", "d", "i"], "left_semi").dropDuplicates(["h"]), "lines-texts")
     texts = staged(texts.join(shared_only(texts, 16), "h", "left_semi"), "lines-close")
 
