@@ -5,10 +5,15 @@ each pivot, the vectors that have it among theirs; two vectors meet in the lists
 share, are candidates if they share at least `shared`, and are verified by their cosine in double
 precision.  A list works on blocks of bounded size and returns sums and a spanning forest of the links
 it found, never the pairs, so its output is linear in its members.
+
+How many pivots and nearest ones are needed depends on the data: where many vectors lie close together,
+so do pivots, and two neighbours share few of them.  So both are chosen by the recall measured on a
+sample of vectors, dense places apart (see calibrated).
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import components, staged
 
+#: Share of the links that the index must find in each of STRATA equal parts, by density, of a sample of SAMPLE vectors.
+RECALL, SAMPLE, STRATA = 0.95, 2048, 8
+#: Multiples of `near` that are tried before the number of pivots is halved.
+WIDER = (1, 1.5, 2, 3, 4)
+#: Real links looked at for each vector of the sample, and how many a part must have to be judged by them.
+PARTNERS, ENOUGH = 8, 20
+log = logging.getLogger(__name__)
+
 
 def usable(vector: str):
     """True where the vector has a direction: not null or empty, all components finite, not all zero."""
@@ -43,8 +56,82 @@ def fit_pivots(vectors: DataFrame, n_pivots: int, seed: int = 17) -> dict[int, n
     return out
 
 
-def nearest_pivots(vectors: DataFrame, pivots: dict[int, np.ndarray], near: int) -> DataFrame:
-    """(key, w, v, dim, pivots): each vector with its nearest pivots, in ascending order of their numbers."""
+def sampled_links(vectors: DataFrame, sample: dict[int, np.ndarray], least: float) -> dict[int, list[tuple[int, np.ndarray]]]:
+    """{dimension: [(place in sample, partners)]}: by brute force over all vectors, up to PARTNERS links of each vector of the sample."""
+    shared = vectors.sparkSession.sparkContext.broadcast(sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[tuple[int, list[float]]]] = {}
+        for b in batches:
+            dims = np.diff(b.column(1).offsets.to_numpy())
+            for dim in np.unique(dims):
+                some = b.filter(pa.array(dims == dim))
+                u, key, s = units(some.column(1), int(dim)), some.column(0).to_numpy(), shared.value[int(dim)]
+                for lo in range(0, len(s), 256):
+                    c = s[lo : lo + 256] @ u.T
+                    for i in np.flatnonzero((c >= least).any(axis=1)):
+                        j = np.flatnonzero((c[i] >= least) & (c[i] < 1 - 1e-12))
+                        j = j[np.argsort(key[j])[:PARTNERS]]
+                        at = (int(dim), lo + int(i))
+                        held[at] = sorted(held.get(at, []) + [(int(key[x]), u[x].tolist()) for x in j])[:PARTNERS]
+        rows = [(d, i, k, v) for (d, i), some in held.items() for k, v in some]
+        for lo in range(0, len(rows), 4096):
+            d, i, k, v = zip(*rows[lo : lo + 4096], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int32()), pa.array(i, pa.int32()), pa.array(k, pa.int64()), pa.array(v, pa.list_(pa.float64()))], names=["dim", "i", "key", "v"])
+
+    found = vectors.select("key", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "dim int, i int, key long, v array<double>")
+    found = found.groupBy("dim", "i").agg(F.slice(F.sort_array(F.collect_list(F.struct("key", "v"))), 1, PARTNERS).alias("some"))
+    out: dict[int, list[tuple[int, np.ndarray]]] = {d: [] for d in sample}
+    for r in found.select("dim", "i", "some.v").collect():
+        out[r["dim"]].append((r["i"], np.array(r["v"])))
+    return out
+
+
+def width_needed(a: np.ndarray, b: np.ndarray, pivots: np.ndarray, shared: int) -> np.ndarray:
+    """For each pair of rows of a and b, how many nearest pivots both need to share `shared`."""
+    out = np.empty(len(a), dtype=np.int64)
+    for lo in range(0, len(a), 256):
+        ranks = [np.argsort(np.argsort(-(x[lo : lo + 256] @ pivots.T), axis=1), axis=1) for x in (a, b)]
+        out[lo : lo + 256] = np.partition(np.maximum(*ranks), shared - 1, axis=1)[:, shared - 1] + 1
+    return out
+
+
+def calibrated(vectors: DataFrame, pivots: dict[int, np.ndarray], near: int, shared: int, least: float, target: float = RECALL) -> dict[int, tuple[np.ndarray, int, int, float]]:
+    """{dimension: (pivots, near, shared, recall)}: the first choice whose recall is at least target in every part of the sample.
+
+    Links are those of the sample by brute force, and for each vector of it one made up at a cosine of
+    `least`, in a random direction.  Where no choice has it, one list holds all vectors, and no link is lost.
+    """
+    many = {d for d, p in pivots.items() if len(p) >= 2 * near}
+    sample = fit_pivots(vectors.where(F.size("v").isin(*many)), SAMPLE, seed=29) if many else {}
+    links = sampled_links(vectors.where(F.size("v").isin(*many)), sample, least) if many else {}
+    rng = np.random.default_rng(31)
+    out = {d: (p[:1], 1, 1, 1.0) for d, p in pivots.items()}
+    for dim, s in sample.items():
+        e = rng.normal(size=s.shape)
+        e -= (e * s).sum(axis=1, keepdims=True) * s
+        made = least * s + np.sqrt(1 - least**2) * e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)
+        at = np.array([i for i, v in links[dim] for _ in v], dtype=np.int64)
+        p = pivots[dim]
+        while len(p) >= 2 * near and out[dim][1] == 1:
+            dense = np.partition(-(s @ p.T), near - 1, axis=1)[:, near - 1]
+            part = np.empty(len(s), dtype=np.int64)
+            part[np.argsort(dense)] = np.arange(len(s)) * STRATA // len(s)
+            fake = width_needed(s, made, p, shared)
+            real = width_needed(s[at], np.concatenate([v for _, v in links[dim]]), p, shared) if len(at) else at
+            needed = [w for q in range(STRATA) for w, few in ((fake[part == q], 1), (real[part[at] == q], ENOUGH)) if len(w) >= few]
+            for k in (int(near * m) for m in WIDER):
+                recall = min(float((w <= k).mean()) for w in needed)
+                log.info("dimension %d, %d pivots, %d nearest, %d shared: recall %.3f in the worst part of the sample", dim, len(p), k, shared, recall)
+                if recall >= target and k <= len(p):
+                    out[dim] = p, k, shared, recall
+                    break
+            p = p[: len(p) // 2]
+    return out
+
+
+def nearest_pivots(vectors: DataFrame, pivots: dict[int, tuple[np.ndarray, int]]) -> DataFrame:
+    """(key, w, v, dim, pivots): each vector with its nearest pivots, in ascending order of their numbers; pivots: and how many, by dimension."""
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,8 +139,7 @@ def nearest_pivots(vectors: DataFrame, pivots: dict[int, np.ndarray], near: int)
             dims = np.diff(b.column(2).offsets.to_numpy())
             for dim in np.unique(dims):
                 some = b.filter(pa.array(dims == dim))
-                u, p = units(some.column(2), int(dim)), shared.value[int(dim)]
-                k = min(near, len(p))
+                u, (p, k) = units(some.column(2), int(dim)), shared.value[int(dim)]
                 best = []
                 for lo in range(0, len(u), 1024):
                     s = u[lo : lo + 1024] @ p.T
@@ -106,14 +192,15 @@ def forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         label = new
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, near: int = 12, shared: int = 2, list_size: int = 800, max_pivots: int = 8192, block: int = 1024) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, near: int = 12, shared: int = 1, list_size: int = 800, max_pivots: int = 8192, block: int = 1024) -> DataFrame:
     """One row per row of vectors: id, n_links, component_id and kept.
 
     n_links: other rows whose cosine with this one is at least `least`; component_id: the least id that
     links reach; kept: whether that is its own.  Rows without a direction (see usable) have no links, nor
     have vectors of different dimensions with each other.  Equal vectors are one entry of the index with
     a weight.  The pivots are a bounded sample (max_pivots at most, as many as make lists of about
-    list_size); every vector is indexed.  Lists longer than `block` are worked on in pairs of blocks.
+    list_size, and fewer, or more than `near` nearest ones, where the recall asks for it; see calibrated);
+    every vector is indexed.  Lists longer than `block` are worked on in pairs of blocks.
     A row without an id has component_id null and is kept.  Other columns are not read.
     """
     spark = vectors.sparkSession
@@ -122,10 +209,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     entries = staged(rows.where(good).groupBy("v").agg(F.min("id").alias("least_id"), F.count("*").alias("w")).select(F.xxhash64("v").alias("key"), "least_id", "w", "v"), "vec-entries")
     n = entries.count()
     n_pivots = int(min(max_pivots, max(16, n * near // list_size)))
-    pivots = fit_pivots(entries, n_pivots)
-    if shared > 1 and min((len(p) for p in pivots.values()), default=2) < 2 * near:
-        near, shared = max((len(p) for p in pivots.values()), default=1), 1  # so few vectors that each list can hold all
-    described = staged(nearest_pivots(entries, pivots, near), "vec-lists")
+    chosen = calibrated(entries, fit_pivots(entries, n_pivots), near, shared, least)
+    shares = {d: c[2] for d, c in chosen.items()}
+    described = staged(nearest_pivots(entries, {d: c[:2] for d, c in chosen.items()}), "vec-lists")
     posting = described.select("key", "w", "v", "dim", "pivots", F.explode("pivots").alias("p"))
     sizes = {(r["dim"], r["p"]): r["n"] for r in posting.groupBy("dim", "p").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()}
     chunks = F.create_map(*(F.lit(x) for (d, p), k in sizes.items() for x in (f"{d}/{p}", -(-k // block)))) if sizes else F.create_map().cast("map<string,int>")
@@ -139,7 +225,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         u = units(group.column("v"), dim)
         perm = group.column("pivots").combine_chunks().flatten().to_numpy().reshape(len(u), -1)
         key, w, c = (group.column(x).to_numpy() for x in ("key", "w", "c"))
-        pairs = list(linked_in_block(u, perm, c, a, b, pivot, shared, least))
+        pairs = list(linked_in_block(u, perm, c, a, b, pivot, shares[dim], least))
         links = np.zeros(len(u), dtype=np.int64)
         for x, y in pairs:
             np.add.at(links, x, w[y])

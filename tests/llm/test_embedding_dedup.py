@@ -62,3 +62,23 @@ def test_sql(spark):
     c = duckdb.connect()
     c.sql(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
     assert sorted(tuple(r) for r in op4_embedding_dedup(spark, sf).collect()) == sorted(c.sql(ORACLE_SQL["op4_embedding_dedup"]).fetchall())
+
+
+def test_dense_group(spark):
+    """A third of the vectors lie around one direction, so that neighbours share few of their nearest pivots."""
+    r = np.random.default_rng(8)
+    dim, n = 64, 3000
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    v = unit(np.sqrt(0.8) * unit(r.normal(size=dim)) + np.sqrt(0.2) * unit(r.normal(size=(n, dim))))
+    e = r.normal(size=(n, dim))
+    e = unit(e - (e * v).sum(axis=1, keepdims=True) * v)
+    u = np.concatenate([v, 0.905 * v + np.sqrt(1 - 0.905**2) * e, unit(r.normal(size=(2 * n, dim)))])
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(u)], "vec_id long, embedding array<double>")
+    got = {x.vec_id: x.n_links for x in near_duplicates(d, list_size=60).collect()}
+    s = u[: 2 * n] @ u[: 2 * n].T
+    want = (s >= 0.9).sum(axis=1) - 1
+    assert all(got[i] <= want[i] for i in range(2 * n))
+    assert sum(got[i] for i in range(2 * n)) >= 0.95 * want.sum() > 0
