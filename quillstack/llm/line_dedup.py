@@ -67,19 +67,20 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
     return lines.select("d", "i", F.trim("line").alias("line")).where(F.length("line") >= min_chars).withColumn("h", F.xxhash64("line"))
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 16) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 16, min_equal: int | None = None) -> DataFrame:
     """(d, i, h) of every line that has an earlier line within max_edits (0 or 1); d is the id, LAST for null.
 
     Earlier: a smaller (id, line number); rows without an id come last.  Lines are compared trimmed;
-    those of fewer than min_chars characters are never duplicates.
+    those of fewer than min_chars characters are never within one edit of others, and of fewer than
+    min_equal (min_chars if None) never duplicates.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    lines = line_table(docs, id_col, text_col, min_chars)
+    lines = line_table(docs, id_col, text_col, min_chars if min_equal is None else min_equal)
     places = staged(lines.select("d", "i", "h"), "lines")
     first = places.groupBy("h").agg(F.min(F.struct("d", "i")).alias("p"))
     if max_edits:
-        fuzzy = staged(_later_of_near(lines, places), "lines-near")
+        fuzzy = staged(_later_of_near(lines.where(F.length("line") >= min_chars), places), "lines-near")
         first = first.join(fuzzy, "h", "left").withColumn("near", F.coalesce("near", F.lit(False)))
     else:
         first = first.withColumn("near", F.lit(False))
@@ -125,14 +126,14 @@ def _later_of_near(lines: DataFrame, places: DataFrame) -> DataFrame:
     return near.select("h").distinct().withColumn("near", F.lit(True))
 
 
-def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 16, out_lines: str = "n_lines", out_removed: str = "n_removed") -> DataFrame:
+def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 16, min_equal: int | None = None, out_lines: str = "n_lines", out_removed: str = "n_removed") -> DataFrame:
     """docs with the later of duplicate lines (see duplicate_lines) taken out of the text; columns out_lines and out_removed are added.
 
     What is left is joined by line ends again; a text without duplicates stays as it is, null stays null
     (0 lines).  Rows with equal ids don't count as earlier than each other where line numbers are equal,
     so repeated rows stay.  Other columns are kept; those named like the added ones are replaced.
     """
-    gone = duplicate_lines(docs, id_col, text_col, max_edits, min_chars).groupBy("d").agg(F.collect_set(F.struct("i", "h")).alias("__gone"))
+    gone = duplicate_lines(docs, id_col, text_col, max_edits, min_chars, min_equal).groupBy("d").agg(F.collect_set(F.struct("i", "h")).alias("__gone"))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     with_key = docs.drop(*({out_lines, out_removed} & set(docs.columns))).withColumn("__d", key)
     joined = with_key.join(gone, with_key["__d"] == gone["d"], "left").drop("d", "__d")

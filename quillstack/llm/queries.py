@@ -64,7 +64,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import drop_duplicate_lines
 
-    return drop_duplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return drop_duplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_equal=1)
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

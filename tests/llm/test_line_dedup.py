@@ -74,3 +74,17 @@ def test_counts_and_empty(spark):
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in drop_duplicate_lines(d).collect()}
     assert got == {1: (3, 1, f"{line}\nother"), 2: (1, 1, ""), 3: (0, 0, None)}
     assert drop_duplicate_lines(d.where("false")).count() == 0
+
+
+def test_short_lines(spark):
+    """In the registered query and the pipeline equal lines of any length go, empty ones stay, and short ones aren't matched by an edit."""
+    import corpus_pipeline
+    from quillstack.llm import queries
+
+    rows = [(1, "Les.\n\nAnd so."), (2, "Les.\n\nAnd sp.\n x "), (3, "x\n  \nLes. "), (4, "Les.")]
+    d = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {1: "Les.\n\nAnd so.", 2: "\nAnd sp.\n x ", 3: "  ", 4: ""}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(queries, "table", lambda *_: d)
+        assert {r.doc_id: r.text for r in queries.op7_line_dedup(spark, "").collect()} == want
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, d, "").collect()} == {1: want[1], 2: want[2]}
