@@ -1,92 +1,137 @@
-"""Quality by perplexity: an interpolated modified Kneser-Ney model trained on trusted text.
+"""Quality by perplexity: an interpolated modified Kneser-Ney model of words and pairs of words, trained on trusted text.
 
-The model's units are characters, folded to an alphabet of A symbols, with one more symbol for a word
-that repeats the word before it.  With words as units every document's n-grams would have to be
-shuffled to meet their counts; with A symbols a language's model has at most A**ORDER entries however
-much text it is trained on, so the counts are gathered and joined in shards over the cluster and the
-finished model, of a proven size, goes to where the documents are.
+Counts, discounts, back-off weights and probabilities are aggregations and merge joins keyed by
+(language, word) and (language, pair).  In back-off form the log-probability of a text is a sum over its
+words and pairs of one value each, 0 for what the model doesn't hold:
+
+    word x:      log p(x) - log p(unknown) + log backoff(x)
+    pair (v, w): log(1 + (n - D) / (off(v) * p(w)))       off(v): what was discounted after v
+
+and the number of symbols times log p(unknown).  So each document's perplexity comes of one join of its
+words and pairs with the model, by key.  Both sides of it are sharded by key and packed: a document side
+row holds the distinct keys of a block of documents that fall into a shard, and in which documents they
+occur; the shard answers with one partial sum a document.  Keys are hashes that spread evenly, and a
+frequent word is one key of a block, so no shard is hot.  Nothing of the model reaches the driver but a
+few numbers a language.
 """
 
 from __future__ import annotations
 
-import uuid
+import math
+import re
+import zlib
 from collections.abc import Iterator
-from operator import eq
+from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import staged
-
-ORDER = 4
-LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäçéèêíñóöüßú"
-UPPER, OTHER, DIGIT, SPACE, LINE, STOP, COMMA, PUNCT, REPEAT = range(len(LETTERS), len(LETTERS) + 9)
-A = len(LETTERS) + 9
-#: Stands for a repeated word until the text is coded.
-AGAIN = "\x01"
-#: The pooled model, for languages without one of their own.
-POOLED = "*"
-
-
-def _table() -> np.ndarray:
-    t = np.full(0x300, OTHER, dtype=np.uint8)
-    for c in range(0x300):
-        ch = chr(c)
-        if ch in LETTERS:
-            t[c] = LETTERS.index(ch)
-        elif ch == AGAIN:
-            t[c] = REPEAT
-        elif ch.isupper():
-            t[c] = UPPER
-        elif ch.isdigit():
-            t[c] = DIGIT
-        elif ch == "\n":
-            t[c] = LINE
-        elif ch.isspace():
-            t[c] = SPACE
-        elif not ch.isalpha():
-            t[c] = {".": STOP, ",": COMMA}.get(ch, PUNCT)
-    return t
-
-
-TABLE = _table()
-
-
-def folded(text: str) -> str:
-    """The text with every word that equals the word before it replaced by AGAIN."""
-    words = text.split(" ")
-    if any(map(eq, words, words[1:])):
-        return " ".join([words[0], *(AGAIN if w == p else w for w, p in zip(words[1:], words, strict=False))])
-    return text
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all n-grams of order ORDER of the texts, one a character, and where each text's start.
-
-    Each text is read as if ORDER - 1 line ends stood before it.
-    """
-    pad = "\n" * (ORDER - 1)
-    coded = [folded(t) for t in texts]
-    sizes = np.array([len(t) for t in coded], dtype=np.int64)
-    cp = np.frombuffer((pad + pad.join(coded)).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    s = TABLE[np.minimum(cp, len(TABLE) - 1)].astype(np.int32)
-    g = s[: len(s) - ORDER + 1].copy()
-    for k in range(1, ORDER):
-        g *= A
-        g += s[k : len(s) - ORDER + 1 + k]
-    starts = np.concatenate([[0], np.cumsum(sizes + ORDER - 1)])
-    keep = np.ones(len(g), dtype=bool)
-    for k in range(ORDER - 1):  # n-grams that end within the padding of the next text
-        at = starts[1:-1] - (ORDER - 1) + k
-        keep[at] = False
-    return g[keep], np.concatenate([[0], np.cumsum(sizes)])
-
-
-def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", batch_chars: int = 4_000_000) -> DataFrame:
-    """(lang, g, n) over all texts of docs, counted within tasks first, then by key over the cluster."""
+from .common import drop_scratch, staged
+
+#: Words, each character of scripts without spaces by itself, and runs of signs.
+SCRIPTS = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{SCRIPTS}]|[^\W{SCRIPTS}]+|[^\w\s]+")
+#: Stands before the first word and after the last.
+EDGE = 1
+#: The pooled model, for languages without one of their own; a language's own model is OWN and its name.
+POOLED, OWN = "*", "="
+#: Languages with models of their own: at most those with most text; the others share the pooled one.
+MAX_LANGUAGES = 1000
+#: Bits of a key, characters and documents of a block, model entries a shard.
+KEY_BITS, BLOCK_CHARS, BLOCK_DOCS, SHARD = 48, 8_000_000, 60_000, 250_000
+#: Trusted ids up to this number (8 bytes each) are broadcast; beyond it they are joined by merging.
+BROADCAST_IDS = 1_000_000
+#: One in so many trusted documents doesn't train, but sets the thresholds.
+HELD_OUT = 5
+#: Short texts scatter more: quantiles are taken in each of these classes of length (in words).
+LENGTHS = (16, 64, 256)
+
+
+class Words:
+    """32-bit hashes of words; a bounded cache keeps them."""
+
+    def __init__(self):
+        self.cache: dict[str, int] = {}
+
+    def of(self, text: str) -> np.ndarray:
+        """EDGE, then a hash for each word, none of them 0 or EDGE."""
+        words = WORD.findall(text)
+        if len(self.cache) > 400_000:
+            self.cache.clear()
+        cache = self.cache
+        out = np.empty(len(words) + 1, dtype=np.uint64)
+        out[0] = EDGE
+        try:
+            out[1:] = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+        except KeyError:
+            for x in set(words).difference(cache):
+                cache[x] = max(2, xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) & 0xFFFFFFFF)
+            out[1:] = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+        return out
+
+
+@lru_cache(maxsize=1)
+def word_hashes() -> Words:
+    return Words()
+
+
+def sequence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' symbols, each text led by EDGE and one more at the end; and how many each text has, its EDGE included."""
+    parts = [word_hashes().of(t) for t in texts]
+    return np.concatenate([*parts, np.full(1, EDGE, np.uint64)]), np.array([len(p) for p in parts])
+
+
+def pairs_of(s: np.ndarray) -> np.ndarray:
+    return (s[:-1] << np.uint64(32)) | s[1:]
+
+
+@lru_cache(maxsize=4096)
+def model_code(name: str) -> int:
+    return xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass"))
+
+
+def keys_of(grams: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """KEY_BITS bits for each word or pair under its model."""
+    x = grams ^ codes
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
+    return (x ^ (x >> np.uint64(32))) >> np.uint64(64 - KEY_BITS)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts within BLOCK_CHARS and BLOCK_DOCS; a longer text is a run by itself."""
+    first = held = 0
+    for i, t in enumerate(texts):
+        if i > first and (held + len(t) > BLOCK_CHARS or i - first >= BLOCK_DOCS):
+            yield first, i
+            first, held = i, 0
+        held += len(t)
+    if len(texts) > first:
+        yield first, len(texts)
+
+
+def pair_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = 2_000_000) -> DataFrame:
+    """(lang, g, n) of all pairs of texts that aren't empty, counted within tasks first, then by key over the cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -96,193 +141,289 @@ def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
             u, at = np.unique(g, return_inverse=True)
             return u, np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                g, n = merged(parts)
+                for i in range(0, len(g), 200_000):
+                    k = len(g[i : i + 200_000])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * k), pa.array(g[i : i + k].view(np.int64)), pa.array(n[i : i + k])], names=["lang", "g", "n"])
+            held.clear()
+
         for b in batches:
             by: dict[str, list[str]] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if text:
                     by.setdefault(lang or "", []).append(text)
             for lang, texts in by.items():
-                for some in _chunks(texts, batch_chars):
-                    parts = held.setdefault(lang, [])
-                    parts.append(np.unique(grams(some)[0], return_counts=True))
-                    if len(parts) > 8:
-                        held[lang] = [merged(parts)]
-        for lang, parts in held.items():
-            g, n = merged(parts)
-            for i in range(0, len(g), 100_000):
-                k = len(g[i : i + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * k), pa.array(g[i : i + k]), pa.array(n[i : i + k])], names=["lang", "g", "n"])
-
-    got = docs.select(lang_col, text_col).mapInArrow(run, "lang string, g int, n long")
+                for lo, hi in blocks(texts):
+                    held.setdefault(lang, []).append(np.unique(pairs_of(sequence(texts[lo:hi])[0]), return_counts=True))
+                    if sum(len(p[0]) for parts in held.values() for p in parts) > most:
+                        yield from flush()
+        yield from flush()
+
+    got = docs.select(lang_col, text_col).mapInArrow(run, "lang string, g long, n long")
     return got.groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
-def _chunks(texts: list[str], most: int) -> Iterator[list[str]]:
-    some: list[str] = []
-    held = 0
-    for t in texts:
-        some.append(t)
-        held += len(t)
-        if held >= most:
-            yield some
-            some, held = [], 0
-    if some:
-        yield some
+def of_counts(n: str = "n") -> list[Column]:
+    return [F.count_if(F.col(n) == i).alias(f"n{i}") for i in range(1, 5)]
 
 
-def kneser_ney(counts: DataFrame, min_chars: int = 100_000) -> DataFrame:
-    """(lang, k, g, part, lam): for each n-gram seen, of each order k, its discounted share of its context, and the context's back-off weight.
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """Of Chen and Goodman; kept within 0.05 and the count, for counts of counts of small or odd corpora."""
+    n = (n1, n2, n3, n4)
+    y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
+    cut = [i + 1 - (i + 2) * y * n[i + 1] / n[i] if n[i] else (i + 1) * 0.5 for i in range(3)]
+    return tuple(min(max(c, 0.05), float(i + 1)) for i, c in enumerate(cut))
 
-    counts: (lang, g, n) of order ORDER.  Languages with fewer than min_chars characters get no model of
-    their own; a pooled one (lang POOLED) is trained on everything.  Lower orders count distinct
-    predecessors.  All sums are joins and aggregations keyed by (lang, context).
-    """
-    own = counts.join(counts.groupBy("lang").agg(F.sum("n").alias("t")).where(F.col("t") >= min_chars).drop("t"), "lang", "left_semi")
-    table = own.unionByName(counts.groupBy("g").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "g", "n"))
-    out = None
-    for k in range(ORDER, 0, -1):
-        cc = table.groupBy("lang").agg(*(F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in range(1, 5)))
-        y = F.expr("if(n1 + 2 * n2 > 0, n1 / (n1 + 2 * n2), 0.5)")
-        cut = lambda i, y=y: F.least(F.greatest(F.coalesce(F.try_divide(F.lit(-(i + 1.0)) * y * F.col(f"n{i + 1}"), F.col(f"n{i}")) + i, F.lit(i * 0.5)), F.lit(0.05)), F.lit(float(i)))
-        d = cc.select("lang", *(cut(i).alias(f"d{i}") for i in (1, 2, 3)))
-        rows = table.join(d, "lang").withColumn("ctx", F.expr(f"g div {A}").cast("int"))
-        rows = rows.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        ctx = rows.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("off"))
-        level = rows.join(ctx, ["lang", "ctx"]).select("lang", F.lit(k).alias("k"), "g", ((F.col("n") - F.col("d")) / F.col("total")).alias("part"), (F.col("off") / F.col("total")).alias("lam"))
-        out = level if out is None else out.unionByName(level)
-        table = table.groupBy("lang", (F.col("g") % A ** (k - 1)).alias("g")).agg(F.count("*").alias("n"))
-    return out
-
-
-class Perplexity:
-    """The finished model: log-probabilities of all n-grams of order ORDER, by language."""
-
-    def __init__(self, parts: dict[str, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]):
-        self.parts = parts
-        self.dense: dict[str, np.ndarray] = {}
-
-    def logs(self, lang: str) -> np.ndarray | None:
-        lang = lang if lang in self.parts else POOLED
-        if lang not in self.parts:
-            return None
-        if lang not in self.dense:
-            if len(self.dense) >= 6:
-                self.dense.pop(next(iter(self.dense)))
-            p = np.full(1, 1.0 / A)
-            for k in range(1, ORDER + 1):
-                g, part, lam = self.parts[lang][k]
-                back = np.ones(A ** (k - 1))  # a context never seen leaves all to the order below
-                back[g // A] = lam
-                p = np.repeat(back, A) * np.tile(p, A)  # p[ctx, symbol] of the order below is p[ctx % A**(k-2), symbol]
-                p[g] += part
-            self.dense[lang] = np.log(p).astype(np.float32)
-        return self.dense[lang]
-
-    def score(self, lang: str, texts: list[str]) -> list[tuple[float | None, int]]:
-        """Perplexity (null where the text is empty or no model was trained) and characters of each text."""
-        logs = self.logs(lang)
-        g, starts = grams(texts)
-        if logs is None:
-            return [(None, n) for n in np.diff(starts).tolist()]
-        sums = np.concatenate([[0.0], np.cumsum(logs[g], dtype=np.float64)])
-        n = np.diff(starts)
-        mean = (sums[starts[1:]] - sums[starts[:-1]]) / np.maximum(n, 1)
-        return [(float(np.exp(-m)) if k else None, k) for m, k in zip(mean, n.tolist(), strict=True)]
-
-
-def fit(trusted: DataFrame, text_col: str = "text", lang_col: str = "lang", min_chars: int = 100_000) -> Perplexity:
-    """Train on every text of trusted.  What reaches the driver is at most the A**ORDER n-grams of each language with a model."""
-    counts = staged(gram_counts(trusted, text_col, lang_col), "kn-counts")
-    rows = kneser_ney(counts, min_chars).toArrow()
-    parts: dict[str, dict[int, tuple]] = {}
-    lang, k = rows["lang"].to_numpy(zero_copy_only=False), rows["k"].to_numpy()
-    g, part, lam = (rows[c].to_numpy() for c in ("g", "part", "lam"))
-    for one in sorted(set(lang)):
-        mine = lang == one
-        parts[one] = {i: tuple(x[mine & (k == i)].astype(t) for x, t in ((g, np.int32), (part, np.float32), (lam, np.float32))) for i in range(1, ORDER + 1)}
-    return Perplexity(parts)
-
-
-def perplexities(docs: DataFrame, model: Perplexity, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", batch_chars: int = 2_000_000) -> DataFrame:
-    """id, lang, perplexity and n_coded (characters, a repeated word as one), over whole texts; no shuffle."""
-    shared, token = docs.sparkSession.sparkContext.broadcast(model.parts), uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _model(shared, token)
-        for b in batches:
-            texts, langs = b.column(2).to_pylist(), b.column(1).to_pylist()
-            out: list[float | None] = [None] * len(texts)
-            size = [0] * len(texts)
-            by: dict[str, list[int]] = {}
-            for i, lang in enumerate(langs):
-                if texts[i]:
-                    by.setdefault(lang or "", []).append(i)
-            for lang, at in by.items():
-                some: list[int] = []
-                held = 0
-                for i in [*at, None]:
-                    if some and (i is None or held >= batch_chars):
-                        for j, (p, n) in zip(some, m.score(lang, [texts[j] for j in some]), strict=True):
-                            out[j], size[j] = p, n
-                        some, held = [], 0
-                    if i is not None:
-                        some.append(i)
-                        held += len(texts[i])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64()), pa.array(size, pa.int64())], names=["i", "l", "perplexity", "n_coded"])
+def discount_of(n: str) -> Column:
+    return F.when(F.col(n) == 1, F.col("d1")).when(F.col(n) == 2, F.col("d2")).otherwise(F.col("d3"))
+
 
+class Model:
+    """The words and pairs of every model with their values, as a DataFrame; and log p(unknown) by model."""
+
+    def __init__(self, values: DataFrame | None, unknown: dict[str, float], entries: int, scratch: list[DataFrame]):
+        self.values, self.unknown, self.entries, self.scratch = values, unknown, entries, scratch
+
+    def drop(self) -> None:
+        for t in self.scratch:
+            drop_scratch(t)
+
+
+def fit(trusted: DataFrame, langs: DataFrame | None = None, text_col: str = "text", lang_col: str = "lang", min_tokens: int = 20_000) -> Model:
+    """Train on every text of trusted.
+
+    Languages with at least min_tokens symbols of trusted text have a model of their own (MAX_LANGUAGES at
+    most), all text makes the pooled one, which is left out if every language in langs (column lang_col;
+    None: any may come) has its own.
+    """
+    spark = trusted.sparkSession
+    pairs = staged(pair_counts(trusted, text_col, lang_col), "kn-pairs")
+    own = (
+        pairs.groupBy("lang").agg(F.sum("n").alias("tokens"), F.count("*").alias("types"), *of_counts())
+        .where(F.col("tokens") >= min_tokens).orderBy(F.desc("tokens"), "lang").limit(MAX_LANGUAGES).collect()
+    )
+    stats = {OWN + r["lang"]: r for r in own}
+    level2 = pairs.where(F.col("lang").isin([r["lang"] for r in own])).select(F.concat(F.lit(OWN), "lang").alias("l"), "g", "n")
+    if langs is None or not langs.where(~F.coalesce(lang_col, F.lit("")).isin([r["lang"] for r in own])).isEmpty():
+        pooled = staged(pairs.groupBy("g").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("l"), "g", "n"), "kn-pooled")
+        r = pooled.agg(F.sum("n").alias("tokens"), F.count("*").alias("types"), *of_counts()).first()
+        if r["types"]:
+            stats[POOLED] = r
+        level2 = level2.unionByName(pooled)
+    if not stats:
+        return Model(None, {}, 0, [pairs])
+    cuts = spark.createDataFrame([(m, *discounts(*(r[f"n{i}"] for i in range(1, 5)))) for m, r in stats.items()], "l string, d1 double, d2 double, d3 double")
+    # cuts and shares have a row a model, MAX_LANGUAGES + 1 at most
+    rows = level2.join(F.broadcast(cuts), "l").select("l", "g", "n", discount_of("n").alias("d"))
+    before, after = F.shiftrightunsigned("g", 32), F.col("g").bitwiseAND(F.lit(0xFFFFFFFF))
+    contexts = rows.groupBy("l", before.alias("x")).agg(F.sum("d").alias("off"), F.sum("n").alias("total"))
+    ends = rows.groupBy("l", after.alias("x")).agg(F.count("*").alias("n"))
+    # every symbol is both followed and preceded by something, so no word is lost by the join
+    words = staged(contexts.join(ends.hint("merge"), ["l", "x"]), "kn-words")
+    shares, unknown = [], {}
+    for r in words.groupBy("l").agg(F.sum("n").alias("total"), F.count("*").alias("types"), *of_counts()).collect():
+        d = discounts(*(r[f"n{i}"] for i in range(1, 5)))
+        left = (d[0] * r["n1"] + d[1] * r["n2"] + d[2] * (r["types"] - r["n1"] - r["n2"])) / r["total"] / (r["types"] + 1)
+        shares.append((r["l"], *d, float(r["total"]), left))
+        unknown[r["l"]] = math.log(left)
+    table = spark.createDataFrame(shares, "l string, d1 double, d2 double, d3 double, all double, left double")
+    p = (F.col("n") - discount_of("n")) / F.col("all") + F.col("left")
+    known = words.join(F.broadcast(table), "l").select("l", "x", "off", p.alias("p"), (F.log(p) - F.log("left") + F.log(F.col("off") / F.col("total"))).alias("value"))
+    of_word = known.select("l", F.col("x").alias("g"), "value")
+    # merge joins at every size: words grow with the text, and so must not be broadcast
+    first = known.select("l", F.col("x").alias("v"), "off").hint("merge")
+    second = known.select("l", F.col("x").alias("w"), "p").hint("merge")
+    part = rows.withColumn("v", before).join(first, ["l", "v"]).select("l", "g", ((F.col("n") - F.col("d")) / F.col("off")).alias("part"))
+    of_pair = part.withColumn("w", after).join(second, ["l", "w"]).select("l", "g", F.log1p(F.col("part") / F.col("p")).alias("value"))
+    entries = sum(r["types"] for r in stats.values())  # of pairs; words are fewer
+    return Model(of_word.unionByName(of_pair), unknown, entries, [pairs, words])
+
+
+#: kind 0: a part of the model (keys, values); 1: keys of a block's documents; 2: the documents of a block; 3: their partial sums.
+ROW = "shard long, kind int, block long, n_docs int, keys binary, counts binary, docs binary, ids array<{0}>, langs array<string>, models array<string>, sizes array<long>, held array<boolean>"
+
+
+def perplexities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """id, lang, model, perplexity (null: no words, or nothing was trusted), n_coded (words) and held (see HELD_OUT), one row per row of docs."""
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    got = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).mapInArrow(run, f"i {kind}, l string, perplexity double, n_coded long")
-    return got.withColumnsRenamed({"i": id_col, "l": lang_col})
+    schema = ROW.format(kind)
+    arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(6, (4 * n).bit_length() - 1, math.ceil(math.log2(max(1, model.entries) / SHARD)))
+    down = np.uint64(KEY_BITS - bits)
+    unknown = model.unknown  # what tasks are sent must not hold the model's DataFrames
+
+    def table(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in arrow], schema=arrow)
+
+    def of_shards(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        where = keys >> down
+        first = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(keys) else np.zeros(0, np.int64)
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+            yield int(where[lo]), lo, hi
+
+    def parts_of_model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(keys)
+            keys, values = keys[order], values[order]
+            return table([{"shard": sh, "kind": 0, "block": 0, "keys": packed(np.diff(keys[lo:hi], prepend=np.uint64(0))), "counts": values[lo:hi].tobytes()} for sh, lo, hi in of_shards(keys)])
 
+        for b in batches:
+            codes = np.array([model_code(x) for x in b.column(0).to_pylist()], dtype=np.uint64)
+            held.append((keys_of(b.column(1).to_numpy().view(np.uint64), codes), b.column(2).to_numpy().astype("<f4")))
+            size += b.num_rows
+            if size > 1_000_000:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    def parts_of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = 0
+        for b in batches:
+            ids, langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), [t or "" for t in b.column(2).to_pylist()]
+            for lo, hi in blocks(texts):
+                # the same rows get the same number if the task runs again
+                block, made = TaskContext.get().partitionId() * 2**31 + made, made + 1
+                models = [model_of(x, unknown) for x in langs[lo:hi]]
+                s, sizes = sequence(texts[lo:hi])
+                owner = np.repeat(np.arange(hi - lo), sizes)
+                codes = np.array([model_code(x) for x in models], dtype=np.uint64)[owner]
+                both = np.concatenate([keys_of(pairs_of(s), codes), keys_of(s[:-1], codes)]) << np.uint64(64 - KEY_BITS)
+                both[: len(owner)] |= owner.astype(np.uint64)
+                both[len(owner) :] |= owner.astype(np.uint64)
+                both.sort()
+                keys, at = both >> np.uint64(64 - KEY_BITS), both & np.uint64(2 ** (64 - KEY_BITS) - 1)
+                new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                ends = np.append(new, len(keys))
+                step = np.diff(at, prepend=np.uint64(0))
+                step[new] = at[new]
+                keys, counts = keys[new], np.diff(ends)
+                yield table(
+                    [
+                        {"shard": sh, "kind": 1, "block": block, "n_docs": hi - lo, "keys": packed(np.diff(keys[x:y], prepend=np.uint64(0))), "counts": packed(counts[x:y]), "docs": packed(step[ends[x] : ends[y]])}
+                        for sh, x, y in of_shards(keys)
+                    ]
+                )
+                yield table(
+                    [
+                        {"shard": block % (1 << bits), "kind": 2, "block": block, "n_docs": hi - lo, "ids": ids[lo:hi], "langs": langs[lo:hi], "models": models, "sizes": (sizes - 1).tolist(), "held": [is_held_out(t) for t in texts[lo:hi]]}
+                    ]
+                )
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts = None, []
+        known = worth = None
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if r["shard"] != shard:
+                    shard, parts, known = r["shard"], [], None
+                if r["kind"] == 0:
+                    parts.append((np.cumsum(unpacked(r["keys"]), dtype=np.uint64), np.frombuffer(r["counts"], dtype="<f4")))
+                elif r["kind"] == 2:
+                    out.append(r)
+                else:
+                    if known is None:
+                        parts.append((np.full(1, 2**64 - 1, np.uint64), np.zeros(1, "<f4")))
+                        known, worth = (np.concatenate(x) for x in zip(*parts, strict=True))
+                        order = np.argsort(known, kind="stable")
+                        known, worth = known[order], worth[order].astype(float)
+                    asked = np.cumsum(unpacked(r["keys"]), dtype=np.uint64)
+                    at = np.searchsorted(known, asked)
+                    value = np.where(known[at] == asked, worth[at], 0.0)
+                    counts, run = unpacked(r["counts"]).astype(np.int64), np.cumsum(unpacked(r["docs"]).astype(np.int64))
+                    first = np.cumsum(counts) - counts
+                    before = np.where(first > 0, run[first - 1], 0)  # steps start anew at each key
+                    place = run - np.repeat(before, counts)
+                    out.append({"shard": shard, "kind": 3, "block": r["block"], "n_docs": r["n_docs"], "keys": np.bincount(place, np.repeat(value, counts), r["n_docs"]).astype("<f4").tobytes()})
+            if out:
+                yield table(out)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: dict | None = None
+        total = np.zeros(0)
+
+        def done() -> pa.RecordBatch:
+            out = []
+            for z, m, size in zip(total.tolist(), head["models"], head["sizes"], strict=True):
+                base = unknown.get(m)
+                out.append(math.exp(min(700.0, -z / (size + 1) - base)) if size and base is not None else None)
+            types = (arrow.field("ids").type.value_type, pa.string(), pa.string(), pa.float64(), pa.int64(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((head["ids"], head["langs"], head["models"], out, head["sizes"], head["held"]), types, strict=True)], names=["i", "l", "model", "perplexity", "n_coded", "held"])
 
-_MODELS: dict[str, Perplexity] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                if r["kind"] == 2:
+                    if head:
+                        yield done()
+                    head, total = r, np.zeros(r["n_docs"])
+                else:
+                    total += np.frombuffer(r["keys"], dtype="<f4")
+        if head:
+            yield done()
+
+    parts = docs.select(F.col(id_col), F.col(lang_col), F.col(text_col)).mapInArrow(parts_of_docs, schema)
+    if model.values is not None:
+        parts = parts.unionByName(model.values.select("l", "g", "value").mapInArrow(parts_of_model, schema))
+    sums = parts.repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(answer, schema)
+    got = sums.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(summed, f"i {kind}, l string, model string, perplexity double, n_coded long, held boolean")
+    return got.withColumnsRenamed({"i": id_col, "l": lang_col})
 
 
-def _model(shared: Broadcast, token: str) -> Perplexity:
-    """One model a worker: its dense tables are made once."""
-    if token not in _MODELS:
-        _MODELS.clear()
-        _MODELS[token] = Perplexity(shared.value)
-    return _MODELS[token]
+def model_of(lang: str | None, models: dict[str, float]) -> str:
+    own = OWN + (lang or "")
+    return own if own in models else POOLED
 
 
-#: Short texts scatter more: quantiles are taken in each of these classes of length (in characters).
-LENGTHS = (64, 256, 1024)
+def is_held_out(text: str) -> bool:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % HELD_OUT == 0
 
 
-def thresholds(trusted: DataFrame, quantile: float, margin: float, least: int, lang_col: str = "lang") -> DataFrame:
-    """(lang_key, size_class, threshold): margin times that quantile of the trusted documents' perplexities.
+def thresholds(scored: DataFrame, quantile: float, margin: float, least: int) -> dict[tuple[str | None, int], float]:
+    """By (model, class of length): margin times that quantile of the documents' perplexities.
 
-    One for each language and class of length that has at least `least` of them, one for each language
-    (size_class -1), and one over all languages (lang_key POOLED).
+    One for each model and class of length that has at least `least` of them, one for each model (class
+    -1), and one over all (None, -1): (MAX_LANGUAGES + 1) * (len(LENGTHS) + 2) + 1 numbers at most.
+    Fewer documents than the quantile asks for (1 / (1 - quantile)) can't show it: there the threshold is
+    no lower than the same quantile of a log-normal of their mean and deviation.
     """
-    q = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * margin
-    known = trusted.where("perplexity is not null").withColumn("lang_key", F.coalesce(lang_col, F.lit("")))
-    fine = known.groupBy("lang_key", "size_class").agg(q.alias("threshold"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
-    coarse = known.groupBy("lang_key").agg(q.alias("threshold")).select("lang_key", F.lit(-1).alias("size_class"), "threshold")
-    every = known.agg(q.alias("threshold")).select(F.lit(POOLED).alias("lang_key"), F.lit(-1).alias("size_class"), "threshold")
-    return fine.unionByName(coarse).unionByName(every)
+    seen = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
+    tail = F.exp(F.avg(F.log("perplexity")) + NormalDist().inv_cdf(quantile) * F.stddev_pop(F.log("perplexity")))
+    q = F.when(F.count("*") * (1 - quantile) < 1, F.greatest(seen, tail)).otherwise(seen) * margin
+    known = scored.where("perplexity is not null")
+    rows = known.rollup("model", "size_class").agg(q.alias("threshold"), F.count("*").alias("n"), F.grouping_id().alias("level"))
+    return {(r["model"], r["size_class"] if r["level"] == 0 else -1): r["threshold"] for r in rows.collect() if r["threshold"] is not None and (r["level"] or r["n"] >= least)}
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.998, margin: float = 1.03, min_chars: int = 100_000, least: int = 200) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.998, margin: float = 1.03, min_tokens: int = 20_000, least: int = 200) -> DataFrame:
     """id, lang, perplexity, threshold and accepted (perplexity at most threshold), one row per row of docs.
 
-    labels: (id, quality); rows of quality 1 name the trusted documents, all of which train the model and
-    set the thresholds (that quantile of their perplexities in their language and class of length, times
-    margin; see thresholds).  Null and empty texts have no perplexity and are accepted, as is everything
-    when nothing is trusted; a language without trusted documents goes by the pooled model and
-    threshold.  Labels that repeat or contradict each other: a document is trusted if any of its labels
-    says so.  Repeated rows stay as they are; other columns are not read.
+    labels: (id, quality); rows of quality 1 name the trusted documents.  All of them are read: one in
+    HELD_OUT (by its text) sets the thresholds (that quantile of their perplexities by language and class
+    of length, times margin; see thresholds), the others train.  Texts without words have no perplexity
+    and are accepted, as is everything when nothing is trusted; a language with little trusted text goes
+    by the pooled model and, where nobody set one, by the threshold of all.  Labels that repeat or
+    contradict each other: a document is trusted if any of its labels says so.  Repeated rows stay as
+    they are; a row without an id is never trusted; other columns are not read.
     """
-    # a merge join at every size: labels grow with the documents, and so must not be broadcast
-    ids = labels.where("quality = 1").select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct().hint("merge")
-    model = fit(docs.select(id_col, lang_col, text_col).join(ids, id_col, "left_semi"), text_col, lang_col, min_chars)
+    ids = labels.where("quality = 1").select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    held = F.coalesce(F.crc32(F.col(text_col).cast("binary")) % HELD_OUT == 0, F.lit(False))
+    model = fit(docs.where(~held).select(id_col, lang_col, text_col).join(ids, id_col, "left_semi"), docs, text_col, lang_col, min_tokens)
     size_class = sum((F.col("n_coded") >= n).cast("int") for n in LENGTHS)
     scored = staged(perplexities(docs, model, id_col, text_col, lang_col).withColumn("size_class", size_class), "kn-scores")
-    t = thresholds(scored.join(ids, id_col, "left_semi"), quantile, margin, least, lang_col)
-    limit = {f"{r['lang_key']}/{r['size_class']}": r["threshold"] for r in t.collect() if r["threshold"] is not None}  # a few numbers a language
-    of = F.create_map(*(F.lit(x) for kv in (limit or {"": 0.0}).items() for x in kv))
-    at = lambda lang, size: F.element_at(of, F.concat_ws("/", lang, size.cast("string")))
-    key, none = F.coalesce(lang_col, F.lit("")), F.lit(-1)
-    threshold = F.coalesce(at(key, F.col("size_class")), at(key, none), at(F.lit(POOLED), none))
+    model.drop()
+    trusted = scored.join(ids, id_col, "left_semi")
+    limit = thresholds(trusted.where("held"), quantile, margin, least) or thresholds(trusted, quantile, margin, least)
+    of = F.create_map(*(F.lit(x) for (m, c), t in limit.items() for x in (f"{c}/{m or ''}", t))) if limit else F.create_map(F.lit(""), F.lit(0.0))
+    at = lambda c, m: F.element_at(of, F.concat_ws("/", c.cast("string"), m))
+    threshold = F.coalesce(at(F.col("size_class"), F.col("model")), at(F.lit(-1), F.col("model")), at(F.lit(-1), F.lit("")))
     return scored.select(id_col, lang_col, "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(True)).alias("accepted"))

@@ -29,7 +29,7 @@ def corpus(spark, tmp_path_factory):
         (501, docs[3][1], "en"),  # a copy: all its lines came before
         (502, OWN + "\n" + docs[4][1].split("\n")[0], "en"),
         (503, " ".join([*words[:40], "sulsul", *words[41:]]).replace("\n", " "), "en"),
-        (504, sentence(30) + " " + item + " " + sentence(30), "en"),  # holds the benchmark item
+        (504, " ".join(sentence(R.randint(6, 15)) for _ in range(6)) + " " + item + ". " + " ".join(sentence(R.randint(6, 15)) for _ in range(6)), "en"),  # holds the benchmark item
         (505, None, "en"), (506, "", None), (None, sentence(40), "en"),
     ]
     flat = " ".join(docs[20][1].split())
