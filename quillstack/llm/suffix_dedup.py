@@ -1,12 +1,17 @@
-"""Repeated passages by bucket-pointer refinement over a sparse suffix array.
+"""Repeated passages by bucket-pointer refinement of sparsely sampled suffixes.
 
 A byte goes if a string of `length` bytes covers it that also starts elsewhere.  Every such string
 (window) has one anchor, the place of the least hash among its q-grams, and equal windows have equal
-anchors at equal offsets.  So only anchors are sorted into buckets: first by their q-gram; a bucket of
-one is finished.  A bucket is refined by the identifier of all that an anchor's windows cover, which
-settles anchors in the midst of a repeat at once.  What is still mixed, the ends of repeats, is refined
-by the identifiers of the windows at each offset; one member stands for those settled before.  Windows
-are never compared across buckets.
+anchors at equal offsets.  So suffixes are sampled at anchors, and sorted into buckets by their q-gram;
+a bucket of one is finished, and so are its windows.  Anchors whose windows all cover the same bytes are
+one group, settled at once; one of them stands for it in what follows.
+
+The open buckets are refined (see refined): every offset of the bytes around their anchors gets the
+identifier of its 8-gram, and identifiers of h bytes become those of 2h by sorting on the pair of an
+offset's own identifier and that of the offset h later, each round reusing what the last one gave, until
+a bucket is single or h reaches the windows' length.  No hash decides there: windows with one identifier
+are equal byte by byte.  Buckets too large for a task are counted over the cluster by 128-bit hashes of
+their windows.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +31,7 @@ from .common import drop_scratch, staged
 PIECE = 1 << 19  # window starts worked on at a time
 BITS = 20  # of a place within a piece and its margin
 HOT = 4096  # members from which a bucket's windows are counted over the cluster
+SALTS = 16
 BASE = 0x9E3779B97F4A7C15
 M31 = np.uint64(31)
 
@@ -45,6 +52,44 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> M31)
 
 
+def digests(data: bytes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """128-bit hashes of stretches of data, as two columns."""
+    d, view = xxhash.xxh3_128_digest, memoryview(data)
+    flat = b"".join([d(view[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+    return np.frombuffer(flat, dtype="<i8").reshape(-1, 2)
+
+
+def refined(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """For each offset of data an identifier that another has only if the same `length` bytes follow; -1 where they don't fit.
+
+    ends: for each offset where its stretch of data ends; strings never cross stretches.  Bucket-pointer
+    refinement: the first buckets are 8-grams (or `length`, if less), each round sorts what shares a
+    bucket on the bucket of the offset h later.  Single buckets are left alone: no later round can change
+    who they are equal to.
+    """
+    n = len(data)
+    h = min(8, length)
+    gram = np.zeros(n, dtype=np.uint64)
+    for k in range(h):
+        gram[: n - k] = (gram[: n - k] << np.uint64(8)) | data[k:]
+    room = ends - np.arange(n)
+    at = np.flatnonzero(room >= h)
+    own = np.full(n, -1, dtype=np.int64)
+    _, own[at] = np.unique(gram[at], return_inverse=True)
+    while h < length:
+        step = min(h, length - h)
+        size = np.bincount(own[at], minlength=1)
+        at = at[room[at] >= h + step]
+        single = size[own[at]] == 1
+        many = at[~single]
+        _, ids = np.unique(own[many] * n + own[many + step], return_inverse=True)
+        new = np.full(n, -1, dtype=np.int64)
+        new[many] = ids
+        new[at[single]] = ids.max(initial=-1) + 1 + np.arange(int(single.sum()))
+        own, h = new, h + step
+    return own
+
+
 class Hashes:
     """Hashes of any run of some bytes."""
 
@@ -67,10 +112,10 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, place, back, forth, bucket, super) of every anchor.
+    """(text, place, back, forth, bucket, whole, whole2) of every anchor.
 
-    Its windows start from place - back to place - forth; bucket: hash of its q-gram; super: hash of all
-    that its windows cover.
+    Its windows start from place - back to place - forth; bucket: hash of its q-gram; whole, whole2:
+    128-bit hash of all that its windows cover.
     """
     out: list[tuple[np.ndarray, ...]] = []
     pieces: list[tuple[int, int, bytes]] = []
@@ -78,7 +123,8 @@ def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...
     def flush() -> None:
         if not pieces:
             return
-        data = np.frombuffer(b"".join(p[2] for p in pieces), dtype=np.uint8)
+        flat = b"".join(p[2] for p in pieces)
+        data = np.frombuffer(flat, dtype=np.uint8)
         sizes = np.array([len(p[2]) for p in pieces])
         ends = np.cumsum(sizes)
         which = np.repeat(np.arange(len(pieces)), sizes)
@@ -92,7 +138,7 @@ def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...
         a, lo, hi = at[first], s[first], s[last]
         w = which[a]
         shift = (np.array([p[1] for p in pieces]) - (ends - sizes))[w]
-        out.append((np.array([p[0] for p in pieces])[w], a + shift, a - lo, a - hi, h.of(a, a + gram), h.of(lo, hi + length)))
+        out.append((np.array([p[0] for p in pieces])[w], a + shift, a - lo, a - hi, h.of(a, a + gram).view(np.int64), *digests(flat, lo, hi + length).T))
         pieces.clear()
 
     held = 0
@@ -106,14 +152,14 @@ def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...
             held += len(piece)
     flush()
     if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, h, id, t): a document by its id and a hash of its text."""
+    """(d, h, id, t): a document by its id and a 64-bit hash of its text, which tells rows without an id apart."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("d"), F.hash(t).alias("h"), F.col(id_col).alias("id"), t.cast("binary").alias("t"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64(t).alias("h"), F.col(id_col).alias("id"), t.cast("binary").alias("t"))
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -127,7 +173,7 @@ def packed(rows: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([z.compress(t.as_py()) for t in b.column(3)], pa.binary())], names=["d", "h", "id", "t"])
 
-    return rows.mapInArrow(run, f"d long, h int, id {kind}, t binary")
+    return rows.mapInArrow(run, f"d long, h long, id {kind}, t binary")
 
 
 def unpacked(t: bytes) -> bytes:
@@ -160,16 +206,16 @@ def anchor_table(rows: DataFrame, length: int, gram: int) -> DataFrame:
             d, h = b.column(0).to_numpy(), b.column(1).to_numpy()
             at = 0
             for some in _batches_of((t.as_py() for t in b.column(2)), PIECE, len):
-                w, place, back, forth, bucket, whole = anchors(some, length, gram)
+                w, place, back, forth, *hashes = anchors(some, length, gram)
                 for lo in range(0, len(w), 200_000):
                     x = slice(lo, lo + 200_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c) for c in (d[at + w[x]], h[at + w[x]], place[x], back[x].astype(np.int16), forth[x].astype(np.int16), bucket[x].view(np.int64), whole[x].view(np.int64))],
-                        names=["d", "h", "place", "back", "forth", "bucket", "whole"],
+                        [pa.array(c) for c in (d[at + w[x]], h[at + w[x]], place[x], back[x].astype(np.int16), forth[x].astype(np.int16), *(c[x] for c in hashes))],
+                        names=["d", "h", "place", "back", "forth", "bucket", "whole", "whole2"],
                     )
                 at += len(some)
 
-    return rows.select("d", "h", "t").mapInArrow(run, "d long, h int, place long, back short, forth short, bucket long, whole long")
+    return rows.select("d", "h", "t").mapInArrow(run, "d long, h long, place long, back short, forth short, bucket long, whole long, whole2 long")
 
 
 def contexts(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
@@ -187,42 +233,32 @@ def contexts(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
                     n = len(part)
                     cols = [[x[c] for x in part] for c in ("place", "back", "forth", "bucket", "hot", "done")]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([d] * n), pa.array([h] * n, pa.int32()), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)), pa.array([t[x["place"] - x["back"] : x["place"] - x["forth"] + length] for x in part], pa.binary())],
+                        [pa.array([d] * n), pa.array([h] * n), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)), pa.array([t[x["place"] - x["back"] : x["place"] - x["forth"] + length] for x in part], pa.binary())],
                         names=["d", "h", "place", "back", "forth", "bucket", "hot", "done", "text"],
                     )
 
-    return both.mapInArrow(run, "d long, h int, place long, back short, forth short, bucket long, hot boolean, done boolean, text binary")
-
-
-def window_hashes(members: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(member, start, hash) of all windows; members end with their bytes, and have place and back third and fourth."""
-    data = np.frombuffer(b"".join(m[-1] for m in members), dtype=np.uint8)
-    sizes = np.array([len(m[-1]) for m in members])
-    begin = np.cumsum(sizes) - sizes
-    n = sizes - length + 1
-    member = np.repeat(np.arange(len(members)), n)
-    offset = np.arange(len(member)) - np.repeat(np.cumsum(n) - n, n)
-    lo = begin[member] + offset
-    start = np.array([m[2] - m[3] for m in members])[member] + offset
-    return member, start, Hashes(data).of(lo, lo + length)
+    return both.mapInArrow(run, "d long, h long, place long, back short, forth short, bucket long, hot boolean, done boolean, text binary")
 
 
 def repeated_in_buckets(ctx: DataFrame, length: int) -> DataFrame:
     """(d, h, lo, hi) covered by windows that repeat within their bucket."""
 
     def solve(members: list[tuple]) -> Iterator[pa.RecordBatch]:
-        member, start, value = window_hashes(members, length)
-        bucket = np.array([m[5] for m in members], dtype=np.int64)[member]
-        key = mixed(value ^ (bucket.view(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
-        _, at, n = np.unique(key, return_inverse=True, return_counts=True)
-        again = (n[at] > 1) & ~np.array([m[6] for m in members])[member]
-        if again.any():
-            member, start = member[again], start[again]
+        sizes = np.array([len(m[-1]) for m in members])
+        ends = np.cumsum(sizes)
+        member = np.repeat(np.arange(len(members)), sizes)
+        own = refined(np.frombuffer(b"".join(m[-1] for m in members), dtype=np.uint8), ends[member], length)
+        window = np.flatnonzero(own >= 0)  # the offsets from which `length` bytes fit are the windows
+        again = np.bincount(own[window])[own[window]] > 1
+        at = window[again & ~np.array([m[6] for m in members])[member[window]]]
+        if len(at):
+            member = member[at]
+            start = at - (ends - sizes)[member] + np.array([m[2] - m[3] for m in members])[member]
             far = start + member * (1 << 40)  # runs end with their member
             first, last = runs(far)
             who = first >> 40
             yield pa.RecordBatch.from_arrays(
-                [pa.array([members[i][0] for i in who]), pa.array([members[i][1] for i in who], pa.int32()), pa.array(first & ((1 << 40) - 1)), pa.array((last & ((1 << 40) - 1)) + length)], names=["d", "h", "lo", "hi"]
+                [pa.array([members[i][0] for i in who]), pa.array([members[i][1] for i in who]), pa.array(first & ((1 << 40) - 1)), pa.array((last & ((1 << 40) - 1)) + length)], names=["d", "h", "lo", "hi"]
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,23 +274,26 @@ def repeated_in_buckets(ctx: DataFrame, length: int) -> DataFrame:
 
     n = int(ctx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = ctx.select("d", "h", "place", "back", "forth", "bucket", "done", "text").repartition(n, "bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(run, "d long, h int, lo long, hi long")
+    return rows.mapInArrow(run, "d long, h long, lo long, hi long")
 
 
 def repeated_in_hot_buckets(ctx: DataFrame, length: int) -> DataFrame:
-    """The same, for buckets too large for a task: windows are counted by hash over the cluster."""
+    """The same, for buckets too large for a task: windows are counted by 128-bit hash over the cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for members in _batches_of(list(zip(*(c.to_pylist() for c in b.columns), strict=True)), 500, lambda _: 1):
-                member, start, value = window_hashes(members, length)
-                d, h, done = (np.array([m[i] for m in members])[member] for i in (0, 1, 5))
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(h.astype(np.int32)), pa.array(start), pa.array(value.view(np.int64)), pa.array(done)], names=["d", "h", "s", "value", "done"])
-
-    w = ctx.select("d", "h", "place", "back", "forth", "done", "text").mapInArrow(run, "d long, h int, s long, value long, done boolean")
+                sizes = np.array([len(m[-1]) - length + 1 for m in members])
+                of = np.repeat(np.arange(len(members)), sizes)
+                offset = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                value = np.concatenate([digests(m[-1], np.arange(k), np.arange(k) + length) for m, k in zip(members, sizes.tolist(), strict=True)])
+                d, h, start, done = (np.array(x)[of] for x in zip(*((m[0], m[1], m[2] - m[3], m[5]) for m in members), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d, h, start + offset, value[:, 0], value[:, 1], done)], names=["d", "h", "s", "value", "value2", "done"])
+
+    w = ctx.select("d", "h", "place", "back", "forth", "done", "text").mapInArrow(run, "d long, h long, s long, value long, value2 long, done boolean")
     w = staged(w, "sa-windows")
-    again = w.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
-    return w.where("not done").join(again, "value", "left_semi").select("d", "h", F.col("s").alias("lo"), (F.col("s") + length).alias("hi"))
+    again = w.groupBy("value", "value2").agg(F.count("*").alias("n")).where("n > 1").select("value", "value2")
+    return w.where("not done").join(again, ["value", "value2"], "left_semi").select("d", "h", F.col("s").alias("lo"), (F.col("s") + length).alias("hi"))
 
 
 def repeated_regions(docs: DataFrame, rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -263,11 +302,14 @@ def repeated_regions(docs: DataFrame, rows: DataFrame, length: int, gram: int) -
     met = table.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     shared = staged(table.join(met, "bucket", "left_semi"), "sa-shared")
     drop_scratch(table)
-    group = ["bucket", "back", "forth", "whole"]
+    group = ["bucket", "back", "forth", "whole", "whole2"]
     # one representative of each group, and how many there are
     groups = staged(shared.groupBy(*group).agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "place")).alias("rep")), "sa-groups")
     buckets = groups.groupBy("bucket").agg(F.count("*").alias("members"), F.min("n").alias("least")).where("members > 1 and least = 1")
-    open_ = groups.join(buckets, "bucket").select("rep.*", "back", "forth", "bucket", (F.col("members") > HOT).alias("hot"), (F.col("n") > 1).alias("done"))
+    # only a bucket's size is wanted of the join, so its members are dealt over SALTS parts
+    salted = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    open_ = groups.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted, ["bucket", "salt"])
+    open_ = open_.select("rep.*", "back", "forth", "bucket", (F.col("members") > HOT).alias("hot"), (F.col("n") > 1).alias("done"))
     ctx = staged(contexts(docs, open_, length), "sa-contexts")
     settled = shared.join(groups.where("n > 1").select(*group), group, "left_semi").select("d", "h", (F.col("place") - F.col("back")).alias("lo"), (F.col("place") - F.col("forth") + length).alias("hi"))
     return settled.unionByName(repeated_in_buckets(ctx.where("not hot"), length)).unionByName(repeated_in_hot_buckets(ctx.where("hot"), length))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import quillstack.llm.suffix_dedup as sd
-from quillstack.llm.suffix_dedup import anchors, remove_repeats
+from quillstack.llm.suffix_dedup import anchors, refined, remove_repeats
 
 
 def brute(texts, length):
@@ -49,7 +49,7 @@ def test_equals_brute_force(spark, monkeypatch, length, gram, hot, piece):
 def test_anchors_cover_each_window_once(monkeypatch):
     monkeypatch.setattr(sd, "PIECE", 64)
     texts = [t.encode() for t in corpus(1)]
-    w, place, back, forth, _, _ = anchors(texts, 40, 10)
+    w, place, back, forth, *_ = anchors(texts, 40, 10)
     starts = Counter((int(i), s) for i, p, b, f in zip(w, place, back, forth, strict=True) for s in range(p - b, p - f + 1))
     assert set(starts) == {(i, s) for i, t in enumerate(texts) for s in range(len(t) - 39)} and set(starts.values()) == {1}
 
@@ -58,3 +58,27 @@ def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = remove_repeats(spark.createDataFrame([(1, None)], "doc_id long, text string"), with_text=True).collect()[0]
     assert (one.n_bytes, one.n_removed, one.n_spans, one.kept) == (0, 0, 0, b"")
+
+
+@pytest.mark.parametrize("length", [3, 8, 11, 16, 40])
+def test_refined_tells_strings_apart_exactly(length):
+    stretches = [t.encode() for t in corpus(length, n=30)] + [b"", b"a" * 100, b"ab" * 50, b"x"]
+    ends = np.repeat(np.cumsum([len(x) for x in stretches]), [len(x) for x in stretches])
+    data = b"".join(stretches)
+    got = refined(np.frombuffer(data, dtype=np.uint8), ends, length)
+    seen = {}
+    for i, e in enumerate(ends.tolist()):
+        assert (got[i] >= 0) == (i + length <= e)
+        if got[i] >= 0:
+            assert seen.setdefault(int(got[i]), data[i : i + length]) == data[i : i + length]
+    assert len(seen) == len(set(seen.values()))
+
+
+def test_rows_without_an_id(spark):
+    r = random.Random(4)
+    prose = lambda k: "".join(r.choice("abcde ") for _ in range(k))
+    shared = [prose(60) for _ in range(300)]
+    rows = [(None, (prose(r.randint(0, 20)) + r.choice(shared) + prose(5)) if i % 3 else prose(50)) for i in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in remove_repeats(df, length=40, gram=20).collect())
+    assert got == Counter(brute([t.encode() for _, t in rows], 40))
