@@ -2,7 +2,7 @@
 
 Two lines within one edit share a string that one deletion (or none) makes of each.  Emitting every
 deletion of every line is too much, so lines are first sieved by coarser deletions that such lines must
-share as well: with one of 2, then one of 16 equal parts left out.  What passes emits each one-character
+share as well: with one of two halves, then one of 16 equal parts left out.  What passes emits each one-character
 deletion as a hashed key together with its place.  Lines equal under the same key and place differ by
 one substitution at most, a line equal to another's deletion by one insertion, so the earliest line of a
 key is found by an aggregation and no pairs are made.  Hits are verified by edit distance.
@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +44,25 @@ def deletion_keys(line: str) -> tuple[int, np.ndarray]:
     return int(sized(upto[-1:], n)[0]), sized(short, n - 1)
 
 
+def half_keys(line: Column) -> Column:
+    """Hashes of the line with each half left out, for its own length and one less.
+
+    With n the length, halves of n and of n - 1 characters give two beginnings and two ends, of which one
+    pair is the same; so three keys are all.
+    """
+    n, a = F.length(line), F.floor(F.length(line) / 2).cast("int")
+    begin = lambda k: F.xxhash64(F.lit(0), F.left(line, k))
+    end = lambda k: F.xxhash64(F.lit(1), F.right(line, k))
+    return F.array(begin(a), end(n - a), F.when(n % 2 == 0, begin(a - 1)).otherwise(end(a)))
+
+
 def part_keys(line: Column, parts: int) -> Column:
     """Hashes of the line with each of `parts` equal parts left out, for its own length and one less."""
     n = F.length(line)
 
-    def key(m: Column, j: Column | int) -> Column:
-        return F.xxhash64(m, F.lit(j) if isinstance(j, int) else j, F.left(line, F.floor(j * m / parts).cast("int")), F.right(line, m - F.floor((j + 1) * m / parts).cast("int")))
+    def key(m: Column, j: Column) -> Column:
+        return F.xxhash64(m, j, F.left(line, F.floor(j * m / parts).cast("int")), F.right(line, m - F.floor((j + 1) * m / parts).cast("int")))
 
-    if parts <= 2:  # few enough to be compiled one by one
-        return F.array(*(key(n - less, j) for less in (0, 1) for j in range(parts)))
     return F.transform(F.sequence(F.lit(0), F.lit(2 * parts - 1)), lambda i: key(n - i % 2, F.floor(i / 2).cast("int")))
 
 
@@ -61,14 +73,20 @@ def shared_only(lines: DataFrame, parts: int) -> DataFrame:
     return keys.join(met, "k", "left_semi").select("h").distinct()
 
 
+def document_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """(d, x): the id, or LAST and a hash of the text, so that rows without an id are as many documents as they have texts."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.lit(0).cast("long"))
+
+
 def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(d, i, line, h): lines of at least min_chars characters once trimmed, with their document and place."""
-    lines = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d"), F.posexplode(F.split(F.col(text_col), "\n")).alias("i", "line"))
-    return lines.select("d", "i", F.trim("line").alias("line")).where(F.length("line") >= min_chars).withColumn("h", F.xxhash64("line"))
+    """(d, x, i, line, h): lines of at least min_chars characters once trimmed, with their document and place."""
+    d, x = document_key(id_col, text_col)
+    lines = docs.select(d.alias("d"), x.alias("x"), F.posexplode(F.split(F.col(text_col), "\n")).alias("i", "line"))
+    return lines.select("d", "x", "i", F.trim("line").alias("line")).where(F.length("line") >= min_chars).withColumn("h", F.xxhash64("line"))
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 16, min_equal: int | None = None) -> DataFrame:
-    """(d, i, h) of every line that has an earlier line within max_edits (0 or 1); d is the id, LAST for null.
+    """(d, x, i, h) of every line that has an earlier line within max_edits (0 or 1); d, x: see document_key; h: hash of the line.
 
     Earlier: a smaller (id, line number); rows without an id come last.  Lines are compared trimmed;
     those of fewer than min_chars characters are never within one edit of others, and of fewer than
@@ -77,24 +95,25 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     lines = line_table(docs, id_col, text_col, min_chars if min_equal is None else min_equal)
-    places = staged(lines.select("d", "i", "h"), "lines")
+    keys = F.when(F.length("line") >= min_chars, half_keys(F.col("line"))) if max_edits else F.lit(None).cast("array<long>")
+    places = staged(lines.select("d", "x", "i", "h", keys.alias("keys")), "lines")
     first = places.groupBy("h").agg(F.min(F.struct("d", "i")).alias("p"))
     if max_edits:
         fuzzy = staged(_later_of_near(lines.where(F.length("line") >= min_chars), places), "lines-near")
         first = first.join(fuzzy, "h", "left").withColumn("near", F.coalesce("near", F.lit(False)))
     else:
         first = first.withColumn("near", F.lit(False))
-    return places.join(first, "h").where(F.col("near") | (F.struct("d", "i") != F.col("p"))).select("d", "i", "h")
+    return places.select("d", "x", "i", "h").join(first, "h").where(F.col("near") | (F.struct("d", "i") != F.col("p"))).select("d", "x", "i", "h")
 
 
 def _later_of_near(lines: DataFrame, places: DataFrame) -> DataFrame:
     """(h, near = true) of distinct lines whose first place comes after that of another line one edit away."""
     # k before p: the aggregation on keys needs numbers only, and first places are asked of what is left
-    coarse = staged(lines.select("h", F.explode(part_keys(F.col("line"), 2)).alias("k")), "lines-coarse")
+    coarse = places.where("keys is not null").select("h", F.explode("keys").alias("k"))
     met = coarse.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("k")
     left = coarse.join(met, "k", "left_semi").select("h").distinct()
-    some = places.join(left, "h", "left_semi").groupBy("h").agg(F.min(F.struct("d", "i")).alias("p")).select("h", "p.d", "p.i")
-    texts = staged(lines.join(some, ["h", "d", "i"], "left_semi").dropDuplicates(["h"]), "lines-texts")
+    some = places.select("d", "i", "h").join(left, "h", "left_semi").groupBy("h").agg(F.min(F.struct("d", "i")).alias("p")).select("h", "p.d", "p.i")
+    texts = staged(lines.select("h", "d", "i", "line").join(some, ["h", "d", "i"], "left_semi").dropDuplicates(["h"]), "lines-texts")
     texts = staged(texts.join(shared_only(texts, 16), "h", "left_semi"), "lines-close")
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,20 +152,32 @@ def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     (0 lines).  Rows with equal ids don't count as earlier than each other where line numbers are equal,
     so repeated rows stay.  Other columns are kept; those named like the added ones are replaced.
     """
-    gone = duplicate_lines(docs, id_col, text_col, max_edits, min_chars, min_equal).groupBy("d").agg(F.collect_set(F.struct("i", "h")).alias("__gone"))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    with_key = docs.drop(*({out_lines, out_removed} & set(docs.columns))).withColumn("__d", key)
-    joined = with_key.join(gone, with_key["__d"] == gone["d"], "left").drop("d", "__d")
-    lines = F.split(F.col(text_col), "\n")
-    places = F.map_from_entries(F.transform("__gone", lambda g: F.struct(F.concat_ws(":", g["i"].cast("string"), g["h"].cast("string")), F.lit(True))))
-    joined = joined.withColumn("__map", places)
-    kept = F.filter(lines, lambda x, i: ~F.coalesce(F.map_contains_key("__map", F.concat_ws(":", i.cast("string"), F.xxhash64(F.trim(x)).cast("string"))), F.lit(False)))
-    n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n).cast("long")
-    new = joined.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
-    return (
-        new.withColumn(out_lines, n)
-        .withColumn(out_removed, F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(F.col(out_lines) - F.size("__kept")).cast("long"))
-        .withColumn(text_col, F.when(F.col(out_removed) > 0, F.array_join("__kept", "\n")).otherwise(F.col(text_col)))
-        .drop("__gone", "__map", "__kept")
-    )
+    gone = duplicate_lines(docs, id_col, text_col, max_edits, min_chars, min_equal).groupBy("d", "x").agg(F.collect_list("i").alias("i"), F.collect_list("h").alias("h"))
+    d, x = document_key(id_col, text_col)
+    kept = docs.drop(*({out_lines, out_removed} & set(docs.columns)))
+    columns = kept.columns
+    joined = kept.select(F.struct(*(F.col(c) for c in columns if c != text_col)).alias("rest") if len(columns) > 1 else F.lit(True).alias("rest"), F.col(text_col).alias("t"), d.alias("d"), x.alias("x")).join(gone, ["d", "x"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, removed = b.column(1).to_pylist(), np.zeros(b.num_rows, dtype=np.int64)
+            for j, (at, of) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                if at:
+                    # a row of the same id may have another text, so the line counts as well as its place
+                    out, lines = set(zip(at, of, strict=True)), texts[j].split("\n")
+                    places = set(at)
+                    left = [line for i, line in enumerate(lines) if i not in places or (i, line_hash(line)) not in out]
+                    if len(left) < len(lines):
+                        texts[j], removed[j] = "\n".join(left), len(lines) - len(left)
+            n = pc.fill_null(pc.add(pc.count_substring(b.column(1), "\n"), 1), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), n, pa.array(removed)], names=["rest", "t", "n", "r"])
+
+    kind = joined.schema["rest"].dataType.simpleString()
+    done = joined.select("rest", "t", "i", "h").mapInArrow(run, f"rest {kind}, t string, n long, r long")
+    return done.select(*(F.col("t").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in columns), F.col("n").alias(out_lines), F.col("r").alias(out_removed))
+
+
+def line_hash(line: str) -> int:
+    """As xxhash64 of the trimmed line in Spark."""
+    h = xxhash.xxh64_intdigest(line.strip(" ").encode("utf-8", "surrogatepass"), 42)
+    return h - (1 << 64) if h >> 63 else h
