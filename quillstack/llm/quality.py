@@ -44,7 +44,7 @@ POOLED, OWN = "*", "="
 #: Languages with models of their own: at most those with most text; the others share the pooled one.
 MAX_LANGUAGES = 1000
 #: Bits of a key, characters and documents of a block, model entries a shard.
-KEY_BITS, BLOCK_CHARS, BLOCK_DOCS, SHARD = 48, 8_000_000, 60_000, 250_000
+KEY_BITS, BLOCK_CHARS, BLOCK_DOCS, SHARD = 48, 3_000_000, 60_000, 250_000
 #: Trusted ids up to this number (8 bytes each) are broadcast; beyond it they are joined by merging.
 BROADCAST_IDS = 1_000_000
 #: One in so many trusted documents doesn't train, but sets the thresholds.
@@ -279,7 +279,7 @@ def perplexities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
             codes = np.array([model_code(x) for x in b.column(0).to_pylist()], dtype=np.uint64)
             held.append((keys_of(b.column(1).to_numpy().view(np.uint64), codes), b.column(2).to_numpy().astype("<f4")))
             size += b.num_rows
-            if size > 1_000_000:
+            if size > 400_000:
                 yield flush()
                 held, size = [], 0
         if size:
@@ -296,9 +296,12 @@ def perplexities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
                 s, sizes = sequence(texts[lo:hi])
                 owner = np.repeat(np.arange(hi - lo), sizes)
                 codes = np.array([model_code(x) for x in models], dtype=np.uint64)[owner]
-                both = np.concatenate([keys_of(pairs_of(s), codes), keys_of(s[:-1], codes)]) << np.uint64(64 - KEY_BITS)
+                both = np.empty(2 * len(owner), dtype=np.uint64)
+                both[: len(owner)], both[len(owner) :] = keys_of(pairs_of(s), codes), keys_of(s[:-1], codes)
+                both <<= np.uint64(64 - KEY_BITS)
                 both[: len(owner)] |= owner.astype(np.uint64)
                 both[len(owner) :] |= owner.astype(np.uint64)
+                del s, codes, owner
                 both.sort()
                 keys, at = both >> np.uint64(64 - KEY_BITS), both & np.uint64(2 ** (64 - KEY_BITS) - 1)
                 new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
