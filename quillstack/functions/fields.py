@@ -36,12 +36,24 @@ def pick_paper_url(candidates: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(some, lambda x: x.rlike(PDF)), F.lit(1)), F.try_element_at(some, F.lit(1)), F.lit(""))
 
 
+# What a PDF's name counts by how it agrees with the wanted stem, and words of names that aren't the paper's.
+STEM_EQUAL, STEM_PREFIX, STEM_WITHIN, NOT_THE_PAPER = 200, 140, 80, 40
+AUXILIARY = "slides?|presentation|pres|poster|handout|book|supplement"
+
+
 def pdf_score(url: Text, stem: Text) -> Column:
-    """URL-04, RNK-18."""
-    name = F.regexp_replace(F.lower(F.element_at(F.split(F.regexp_replace(blank(url), "[?#].*$", ""), "/"), -1)), r"\.pdf$", "")
-    s = F.lower(blank(stem))
-    near = F.when(name == s, 200).when(name.startswith(s), 140).when(F.contains(name, s), 80).otherwise(0)
-    return near - F.when(name.rlike("slides|poster|presentation"), 40).otherwise(0)
+    """struct<score, shortness>, compared from left to right (URL-04, RNK-18)."""
+    name = F.lower(F.element_at(F.split(F.regexp_replace(blank(url), "[?#].*$", ""), "/"), -1))
+    s = F.lower(collapse_ws(stem))
+    fit = F.when(s == "", 0).when(name == F.concat(s, F.lit(".pdf")), STEM_EQUAL).when(F.startswith(name, F.concat(s, F.lit("-"))), STEM_PREFIX).when(F.contains(name, s), STEM_WITHIN).otherwise(0)
+    return F.struct((fit - F.when(name.rlike(AUXILIARY), NOT_THE_PAPER).otherwise(0)).alias("score"), (-F.length(name)).alias("shortness"))
+
+
+def primary_pdf(candidates: Column, stem: Text) -> Column:
+    """The best of the PDF addresses on a page, else empty (URL-04)."""
+    pdfs = F.filter(F.coalesce(candidates, F.array().cast("array<string>")), lambda x: x.rlike(PDF))
+    ranked = F.transform(pdfs, lambda x, i: F.struct(pdf_score(x, stem).alias("s"), (-i).alias("place"), x.alias("url")))
+    return F.coalesce(F.array_max(ranked)["url"], F.lit(""))
 
 
 def url_host(c: Text) -> Column:
@@ -226,16 +238,35 @@ def publication_and_venue(source: Text, volume: Text, issue: Text) -> Column:
     return F.struct(p.alias("publication"), F.concat_ws(" | ", F.nullif(p, F.lit("")), vol).alias("venue"))
 
 
+def venue_parts(venue: Text) -> Column:
+    return F.filter(F.transform(F.split(blank(venue), r"\|"), lambda x: collapse_ws(x)), lambda x: x != "")
+
+
+VOLUME, ISSUE = r"(?i)^Vol\.\s*(.+?)(?:\s*\(Issue\s*(.+?)\))?$", r"(?i)^Issue\s*(.+)$"
+
+
+def volume_and_issue(venue: Text) -> Column:
+    """struct<volume, issue> of the parts of a venue that say so, the last of each (JSN-02)."""
+    parts = venue_parts(venue)
+    vol = F.coalesce(F.try_element_at(F.filter(parts, lambda x: x.rlike(VOLUME)), F.lit(-1)), F.lit(""))
+    # the last part that names an issue, a volume without one leaves it empty
+    told = F.coalesce(F.try_element_at(F.filter(parts, lambda x: x.rlike(VOLUME) | x.rlike(ISSUE)), F.lit(-1)), F.lit(""))
+    issue = F.when(told.rlike(VOLUME), F.regexp_extract(told, VOLUME, 2)).otherwise(F.regexp_extract(told, ISSUE, 1))
+    return F.struct(F.trim(F.regexp_extract(vol, VOLUME, 1)).alias("volume"), F.trim(issue).alias("issue"))
+
+
 def rebuild_venue(publication: Text, venue: Text) -> Column:
-    """JSN-02: the publication first, then the venue's other parts, once each."""
-    parts = F.transform(F.split(blank(venue), r"\|"), lambda x: collapse_ws(x))
-    return F.array_join(distinct_ignoring_case(F.concat(F.array(collapse_ws(publication)), parts)), " | ")
+    """JSN-02: the publication, volume and issue in one form, then the venue's other parts, once each."""
+    vi = volume_and_issue(venue)
+    form = publication_and_venue(publication, vi["volume"], vi["issue"])["venue"]
+    others = F.filter(venue_parts(venue), lambda x: ~x.rlike(VOLUME) & ~x.rlike(ISSUE))
+    return F.array_join(distinct_ignoring_case(F.concat(F.split(form, r" \| "), others)), " | ")
 
 
 def derive_publication(publication: Text, venue: Text) -> Column:
     """JSN-03."""
     first = collapse_ws(F.element_at(F.split(blank(venue), r"\|"), 1))
-    return F.coalesce(F.nullif(collapse_ws(publication), F.lit("")), F.when(~first.rlike(r"(?i)^(vol\.|issue|volume)"), first), F.lit(""))
+    return F.coalesce(F.nullif(collapse_ws(publication), F.lit("")), F.when(~first.rlike(r"(?i)^(vol\.|issue\b)"), first), F.lit(""))
 
 
 def classify_type(kind: Text, existing: Text) -> Column:

@@ -161,11 +161,13 @@ def display_name(c: Text) -> Column:
 
 
 def normalize_affiliation(c: Text) -> Column:
-    """Abbreviations written out, missing ones empty (KEY-19)."""
+    """Abbreviations written out, a country in brackets at the end dropped, missing ones empty (KEY-19)."""
     t = F.regexp_replace(collapse_ws(c), r"^[\s,;|]+|[\s,;|]+$", "")
-    for short, full in (("Univ", "University"), ("Inst", "Institute"), ("Dept", "Department"), ("Lab", "Laboratory")):
-        t = F.regexp_replace(t, rf"(?i)(?<![A-Za-z]){short}\.?(?![A-Za-z])", full)
-    return F.when(F.lower(t).isin(*NO_AFFILIATION), F.lit("")).otherwise(t)
+    for short, full in (("Univ", "University"), ("Inst", "Institute"), ("Dept", "Department"), ("Lab", "Lab")):
+        t = F.regexp_replace(t, rf"(?i)(?<![A-Za-z]){short}(?:\.|(?![A-Za-z.]))", full)
+    for pattern, to in ((r"\s*&\s*", " & "), (r"\s+,", ","), (r"(?i)\(\s*(?:United States|USA|United Kingdom|UK)\s*\)$", "")):
+        t = F.regexp_replace(t, pattern, to)
+    return F.when(F.lower(t).isin(*NO_AFFILIATION), F.lit("")).otherwise(collapse_ws(t))
 
 
 def person_record(name: Text, affiliation: Text) -> Column:
@@ -192,8 +194,8 @@ def student_talk(title: Text, slides: Text) -> Column:
 
 
 def category_from_heading(c: Text, labels: list[tuple[str, str]]) -> Column:
-    """The category of the label that the heading is, else of the first that it holds (KEY-23)."""
-    key = F.lower(collapse_ws(c))
+    """The category of the label that the heading is, else of the first that it holds, else null (KEY-23)."""
+    key = F.regexp_replace(F.lower(collapse_ws(c)), ":+$", "")
     exact = F.coalesce(*(F.when(key == k, F.lit(v)) for k, v in labels))
     return F.coalesce(exact, *(F.when(F.contains(key, F.lit(k)), F.lit(v)) for k, v in labels))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ Text = Column | str
 
 # What counts as missing in metadata, and tokens that mark an abstract of little worth.
 MISSING_META = ("", "none", "null", "nan", "n/a")
-#: The five markup entities that are resolved without Python; functions.udfs.html_unescape knows them all.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: Letters of any script, as Java names them.
+LETTER = r"\p{L}"
 
 
 def col(c: Text) -> Column:
@@ -29,34 +30,43 @@ def collapse_ws(c: Text) -> Column:
     return F.trim(F.regexp_replace(blank(c), r"(?U)\s+", " "))
 
 
-def unescape_common(c: Text, times: int = 4) -> Column:
-    """Common entities resolved, again and again up to `times`, as for text escaped more than once (TXT-02)."""
-    out = blank(c)
-    for _ in range(times):
-        for entity, ch in ENTITIES:
-            out = F.replace(out, F.lit(entity), F.lit(ch))
-    return out
+def unescape(c: Text, times: int = 4) -> Column:
+    """Character references resolved, named ones (of HTML 4) and numbers, again and again up to `times`, as for text escaped more than once (TXT-02)."""
+    named = F.create_map(*(F.lit(x) for name, point in name2codepoint.items() for x in (name, chr(point))))
+
+    def piece(p: Column) -> Column:
+        name = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        point = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7)).cast("int")
+        valid = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).when(point.isNotNull(), F.lit("\ufffd")).otherwise(F.try_element_at(named, name))
+        return F.coalesce(F.concat(char, F.substr(p, F.length(name) + 2)), F.concat(F.lit("&"), p))
+
+    def once(t: Column) -> Column:
+        parts = F.split(t, "&", -1)
+        return F.when(F.contains(t, F.lit("&")), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece), ""))).otherwise(t)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(times)), blank(c), lambda t, _: once(t))
 
 
 def strip_markup(c: Text) -> Column:
     """Entities, then script and style blocks, then tags, then white space (TXT-03)."""
-    out = F.regexp_replace(unescape_common(c), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+    out = F.regexp_replace(unescape(c), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
     return collapse_ws(F.regexp_replace(out, r"(?s)<[^>]+>", " "))
 
 
 def strip_tags(c: Text) -> Column:
     """Line breaks and paragraph ends as spaces, tags dropped, and entities resolved only then (TXT-04)."""
     out = F.regexp_replace(blank(c), r"(?i)<br\s*/?>|</p>", " ")
-    return collapse_ws(unescape_common(F.regexp_replace(out, r"(?s)<[^>]+>", ""), 1))
+    return collapse_ws(unescape(F.regexp_replace(out, r"(?s)<[^>]+>", ""), 1))
 
 
 def strip_markdown(c: Text) -> Column:
-    """Plain text of markdown: fences, code, images, links, headings, bullets, emphasis (TXT-05)."""
+    """Plain text of markdown: no fences and code, what images and links say, no marks of headings, lists and emphasis (TXT-05)."""
     steps = (
-        (r"(?s)```.*?```", " "), (r"`([^`]*)`", "$1"), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"),
-        (r"(?m)^\s{0,3}#{1,6}\s*", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""), (r"[*_]+", " "),
+        ("(?s)```.*?```|`[^`]*`", " "), (r"!?\[([^\]]*)\]\([^)]+\)", "$1"), (r"(?m)^#{1,6}\s*", ""),
+        (r"(?m)^\s*(?:[-*]|\d+\.)\s+", ""), ("[*_]", " "),
     )
-    out = blank(c)
+    out = F.regexp_replace(blank(c), "\r\n?", "\n")
     for pattern, to in steps:
         out = F.regexp_replace(out, pattern, to)
     return strip_tags(out)
@@ -81,14 +91,15 @@ def truncate(c: Text, limit: int = 180, mark: str = "…") -> Column:
 
 
 def english_ratio(c: Text) -> Column:
-    """Share of ASCII letters among letters, 0 without letters (TXT-09)."""
-    letters = F.regexp_count(blank(c), F.lit(r"\p{L}"))
-    return F.when(letters > 0, F.regexp_count(blank(c), F.lit("[A-Za-z]")) / letters).otherwise(F.lit(0.0))
+    """Share of ASCII letters among the letters of the text without markup, 0 without letters (TXT-09)."""
+    t = strip_markup(c)
+    letters = F.regexp_count(t, F.lit(LETTER))
+    return F.when(letters > 0, F.regexp_count(t, F.lit("[A-Za-z]")) / letters).otherwise(F.lit(0.0))
 
 
-def looks_non_english(c: Text, threshold: float) -> Column:
+def looks_non_english(c: Text, threshold: float = 0.35) -> Column:
     """Whether there are letters, but too few ASCII ones (TXT-10)."""
-    return blank(c).rlike(r"\p{L}") & (english_ratio(c) < threshold)
+    return strip_markup(c).rlike(LETTER) & (english_ratio(c) < threshold)
 
 
 def is_placeholder(c: Text, placeholders: tuple[str, ...]) -> Column:
@@ -124,16 +135,16 @@ def keyword_tokens(c: Text) -> Column:
 
 
 def mining_fragment(c: Text) -> Column:
-    """Text for mining: no URLs, brackets or quotes, and spaces where scripts meet (TXT-16)."""
-    out = F.regexp_replace(blank(c), r"https?://\S+", " ")
-    out = F.regexp_replace(out, "[\r\n]+", " ")
-    out = F.regexp_replace(out, r"(?<=[A-Za-z0-9])(?=[^\x00-\x7F])|(?<=[^\x00-\x7F])(?=[A-Za-z0-9])", " ")
-    return collapse_ws(F.regexp_replace(out, r"[\[\](){}<>\"'“”‘’]", " "))
+    """Text for mining: no URLs, brackets, quotes and names of markup, spaces where letters and digits meet signs and other scripts, lower case (TXT-16)."""
+    out = F.regexp_replace(blank(c), r"https?://\S+|[\r\n]+", " ")
+    out = F.regexp_replace(out, r"(?<=[A-Za-z0-9])(?=[^A-Za-z0-9\s])|(?<=[^A-Za-z0-9\s])(?=[A-Za-z0-9])", " ")
+    out = F.regexp_replace(out, r"[<>{}\[\]()`\"']", " ")
+    return F.lower(collapse_ws(F.regexp_replace(out, r"(?i)\b(?:xmlns|mathml|xlink|mml|https?|www|org)\b", " ")))
 
 
 def strip_title_annotation(c: Text) -> Column:
     """Machine-translation notes in brackets at the end dropped, all of them (TXT-17)."""
-    return F.trim(F.regexp_replace(blank(c), r"(?i)(\s*[【\[][^】\]]{0,140}(powered|translation|翻訳)[^】\]]*[】\]])+\s*$", ""))
+    return F.trim(F.regexp_replace(blank(c), r"(?i)(\s*[【\[][^】\]]{0,140}(powered|nict|jst|translation|翻訳)[^】\]]*[】\]])+\s*$", ""))
 
 
 def low_signal_abstract(c: Text, markers: tuple[str, ...]) -> Column:

@@ -73,3 +73,33 @@ def needs_probe(cache_status: Column, cache_source: Column, source: Column, cach
     moved = F.coalesce(cache_source, F.lit("")) != F.coalesce(source, F.lit(""))
     old = F.coalesce(cached_at < now - F.expr(f"interval {days} days"), F.lit(True))
     return F.when(cache_status == "hit", moved).when(cache_status == "miss", moved | old).otherwise(~filled(cached_text))
+
+
+def within_budget(probes: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first `most` rows that ask for a probe, the others are skipped in this run (WIN-04)."""
+    return probes.orderBy(*order).limit(most)
+
+
+def backfill_statistics(papers: DataFrame, work: Column, loaded: Column, before: Column, after: Column) -> DataFrame:
+    """One row: papers, those with a work's id, with the work at hand, and changed by it (AGG-11)."""
+    has = filled(work)
+    return papers.agg(F.count("*").alias("papers_total"), F.count_if(has).alias("papers_with_work_id"), F.count_if(has & loaded).alias("papers_with_work_loaded"), F.count_if(has & loaded & ~before.eqNullSafe(after)).alias("papers_changed"))
+
+
+def enrichment_totals(papers: DataFrame, tags: str, keywords: str, old_tags: str, old_keywords: str) -> DataFrame:
+    """One row: papers, those changed, with tags, with keywords (AGG-12)."""
+    some = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) > 0
+    changed = ~(F.col(tags).eqNullSafe(F.col(old_tags)) & F.col(keywords).eqNullSafe(F.col(old_keywords)))
+    return papers.agg(F.count("*").alias("papers"), F.count_if(changed).alias("changed"), F.count_if(some(tags)).alias("with_tags"), F.count_if(some(keywords)).alias("with_keywords"))
+
+
+def event_json_path(path: Column | str) -> Column:
+    """FLT-16: a bundle of events, not their index."""
+    p = blank(path)
+    return p.startswith("devmtg/events/") & p.endswith(".json") & ~p.endswith("index.json")
+
+
+def paper_json_path(path: Column | str) -> Column:
+    """FLT-16: a bundle of papers, not their index."""
+    p = blank(path)
+    return p.startswith("papers/") & p.endswith(".json") & (p != "papers/index.json")

@@ -74,3 +74,24 @@ def action_label(url: Column, is_blog: Column) -> Column:
 def speaker_list(people: Column) -> Column:
     """EXP-08."""
     return F.array_join(F.filter(F.transform(people, lambda p: collapse_ws(p["name"])), lambda x: x != ""), ", ")
+
+
+def missing_files(listing: DataFrame, path: str, required: list[str]) -> DataFrame:
+    """(path) of required files that a listing doesn't have (VAL-01)."""
+    wanted = listing.sparkSession.createDataFrame([(r,) for r in required], f"{path} string")
+    return wanted.join(listing.select(path).distinct(), path, "left_anti")
+
+
+def stray_files(listing: DataFrame, path: str, folder: str, suffix: str = ".json") -> DataFrame:
+    """(path) of files in a folder that aren't of the one kind allowed there (VAL-02)."""
+    return listing.select(path).where(F.startswith(F.col(path), F.lit(folder)) & ~F.endswith(F.lower(F.col(path)), F.lit(suffix)))
+
+
+def check_options(batch_size: int | None = None, repository: str | None = None, max_posts: int | None = None) -> None:
+    """Raise ValueError for options of a run that mean nothing (VAL-10)."""
+    if batch_size is not None and batch_size <= 0:
+        raise ValueError("batch size must be positive")
+    if repository is not None and not (repository.count("/") == 1 and all(repository.split("/"))):
+        raise ValueError("repository must be owner/name")
+    if max_posts is not None and max_posts < 0:
+        raise ValueError("max posts must not be negative")

@@ -106,3 +106,48 @@ def matches_terms(text_key: Column, terms: list[str]) -> Column:
 def matched_labels(text_key: Column, aliases: dict[str, list[str]]) -> Column:
     """FLT-09: labels with an alias in the key, sorted."""
     return F.array_compact(F.array(*(F.when(matches_terms(text_key, a), F.lit(k)) for k, a in sorted(aliases.items()))))
+
+
+# Types of posts, and of works from outside that are wanted.
+POST_TYPES = ("blog-post", "blog", "news-post")
+
+
+def is_post(source: Column | str, kind: Column | str, blog_source: str) -> Column:
+    """FLT-05."""
+    return (F.lower(F.trim(blank(source))) == blog_source) | F.lower(F.trim(blank(kind))).isin("blog-post", "blog")
+
+
+def research_like(source: Column | str, kind: Column | str, blog_source: str) -> Column:
+    """FLT-10: anything but posts and news."""
+    return (F.lower(F.trim(blank(source))) != blog_source) & ~F.lower(F.trim(blank(kind))).isin(*POST_TYPES)
+
+
+def allowed_type(kind: Column | str, allowed: list[str]) -> Column:
+    """FLT-11: one of the allowed types, or none given."""
+    k = F.lower(F.trim(blank(kind)))
+    return (k == "") | k.isin(*allowed)
+
+
+def canceled_meeting(flag: Column, location: Column | str) -> Column:
+    return F.coalesce(flag, F.lit(False)) | F.lower(blank(location)).rlike("cancell?ed")
+
+
+def named_meeting(flag: Column, location: Column | str, name: Column | str, series: str) -> Column:
+    """FLT-06: held, and of a series by its name."""
+    return ~canceled_meeting(flag, location) & F.contains(F.lower(blank(name)), F.lit(series.lower()))
+
+
+def card_disabled(flag: Column, location: Column | str, talks: Column, slides: Column) -> Column:
+    """FLT-18: canceled, or nothing to show."""
+    return canceled_meeting(flag, location) | ((F.coalesce(talks, F.lit(0)) == 0) & (F.coalesce(slides, F.lit(0)) == 0))
+
+
+def matches_entity(kind: str, value: str, people: Column, topics: Column) -> Column:
+    """FLT-12: whether an item is of a person, or has a topic, by which all works are listed."""
+    from quillstack.functions.keys import person_signature, same_person
+
+    if kind == "speaker":
+        target = person_signature(F.lit(value))
+        return F.exists(F.coalesce(people, F.array().cast("array<string>")), lambda p: same_person(person_signature(p), target))
+    wanted = " ".join(value.lower().split())
+    return F.exists(F.coalesce(topics, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)) == wanted)

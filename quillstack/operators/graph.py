@@ -14,7 +14,10 @@ def key_components(records: DataFrame, id_col: str, keys_col: str, max_rounds: i
     """
     spark = records.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/quillstack-checkpoints")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        spark.sparkContext.setCheckpointDir(base or "file:///tmp/quillstack-checkpoints")  # the latter in tests
     pairs = records.select(F.col(id_col).alias("id"), F.explode(keys_col).alias("key")).distinct().checkpoint()
     labels = records.select(F.col(id_col).alias("id"), F.col(id_col).alias("label")).distinct()
     for _ in range(max_rounds):

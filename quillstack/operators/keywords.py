@@ -24,6 +24,9 @@ class Lexicon:
     noise: frozenset[str] = frozenset("abstract approach available based different existing first however many method methods new paper papers present presented problem proposed result results show shows study system technique techniques used use work".split())
     edges: frozenset[str] = frozenset("based new using novel several various".split())
     technical: frozenset[str] = frozenset("abi api cpu gpu jit ssa simd ir".split())
+    unigram_noise: frozenset[str] = frozenset("application code compiler data language performance program programs software systems".split())
+    #: Words that end like a verb and are kept as single words all the same.
+    kept_endings: frozenset[str] = frozenset("fuzzing offloading".split())
     technical_suffixes: tuple[str, ...] = ("ization", "compiler", "optimizer", "analysis", "vectorizer", "former")
     formats: dict[str, str] = field(default_factory=lambda: {"abi": "ABI", "api": "API", "cpu": "CPU", "gpu": "GPU", "jit": "JIT", "ssa": "SSA", "simd": "SIMD", "ir": "IR"})
 
@@ -38,28 +41,33 @@ def rule_labels(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def is_candidate(t: Column, lex: Lexicon) -> Column:
-    """KWX-05."""
-    return (F.length(t) >= 2) & ~t.isin(*lex.stop) & ~t.isin(*lex.noise) & ~t.rlike(r"^\d+[+]?$") & ~t.rlike(r"^(19|20)\d{2}$")
+    """Whether a token may be part of a phrase: no stop word, number or year, and of three letters and digits unless it has a form of its own (KWX-05)."""
+    bare = F.regexp_replace(t, "[^a-z0-9]+", "")
+    short = (F.length(bare) <= 2) & ~t.isin(*lex.formats)
+    return ~t.isin(*lex.stop, *lex.noise) & ~t.rlike(r"^\d+[+]?$") & ~bare.rlike(r"^\d*$") & ~short
 
 
 def is_technical(t: Column, lex: Lexicon) -> Column:
-    """KWX-06."""
-    out = t.isin(*lex.technical) | t.rlike("[0-9+#]")
-    for s in lex.technical_suffixes:
-        out = out | t.endswith(s)
-    return out
+    """Whether a single word says something by itself: listed, letters and digits mixed, hyphenated, or of a technical ending (KWX-06)."""
+    listed = t.isin(*lex.formats, *lex.technical)
+    shaped = t.rlike(r"[a-z]\d|\d[a-z]") | (F.contains(t, F.lit("-")) & (F.length(t) >= 6))
+    ending = t.rlike("(?:" + "|".join(lex.technical_suffixes) + ")$")
+    return listed | shaped | ending
 
 
 def is_low_signal(tokens: Column, lex: Lexicon) -> Column:
-    """KWX-07: an edge that says nothing, or one word again and again."""
-    first, last = F.element_at(tokens, 1), F.element_at(tokens, -1)
-    return first.isin(*lex.edges, *lex.stop) | last.isin(*lex.edges, *lex.stop) | ((F.size(tokens) > 1) & (F.size(F.array_distinct(tokens)) == 1))
+    """Short single words, a word next to itself, repeats among three, and edges that say nothing (KWX-07)."""
+    n, first, last = F.size(tokens), F.element_at(tokens, 1), F.element_at(tokens, -1)
+    short = (n == 1) & (F.length(first) <= 3) & ~first.isin(*lex.formats)
+    twins = F.exists(F.zip_with(tokens, F.slice(tokens, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda x, y: x == y), lambda same: F.coalesce(same, F.lit(False)))
+    again = (n >= 3) & (F.size(F.array_distinct(tokens)) < n)
+    return short | twins | again | first.isin(*lex.edges) | last.isin(*lex.edges)
 
 
 def format_phrase(phrase: Column, lex: Lexicon) -> Column:
     """KWX-08."""
     table = F.create_map(*(F.lit(x) for kv in lex.formats.items() for x in kv))
-    return F.array_join(F.transform(F.split(phrase, " "), lambda t: F.coalesce(F.try_element_at(table, t), F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1000)))), " ")
+    return F.array_join(F.transform(F.split(phrase, " "), lambda t: F.coalesce(F.try_element_at(table, t), F.when(t == "c++", F.lit("C++")), F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1000)))), " ")
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -76,7 +84,7 @@ def phrase_scores(df: DataFrame, id_col: str, title: str, abstract: str, lex: Le
     base = df.select(F.col(id_col).alias("id"), keyword_tokens(mining_fragment(title)).alias("t"), keyword_tokens(mining_fragment(abstract)).alias("a"))
 
     def phrases(where: str, n: int) -> Column:
-        grams = F.filter(ngrams(F.col(where), n), lambda g: F.forall(g, lambda x: is_candidate(x, lex)) & ~is_low_signal(g, lex))
+        grams = F.filter(ngrams(F.col(where), n), lambda g: F.forall(g, lambda x: is_candidate(x, lex)))
         return F.transform(grams, lambda g: F.struct(F.array_join(g, " ").alias("phrase"), F.lit(n).alias("n"), F.lit(1 if where == "t" else 0).alias("in_title")))
 
     parts = [phrases(where, n) for where in ("t", "a") for n in (1, 2, 3)]
@@ -87,24 +95,54 @@ def phrase_scores(df: DataFrame, id_col: str, title: str, abstract: str, lex: Le
     return g.withColumn("score", F.round(score, 6))
 
 
-def mined_keywords(df: DataFrame, id_col: str, title: str, abstract: str, lex: Lexicon | None = None, limit: int = MINED) -> DataFrame:
-    """(id, keywords): the best phrases, each unless it lies in one that was taken before or holds one (KWX-04).
+def mined_phrases(scores: DataFrame, lex: Lexicon | None = None) -> DataFrame:
+    """Of phrase_scores() those that may be keywords (KWX-04).
 
-    A single word must be technical, or be met twice in the abstract, three times in all, and have six letters.
+    Outside the title a phrase must be met twice; of the title alone it must be of 11 letters.  Single
+    words must be technical, or be met twice in the abstract, three times in all, and have six letters,
+    and not end like a verb or adverb.
     """
     lex = lex or Lexicon()
-    s = phrase_scores(df, id_col, title, abstract, lex)
-    plain = (F.col("abstract_hits") >= 2) & (F.col("title_hits") + F.col("abstract_hits") >= 3) & (F.length("phrase") >= 6)
-    s = s.where((F.col("n") > 1) | is_technical(F.col("phrase"), lex) | plain)
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "phrase")
-    best = s.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 4 * limit)
-    lists = best.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "phrase"))), lambda x: x["phrase"]).alias("ranked"))
-    spaced = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
-    taken = F.aggregate(
-        "ranked", F.array().cast("array<string>"),
-        lambda acc, p: F.when((F.size(acc) >= limit) | F.exists(acc, lambda k: F.contains(spaced(k), spaced(p)) | F.contains(spaced(p), spaced(k))), acc).otherwise(F.concat(acc, F.array(p))),
-    )
-    return lists.select("id", F.transform(taken, lambda p: format_phrase(p, lex)).alias("keywords"))
+    p, in_title, twice = F.col("phrase"), F.col("title_hits") > 0, F.col("abstract_hits") >= 2
+    met = F.when(in_title, (F.col("abstract_hits") > 0) | (F.length(F.replace(p, F.lit(" "), F.lit(""))) >= 11)).otherwise(twice)
+    plain = twice & (F.col("title_hits") + F.col("abstract_hits") >= 3) & (F.length(p) >= 6)
+    single = ~p.isin(*lex.unigram_noise) & (~p.rlike("(ly|ed|ing)$") | p.isin(*lex.kept_endings)) & (is_technical(p, lex) | plain)
+    return scores.where(~p.isin(*lex.noise) & ~is_low_signal(F.split(p, " "), lex) & met & ((F.col("n") > 1) | single))
+
+
+def mined_keywords(df: DataFrame, id_col: str, title: str, abstract: str, lex: Lexicon | None = None, limit: int = MINED) -> DataFrame:
+    """(id, keywords): the best phrases; one that lies in another taken before is passed over, one that holds another takes its place (KWX-04, LIM-02)."""
+    lex = lex or Lexicon()
+    s = mined_phrases(phrase_scores(df, id_col, title, abstract, lex), lex)
+    # a document's own phrases, as many as it has
+    lists = s.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("phrase")))).alias("ranked"))
+    phrases = F.transform("ranked", lambda x: F.struct(format_phrase(x["phrase"], lex).alias("phrase"), alnum_key(format_phrase(x["phrase"], lex)).alias("key")))
+
+    def take(acc: Column, p: Column) -> Column:
+        at = F.array_max(F.transform(acc, lambda x, i: F.when(F.contains(p["key"], x["key"]), i).otherwise(F.lit(-1))))
+        there = F.coalesce(at, F.lit(-1))
+        done = (F.size(acc) >= limit) | (p["key"] == "") | F.exists(acc, lambda x: F.contains(x["key"], p["key"]))
+        return F.when(done, acc).when(there >= 0, F.transform(acc, lambda x, i: F.when(i == there, p).otherwise(x))).otherwise(F.concat(acc, F.array(p)))
+
+    taken = F.aggregate(phrases, F.array().cast("array<struct<phrase:string,key:string>>"), take)
+    return lists.select("id", F.transform(taken, lambda x: x["phrase"]).alias("keywords"))
+
+
+def key_topics(values: Column, text: Column, rules: list[tuple[str, str]], aliases: dict[str, str], limit: int | None = None) -> Column:
+    """Canonical topics of an item: of its tags and keywords, then of the rules that its text matches, once each (KWX-12, LIM-02)."""
+    from quillstack.functions.keys import canonical_topic
+
+    named = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.coalesce(canonical_topic(v, aliases), F.trim(v)))
+    out = distinct_ignoring_case(F.concat(named, rule_labels(text, rules)), alnum_key)
+    return F.slice(out, 1, limit) if limit else out
+
+
+def talk_text(title: Column, abstract: Column) -> Column:
+    return F.concat_ws(" ", F.trim(blank(title)), F.trim(blank(abstract)))
+
+
+def paper_text(title: Column, abstract: Column, publication: Column, venue: Column) -> Column:
+    return F.array_join(F.filter(F.array(*(F.trim(blank(c)) for c in (title, abstract, publication, venue))), lambda x: x != ""), " ")
 
 
 def combined_keywords(tags: Column, aliases: Column, mined: Column, limit: int = MINED) -> Column:
@@ -112,7 +150,7 @@ def combined_keywords(tags: Column, aliases: Column, mined: Column, limit: int =
     every = distinct_ignoring_case(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in (tags, aliases, mined))))
     taken = F.aggregate(
         every, F.array().cast("array<string>"),
-        lambda acc, p: F.when((F.size(acc) >= limit) | F.exists(acc, lambda k: F.contains(alnum_key(k), alnum_key(p))), acc).otherwise(F.concat(acc, F.array(p))),
+        lambda acc, p: F.when((F.size(acc) >= limit) | (alnum_key(p) == "") | F.exists(acc, lambda k: F.contains(alnum_key(k), alnum_key(p))), acc).otherwise(F.concat(acc, F.array(p))),
     )
     return taken
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions.fields import distinct_ignoring_case
 from quillstack.functions.keys import affiliation_key, normalize_affiliation, person_key, person_signature
-from quillstack.functions.text import blank
+from quillstack.functions.text import blank, collapse_ws
 
 from .graph import key_components
 
@@ -19,26 +19,45 @@ def record_quality(priority: Column, work: Column, doi: Column, abstract: Column
     return F.struct(priority.alias("a"), has(work).alias("b"), has(doi).alias("c"), F.length(blank(abstract)).alias("d"), F.length(blank(title)).alias("e"), F.coalesce(F.size(authors), F.lit(0)).alias("f"), F.coalesce(citations, F.lit(0)).alias("g"), F.coalesce(F.size(labels), F.lit(0)).alias("h"))
 
 
+def author_list_quality(authors: Column) -> Column:
+    """How good a list of author names is, compared from left to right: names, long ones, fewer single letters (RNK-13)."""
+    names = F.filter(F.transform(F.coalesce(authors, F.array().cast("array<string>")), lambda a: collapse_ws(a)), lambda a: a != "")
+    count = lambda test: F.size(F.filter(names, test))
+    return F.struct(F.size(names).alias("names"), count(lambda a: F.length(a) >= 6).alias("long"), (-count(lambda a: a.rlike(r"^[A-Za-z]\.?$"))).alias("initials"))
+
+
+def best_authors(authors: str, order: Column) -> Column:
+    """The author list of a group's records that the others, merged in order, don't better: the first of the best; empty ones never lead (ER-04)."""
+    some = F.size(F.coalesce(authors, F.array().cast("array<string>"))) > 0
+    return F.min_by(authors, F.when(some, F.struct(negated(author_list_quality(F.col(authors))).alias("q"), order.alias("o"))))
+
+
+def negated(quality: Column) -> Column:
+    return F.struct((-quality["names"]).alias("a"), (-quality["long"]).alias("b"), (-quality["initials"]).alias("c"))
+
+
 def first_filled(c: str, order: Column) -> Column:
     """The first of a group's values, in an order, that isn't blank: what filling empty fields in that order leads to (ER-03)."""
     return F.min_by(c, F.when(F.trim(blank(c)) != "", order)).alias(c)
 
 
-def merge_duplicates(records: DataFrame, id_col: str, keys_col: str, order_col: str, quality: Column, scalars: list[str], arrays: list[str], counts: list[str]) -> DataFrame:
-    """One record for each class of records that share keys (ER-01, ER-03).
+def merge_duplicates(records: DataFrame, id_col: str, keys_col: str, order_col: str, quality: Column, scalars: list[str], arrays: list[str], counts: list[str], authors: str | None = None) -> DataFrame:
+    """One record for each class of records that share keys (ER-01, ER-03, ER-04).
 
     The best record leads, the others follow in order; blanks are filled from the first that has a
-    value, arrays are joined without repeats, counts are the largest.
+    value, arrays are joined without repeats, counts are the largest, authors are the best list.  All of
+    it is aggregation, partial before the shuffle; only arrays hold more than one value of a class.
     """
     classes = key_components(records, id_col, keys_col)
     rows = records.join(classes, records[id_col] == classes["id"]).drop(classes["id"]).withColumn("__q", quality)
-    best = Window.partitionBy("component").orderBy(F.desc("__q"), order_col)
-    rows = rows.withColumn("__r", F.row_number().over(best))
-    order = F.struct(F.when(F.col("__r") == 1, 0).otherwise(1), F.col(order_col))
-    aggs = [first_filled(c, order) for c in scalars]
+    # of equal quality the first leads
+    lead = rows.groupBy("component").agg(F.max("__q").alias("__best")).join(rows.select("component", "__q", order_col), "component").where("__q = __best").groupBy("component").agg(F.min(order_col).alias("__lead"))
+    rows = rows.join(lead, "component")
+    order = F.struct(F.when(F.col(order_col) == F.col("__lead"), 0).otherwise(1), F.col(order_col))
+    aggs = [first_filled(c, order) for c in scalars] + ([best_authors(authors, order).alias(authors)] if authors else [])
     aggs += [distinct_ignoring_case(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(a).alias("v")))), lambda x: x["v"]))).alias(a) for a in arrays]
     aggs += [F.max(c).alias(c) for c in counts]
-    return rows.groupBy("component").agg(F.count("*").alias("members"), F.min_by(id_col, F.col("__r")).alias("best_id"), *aggs)
+    return rows.groupBy("component").agg(F.count("*").alias("members"), F.min_by(id_col, order).alias("best_id"), *aggs)
 
 
 def people(entries: DataFrame, name: str, affiliation: str, work_id: str, kind: str, citations: str) -> DataFrame:
@@ -59,6 +78,76 @@ def display_label(counts: DataFrame, group: str, label: str, count: str) -> Data
     return counts.withColumn("__s", score).withColumn("__r", F.row_number().over(w)).where("__r = 1").select(group, label)
 
 
+def variant_names(counts: DataFrame, group: str, name: str, count: str) -> DataFrame:
+    """(group, names): a person's spellings by count and alphabet, the first of each name key (ER-08)."""
+    keyed = counts.select(group, F.col(name).alias("name"), F.col(count).alias("n"), person_key(name).alias("key")).where("key <> ''")
+    once = keyed.groupBy(group, "key").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("name").alias("name"))).alias("v"))
+    return once.groupBy(group).agg(F.transform(F.array_sort(F.collect_list("v")), lambda v: v["name"]).alias("names"))
+
+
+def matched_seeds(works: DataFrame, id_col: str, authors: str, seeds: DataFrame, key: str, label: str) -> DataFrame:
+    """(id, matched): works of at least one seed author, with the seeds' names, sorted, once each (JON-05).
+
+    seeds: (key, label), keys of person names as authors have them under title_key().
+    """
+    from quillstack.functions.keys import title_key
+
+    a = works.select(F.col(id_col).alias("id"), F.explode(authors).alias("a")).select("id", title_key("a").alias("k")).where("k <> ''")
+    return a.join(seeds.select(F.col(key).alias("k"), F.col(label).alias("label")), "k").groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("matched"))
+
+
+# What stands for no value in the metadata of meetings.
+NO_VALUE_KEYS = ("tbd", "tba", "tbc", "na", "none", "unknown", "null")
+
+
+def meaningful(c: Column | str) -> Column:
+    """Whether metadata says anything (FLT-14)."""
+    from quillstack.functions.keys import alnum_key
+
+    k = alnum_key(c)
+    return (k != "") & ~k.isin(*NO_VALUE_KEYS)
+
+
+def preferred_value(*values: Column) -> Column:
+    """The first value that says anything, else the first that isn't blank, else empty (ER-10)."""
+    return F.coalesce(*(F.when(meaningful(v), collapse_ws(v)) for v in values), *(F.nullif(collapse_ws(v), F.lit("")) for v in values), F.lit(""))
+
+
+def promoted_hint(current: Column, upstream: Column, hint: Column) -> Column:
+    """A hint in place of a value that was merely taken over from upstream (JON-18)."""
+    from quillstack.functions.keys import alnum_key
+
+    a, b, h = alnum_key(current), alnum_key(upstream), alnum_key(hint)
+    return F.when((a != "") & (b != "") & (h != "") & (a == b) & (a != h), collapse_ws(hint)).otherwise(current)
+
+
+def merged_meetings(existing: DataFrame, remote: DataFrame, hints: DataFrame) -> DataFrame:
+    """(slug, name, date, location): curated values before remote ones, hints in place of what was taken over from remote; none is deleted (INC-10, ER-10).
+
+    existing, remote: (slug, name, date, location); hints: (slug, date, location).
+    """
+    named = lambda d, p, cs: d.select("slug", *(F.col(c).alias(f"{p}_{c}") for c in cs))
+    fields = ("name", "date", "location")
+    j = named(existing, "e", fields).join(named(remote, "r", fields), "slug", "full_outer").join(named(hints, "h", fields[1:]), "slug", "left")
+    value = lambda c: promoted_hint(preferred_value(F.col(f"e_{c}"), F.col(f"h_{c}"), F.col(f"r_{c}")), F.col(f"r_{c}"), F.col(f"h_{c}"))
+    return j.select("slug", preferred_value(F.col("e_name"), F.col("r_name"), F.col("slug")).alias("name"), value("date").alias("date"), value("location").alias("location"))
+
+
+def upserted_talks(existing: DataFrame, remote: DataFrame, curated: list[str], refreshed: list[str], full_key: str, title_key: str, order: str, id_col: str) -> DataFrame:
+    """Existing talks, curated fields filled only where they are blank and links taken from remote, and remote ones that match none, with id null (INC-10, JON-04).
+
+    A remote talk matches by its full key, else by a title that one existing talk alone has.
+    """
+    match = match_remote(remote, existing, full_key, title_key, order, id_col)
+    r = remote.select(F.col(order).alias("__seq"), *(F.col(c).alias(f"__{c}") for c in (*curated, *refreshed))).join(match.select(F.col(order).alias("__seq"), F.col("id").alias("__id"), "how"), "__seq")
+    fill = lambda c: F.nullif(F.trim(blank(f"__{c}")), F.lit(""))
+    # of several remote talks for one the first that says anything fills a field, the last refreshes a link
+    hits = r.where("how <> 'insert'").groupBy("__id").agg(*(F.min_by(fill(c), F.when(fill(c).isNotNull(), F.col("__seq"))).alias(f"__{c}") for c in curated), *(F.max_by(fill(c), F.when(fill(c).isNotNull(), F.col("__seq"))).alias(f"__{c}") for c in refreshed))
+    kept = existing.join(hits, existing[id_col] == hits["__id"], "left").select(F.col(id_col), *(F.when(F.trim(blank(c)) != "", F.col(c)).otherwise(F.coalesce(F.col(f"__{c}"), F.col(c))).alias(c) for c in curated), *(F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) for c in refreshed))
+    new = r.where("how = 'insert'").select(F.lit(None).cast(existing.schema[id_col].dataType).alias(id_col), *(F.col(f"__{c}").alias(c) for c in (*curated, *refreshed)))
+    return kept.unionByName(new)
+
+
 def merge_name_variants(buckets: DataFrame) -> DataFrame:
     """(key, merged_key): buckets (key, name, names, affiliations) of one first and last name whose middle names agree and whose affiliations meet, or one has none (ER-06, ER-07).
 

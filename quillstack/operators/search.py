@@ -73,16 +73,18 @@ def fuzzy_score(tokens: list[str], fields: dict[str, Column | str], bonus: dict[
 def search(df: DataFrame, query: str, fields: dict[str, Column | str], weights: dict[str, int], year: Column | None = None, epoch: int = TALK_EPOCH) -> DataFrame:
     """df's matches with score and mode: exact ones, or fuzzy ones if no row matches exactly (RNK-02, 09, 10).
 
-    Both scores come from one scan; whether any row matches exactly is an aggregate of one row.
+    Whether any row matches exactly is an aggregate of one row, over a scan of its own.
     """
     tokens = query_tokens(query)
     if not tokens:
         return df.withColumn("score", F.lit(0.0)).withColumn("mode", F.lit("browse"))
     exact = df.withColumn("score", exact_score(tokens, fields, weights, year, epoch))
     any_exact = exact.agg(F.coalesce(F.max(F.col("score") > 0), F.lit(False)).alias("__any"))  # one row
-    both = exact.withColumn("__fuzzy", fuzzy_score(tokens, {k: v for k, v in fields.items() if k in FUZZY_BONUS}).cast("double")).crossJoin(F.broadcast(any_exact))
-    out = both.withColumn("mode", F.when(F.col("__any"), "exact").otherwise("fuzzy")).withColumn("score", F.when(F.col("__any"), F.col("score")).otherwise(F.col("__fuzzy")))
-    return out.where("score > 0").drop("__any", "__fuzzy")
+    fuzzy = fuzzy_score(tokens, {k: v for k, v in fields.items() if k in FUZZY_BONUS}).cast("double")
+    out = exact.crossJoin(F.broadcast(any_exact))
+    # a conditional is lazy: fuzzy scores are made only where no row matches exactly
+    out = out.withColumn("score", F.when(F.col("__any"), F.col("score")).otherwise(fuzzy)).withColumn("mode", F.when(F.col("__any"), "exact").otherwise("fuzzy"))
+    return out.where("score > 0").drop("__any")
 
 
 def page(df: DataFrame, order: list[Column], first: int = 60, more: int = 40, number: int = 0) -> DataFrame:
@@ -114,11 +116,49 @@ def name_match(target: Column, candidate: Column) -> Column:
     return F.when(F.array_join(name_tokens(target), " ") == F.array_join(name_tokens(candidate), " "), 100).when((both == F.size(a)) & (both == F.size(b)), 95).when((both == F.size(a)) & (both > 0), 70).when((both == F.size(b)) & (both > 0), 45).when(both > 0, 25).otherwise(0)
 
 
+# What a candidate's label and noise in its text count, and labels and texts that are meant.
+LABEL_BONUSES = ((0.2, r"lang=en|:en$|\|en$"), (0.15, "english"), (0.08, r"citation_|dc\.|dcterms\.|ldjson|script:translated|script:english"), (0.02, "og:|twitter:|html:title"))
+NOISE, NOISE_MARKERS = 0.4, "all rights reserved|cookie|javascript is disabled|subscribe|sign in|log in|privacy policy"
+
+
 def english_candidate_score(label: Column, value: Column) -> Column:
-    """HTM-03, RNK-11."""
-    from quillstack.functions.text import english_ratio
+    """Share of English, a little for length, for each thing that the label says, less for noise; 0 without text (HTM-03, RNK-11)."""
+    from quillstack.functions.text import collapse_ws, english_ratio, strip_markup
+
+    low, clean = F.lower(collapse_ws(label)), strip_markup(value)
+    bonus = sum((F.when(low.rlike(pattern), worth).otherwise(0.0) for worth, pattern in LABEL_BONUSES), F.lit(0.0))
+    noise = F.when(F.lower(clean).rlike(NOISE_MARKERS), NOISE).otherwise(0.0)
+    return F.when(clean == "", F.lit(0.0)).otherwise(english_ratio(value) + F.least(F.length(clean) / 400, F.lit(0.2)) + bonus - noise)
+
+
+def match_count(df: DataFrame, query: str, fields: dict[str, Column | str], weights: dict[str, int]) -> DataFrame:
+    """(n, mode): how many rows a query would find, exactly or, if none, fuzzily; what routes a query to another corpus (AGG-10)."""
+    tokens = query_tokens(query)
+    if not tokens:
+        return df.sparkSession.createDataFrame([(0, "browse")], "n long, mode string")
+    scored = df.select((exact_score(tokens, fields, weights) > 0).alias("e"), (fuzzy_score(tokens, {k: v for k, v in fields.items() if k in FUZZY_BONUS}) > 0).alias("f"))
+    n = scored.agg(F.count_if("e").alias("e"), F.count_if("f").alias("f"))
+    return n.select(F.when(F.col("e") > 0, F.col("e")).otherwise(F.col("f")).alias("n"), F.when(F.col("e") > 0, F.lit("exact")).otherwise(F.lit("fuzzy")).alias("mode"))
+
+
+def by_id(df: DataFrame, id_col: str, value) -> DataFrame:
+    """The row of an id, for its detail page (JON-14); the filter reaches the scan."""
+    return df.where(F.col(id_col) == F.lit(value)).limit(1)
+
+
+TALK_ORDERS = ("newest", "oldest", "title")
+
+
+def talk_order(mode: str, meeting: str, title: str, id_col: str, locale: str | None = "UNICODE") -> list[Column]:
+    """Sort keys of talks, newest if the mode is none of TALK_ORDERS (SRT-03, SRT-04, SRT-07); locale None compares by code point."""
+    key = lambda c: F.collate(blank(c), locale) if locale else blank(c)
+    m, rest = key(meeting), [key(title), key(id_col)]
+    return {"oldest": [m.asc(), *rest], "title": [rest[0], m.desc(), rest[1]]}.get(mode, [m.desc(), *rest])
+
+
+def paper_order(year: str, title: str, id_col: str) -> list[Column]:
+    """Sort keys of stored papers: year, title, id, all descending; a year that isn't one counts as 0000 (SRT-01)."""
+    from quillstack.functions.text import collapse_ws
 
-    low = F.lower(label)
-    bonus = F.when(low.contains("lang=en"), 0.2).when(low.contains("english"), 0.15).when(low.rlike("citation|dc[.:]|ldjson"), 0.08).when(low.rlike("og:|twitter|title"), 0.02).otherwise(0.0)
-    noise = F.when(F.lower(value).rlike("cookie|javascript|sign in|log in"), 0.4).otherwise(0.0)
-    return english_ratio(value) + F.least(F.length(value) / 400, F.lit(0.2)) + bonus - noise
+    y = collapse_ws(F.col(year).cast("string"))
+    return [F.when(y.rlike(r"^\d{4}$"), y).otherwise(F.lit("0000")).desc(), F.lower(collapse_ws(title)).desc(), collapse_ws(F.col(id_col).cast("string")).desc()]

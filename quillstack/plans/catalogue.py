@@ -7,8 +7,6 @@ events for the stream of changes, customers and suppliers for people, orders for
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,27 +16,7 @@ from quillstack.functions import text as tx
 from quillstack.operators import changes, documents, facets, keywords, pages, records, search
 from quillstack.sources.bundles import batch_key
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-
+from .registry import query, t
 
 def title() -> Column:
     """A document's first line."""
@@ -73,18 +51,6 @@ def search_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     return search.page(hits.select("doc_id", "score", "mode"), [F.desc("score"), F.col("doc_id")])
 
 
-@query("""
-    WITH w AS (SELECT p_partkey, unnest(list_filter(list_distinct(regexp_split_to_array(lower(p_name), '[^a-z0-9+#.]+')), lambda x: length(x) >= 2)) AS w FROM part),
-    s AS (SELECT p_partkey, CASE WHEN w = 'widgte' THEN 20 ELSE greatest(
-        CASE WHEN starts_with(w, 'widgte') THEN 16 ELSE 0 END, CASE WHEN contains(w, 'widgte') THEN 14 ELSE 0 END,
-        CASE WHEN regexp_matches(w, 'w.*i.*d.*g.*t.*e') THEN 11 ELSE 0 END, CASE WHEN levenshtein(w, 'widgte') = 1 THEN 10 ELSE 0 END) END AS s FROM w)
-    SELECT p_partkey, (max(s) + 3)::DOUBLE AS score, 'fuzzy' AS mode FROM s GROUP BY 1 HAVING max(s) > 0
-""")
-def search_fuzzy_one_edit(spark: SparkSession, sf: str) -> DataFrame:
-    """RNK-06 to RNK-10: a word within one edit of none, so nothing unless the tables hold it."""
-    return search.search(t(spark, sf, "part"), "widgte", {"title": F.col("p_name")}, {"title": 50}).select("p_partkey", "score", "mode")
-
-
 @query("""
     WITH w AS (SELECT p_partkey, unnest(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part),
     s AS (SELECT p_partkey, CASE WHEN w = 'widgit' THEN 20 ELSE greatest(CASE WHEN levenshtein(w, 'widgit') = 1 THEN 10 ELSE 0 END, CASE WHEN regexp_matches(w, 'w.*i.*d.*g.*i.*t') THEN 11 ELSE 0 END) END AS s FROM w)
@@ -100,8 +66,11 @@ def search_fuzzy_part(spark: SparkSession, sf: str) -> DataFrame:
     SELECT o_orderkey, y FROM s ORDER BY y DESC, o_totalprice DESC, o_orderkey LIMIT 40 OFFSET 60
 """)
 def filtered_second_page(spark: SparkSession, sf: str) -> DataFrame:
-    """FLT-01, FLT-02, SRT-05, LIM-01."""
-    o = t(spark, sf, "orders").withColumn("y", F.year("o_orderdate")).where(F.col("o_orderstatus").isin("F", "O") & F.col("y").isin(1996, 1997))
+    """FLT-01, SRT-05, LIM-01."""
+    from .spec import SearchSpec, apply
+
+    o = t(spark, sf, "orders").withColumn("y", F.year("o_orderdate"))
+    o = apply(o, SearchSpec.parse("?years=1996,1997&categories=F,O"), "", "", "y", "o_orderstatus", "", "", "")
     return search.page(o, [F.desc("y"), F.desc("o_totalprice"), F.col("o_orderkey")], number=1).select("o_orderkey", "y")
 
 
@@ -266,10 +235,10 @@ def distinct_ids(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "orders").select(F.col("o_custkey").alias("id")).distinct()
 
 
-@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def ids_without_works(spark: SparkSession, sf: str) -> DataFrame:
     """SET-02."""
-    return t(spark, sf, "customer").select(F.col("c_custkey").alias("id")).exceptAll(t(spark, sf, "orders").select("o_custkey").distinct())
+    return t(spark, sf, "customer").select(F.col("c_custkey").alias("id")).exceptAll(t(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_custkey").distinct())
 
 
 # --- joins and entity resolution -----------------------------------------------------------------
@@ -360,20 +329,6 @@ def upsert_match(spark: SparkSession, sf: str) -> DataFrame:
     return records.match_remote(p.where("seq % 3 = 0").drop("id"), p.where("seq % 3 = 1"), "k", "tk", "seq", "id")
 
 
-@query("""
-    WITH p AS (SELECT l_orderkey AS paper, l_linenumber AS pos, l_partkey AS key, l_suppkey AS signature, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS r FROM lineitem)
-    SELECT paper, count(*)::BIGINT AS matched FROM p WHERE r = 1 AND (paper, key) IN (SELECT (paper, key) FROM p WHERE r = 1 GROUP BY paper, key HAVING count(*) = 1) GROUP BY 1
-""")
-def author_match_by_key(spark: SparkSession, sf: str) -> DataFrame:
-    """JON-02's first pass: each author against the same work's authors, by keys that are alone."""
-    w = Window.partitionBy("paper", "pos").orderBy("key", "signature")
-    p = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("signature"))
-    p = p.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r").withColumn("last", F.lit("x"))
-    one = p.withColumn("n", F.count("*").over(Window.partitionBy("paper", "key"))).where("n = 1")
-    matched = records.match_authors(one.drop("n"), one.drop("n").withColumn("affiliation", F.lit("a")))
-    return matched.groupBy("paper").agg(F.count("*").alias("matched"))
-
-
 @query("SELECT o_orderkey, ((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 40)::INTEGER AS batch FROM orders")
 def id_batches(spark: SparkSession, sf: str) -> DataFrame:
     """ARR-07."""
@@ -436,13 +391,6 @@ def latest_by_id(spark: SparkSession, sf: str) -> DataFrame:
     return changes.latest(t(spark, sf, "events"), "user_id", "event_id").select("user_id", "event_id")
 
 
-@query("SELECT event_id, event_type FROM events ORDER BY ts DESC, user_id DESC, event_type DESC, event_id LIMIT 200")
-def update_log_sorted(spark: SparkSession, sf: str) -> DataFrame:
-    """SRT-02, SRC-22, DAT-07."""
-    e = t(spark, sf, "events").select("event_id", "event_type", F.col("ts").alias("logged_at"), F.col("user_id").alias("sort_hint"), F.col("event_type").alias("title"))
-    return e.orderBy(F.desc("logged_at"), F.desc("sort_hint"), F.desc("title"), "event_id").limit(200).select("event_id", "event_type")
-
-
 @query("SELECT 'p' || p_partkey AS path, CASE WHEN p_partkey % 4 = 0 THEN 'added' WHEN p_partkey % 4 = 1 THEN 'removed' ELSE 'modified' END AS change FROM part WHERE p_partkey % 4 < 3")
 def changed_files(spark: SparkSession, sf: str) -> DataFrame:
     """SRC-20, SRC-21."""
@@ -456,7 +404,7 @@ def changed_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT doc_id, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS a, length(regexp_replace(t, '[^\\p{L}]', '', 'g')) AS l FROM d)
+    WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'gs') AS t FROM documents), n AS (SELECT doc_id, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS a, length(regexp_replace(t, '[^\\p{L}]', '', 'g')) AS l FROM d)
     SELECT doc_id, round(CASE WHEN l > 0 THEN a / l ELSE 0 END, 6) AS ratio, l > 0 AND a / l < 0.95 AS foreign_text FROM n
 """)
 def english_ratio(spark: SparkSession, sf: str) -> DataFrame:
@@ -529,14 +477,16 @@ def slug_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS start, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y-%m-28') END AS stop FROM orders WHERE day(o_orderdate) <= 28
+    SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS start,
+        CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 3 = 1 THEN strftime(last_day(o_orderdate), '%Y-%m-%d') END AS stop FROM orders
 """)
 def meeting_dates(spark: SparkSession, sf: str) -> DataFrame:
-    """DAT-01: one day, a range, and a range over two months, which is no date."""
+    """DAT-01: one day, a range to the end of the month, and a range over two months, which is no date."""
     k, d = F.col("o_orderkey") % 3, F.col("o_orderdate")
-    said = F.when(k == 0, F.date_format(d, "MMMM d, yyyy")).when(k == 1, F.concat(F.date_format(d, "MMM d"), F.lit("th - 28th,"), F.date_format(d, " yyyy"))).otherwise(F.concat(F.date_format(d, "MMMM d"), F.lit("-May 2, 2020")))
+    ranged = F.concat(F.date_format(d, "MMM d"), F.lit("th - "), F.dayofmonth(F.last_day(d)).cast("string"), F.lit("th,"), F.date_format(d, " yyyy"))
+    said = F.when(k == 0, F.date_format(d, "MMMM d, yyyy")).when(k == 1, ranged).otherwise(F.concat(F.date_format(d, "MMMM d"), F.lit("-May 2, 2020")))
     m = fl.meeting_dates(said)
-    return t(spark, sf, "orders").where(F.dayofmonth("o_orderdate") <= 28).select("o_orderkey", m["start"].cast("string").alias("start"), m["end"].cast("string").alias("stop"))
+    return t(spark, sf, "orders").select("o_orderkey", m["start"].cast("string").alias("start"), m["end"].cast("string").alias("stop"))
 
 
 @query("SELECT event_id, (props->>'k')::INTEGER AS k, CASE WHEN (props->>'k')::INTEGER > 0 THEN (props->>'k')::INTEGER ELSE 0 END AS citations FROM events")
@@ -546,12 +496,11 @@ def json_counts(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "events").select("event_id", fl.parse_int(k).alias("k"), fl.citation_count(F.lit("none"), k).alias("citations"))
 
 
-@query("SELECT a.p_name AS a, b.p_name AS b, least(levenshtein(a.p_name, b.p_name), 3)::INTEGER AS d FROM (SELECT DISTINCT p_name FROM part WHERE p_name LIKE 'red%') a, (SELECT DISTINCT p_name FROM part WHERE p_name LIKE 'blue%') b")
+@query("SELECT p_partkey, least(levenshtein(p_name, p_type), 9)::INTEGER AS d, least(levenshtein(p_name, substr(p_name, 1, length(p_name) - p_size % 4)), 3)::INTEGER AS cut FROM part")
 def bounded_distances(spark: SparkSession, sf: str) -> DataFrame:
-    """NUM-03, between two small vocabularies."""
-    n = t(spark, sf, "part").select("p_name").distinct()
-    a, b = n.where("p_name like 'red%'").select(F.col("p_name").alias("a"), F.lit(1).alias("k")), n.where("p_name like 'blue%'").select(F.col("p_name").alias("b"), F.lit(1).alias("k"))
-    return a.join(b, "k").select("a", "b", fl.bounded_levenshtein("a", "b", 2).cast("int").alias("d"))
+    """NUM-03."""
+    shorter = F.substr("p_name", F.lit(1), F.length("p_name") - F.col("p_size") % 4)
+    return t(spark, sf, "part").select("p_partkey", fl.bounded_levenshtein("p_name", "p_type", 8).cast("int").alias("d"), fl.bounded_levenshtein("p_name", shorter, 2).cast("int").alias("cut"))
 
 
 @query("""
@@ -596,9 +545,13 @@ def url_parameters(spark: SparkSession, sf: str) -> DataFrame:
 SQL_TITLE_TAG = "regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)"
 
 
+#: The references that occur in the pages.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
 def _sql_unescape(x: str, times: int = 4) -> str:
     for _ in range(times):
-        for entity, ch in tx.ENTITIES:
+        for entity, ch in ENTITIES:
             x = f"replace({x}, '{entity}', '{chr(39) * 2 if ch == chr(39) else ch}')"
     return x
 
@@ -632,21 +585,18 @@ def html_links_anti(spark: SparkSession, sf: str) -> DataFrame:
     return documents.dangling(local, "url", listing, "name").groupBy("id", "url").agg(F.count("*").alias("n")).select("id", "url", "n")
 
 
-@query()
+@query(f"""
+    WITH p AS (SELECT page_id AS id, trim(regexp_replace(regexp_replace({_sql_unescape(SQL_TITLE_TAG)}, '<[^>]+>', ' ', 'gs'), '\\s+', ' ', 'g')) AS value FROM pages)
+    SELECT id, value FROM p WHERE length(value) BETWEEN 8 AND 320 AND length(regexp_replace(value, '[^A-Za-z]', '', 'g')) >= 0.6 * length(regexp_replace(value, '[^\\p{{L}}]', '', 'g')) AND regexp_matches(value, '[A-Za-z]')
+""")
 def html_best_titles(spark: SparkSession, sf: str) -> DataFrame:
-    """HTM-01, HTM-03, HTM-04, RNK-11."""
+    """HTM-01, HTM-03, HTM-04, RNK-11: pages whose only candidate is their title tag."""
     return pages.best_title(pages.meta_candidates(t(spark, sf, "pages"), "page_id", "html"))
 
 
 # --- keywords, checks, documents ----------------------------------------------------------------------
 
 
-@query()
-def mined_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    """KWX-04 to KWX-08, AGG-16."""
-    return keywords.mined_keywords(t(spark, sf, "benchmark").withColumn("title", title()), "item_id", "title", "text")
-
-
 @query("""
     WITH k AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) AS k FROM documents)
     SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(' ' || k || ' ', ' and ') OR contains(' ' || k || ' ', ' for ') THEN 'joiner' END, CASE WHEN contains(k, 'of the') THEN 'phrase' END], lambda x: x IS NOT NULL), ',') AS labels FROM k
@@ -670,11 +620,13 @@ def rule_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    SELECT doc_id AS id, 'text' AS field FROM documents WHERE trim(coalesce(text, '')) = '' UNION ALL SELECT doc_id, 'lang' FROM documents WHERE trim(coalesce(lang, '')) = '' UNION ALL SELECT doc_id, 'source' FROM documents WHERE trim(coalesce(source, '')) = ''
+    SELECT p_partkey AS id, 'p_name' AS field FROM part WHERE p_size % 3 = 0 UNION ALL SELECT p_partkey, 'p_type' FROM part WHERE p_size % 5 = 0
 """)
 def missing_fields(spark: SparkSession, sf: str) -> DataFrame:
-    """VAL-05, FLT-14."""
-    return documents.violations(t(spark, sf, "documents"), "doc_id", ["text", "lang", "source"])
+    """VAL-05, FLT-14: names blanked in every third size, types null in every fifth."""
+    s = F.col("p_size")
+    p = t(spark, sf, "part").withColumns({"p_name": F.when(s % 3 == 0, F.lit("  ")).otherwise(F.col("p_name")), "p_type": F.when(s % 5 != 0, F.col("p_type"))})
+    return documents.violations(p, "p_partkey", ["p_name", "p_brand", "p_type"])
 
 
 @query(r"""

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quillstack.plans import catalogue
+from quillstack import plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents benchmark pages labels conversations embeddings".split()
@@ -22,17 +22,17 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(plans.ORACLE_SQL))
 def test_equals_sql(spark, db, name):
-    df = catalogue.QUERIES[name](spark, SF)
+    df = plans.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=str)
-    r = db.sql(catalogue.ORACLE_SQL[name])
+    r = db.sql(plans.ORACLE_SQL[name])
     assert sorted(r.columns) == cols
     at = [r.columns.index(c) for c in cols]
     assert got == sorted((tuple(plain(x[i]) for i in at) for x in r.fetchall()), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
 def test_has_rows(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() > 0
+    assert plans.QUERIES[name](spark, SF).count() > 0

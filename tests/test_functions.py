@@ -27,7 +27,7 @@ def test_text(spark):
     assert values(spark, tx.collapse_ws, " a  b\n\tc ", None) == ["a b c", ""]
     assert values(spark, tx.strip_markup, "a &amp;lt;b&amp;gt; <script>x</script><i>c</i>") == ["a c"]
     assert values(spark, tx.strip_tags, "a<br>b</p>c &lt;i&gt;") == ["a b c <i>"]
-    assert values(spark, tx.strip_markdown, "# T\n- a *b* [c](d) `e` ```\nx\n```") == ["T a b c e"]
+    assert values(spark, tx.strip_markdown, "# T\n- a *b* [c](d) `e` ```\nx\n```") == ["T a b c"]
     assert values(spark, lambda c: tx.truncate(c, 5), "abcdef", "abcde") == ["abcd…", "abcde"]
     df = spark.createDataFrame([({"the": [0, 2], "cat": [1]},)], "m map<string,array<int>>")
     assert df.select(tx.decode_inverted_index(F.col("m")).alias("v")).first()["v"] == "the cat the"
@@ -81,7 +81,7 @@ def test_fields(spark):
     assert values(spark, fl.derive_publication, ("", "J | Vol. 1"), ("", "Vol. 1")) == ["J", ""]
     assert values(spark, fl.classify_type, ("Dissertation", ""), ("article", "")) == ["thesis", "research-paper"]
     assert values(spark, fl.video_link_label, "https://x.org/a.mp4", "https://vimeo.com/1", "") == ["Download", "Watch on vimeo.com", ""]
-    assert values(spark, lambda a, b: fl.pdf_score(a, b), ("http://x/foo.pdf", "foo"), ("http://x/foo-slides.pdf", "foo")) == [200, 100]
+    assert values(spark, lambda a, b: fl.pdf_score(a, b)["score"], ("http://x/foo.pdf", "foo"), ("http://x/foo-slides.pdf", "foo"), ("http://x/a.pdf", "")) == [200, 100, 0]
 
 
 def test_udfs(spark):
@@ -123,13 +123,34 @@ def test_snapshots(spark):
 
 
 def test_pages(spark):
-    html = '<h1>M</h1><p><b>Talks</b></p><div class="session-entry"><i>One</i> Speakers: A, B<br><p>short</p><p>much longer</p></div><p><b>Posters</b></p><div class="session-entry"><i>Two</i></div>'
+    html = '<h1>M</h1><p><b>Hall A</b></p><div class="session-entry"><i>One</i> Speakers: A, B<br><p>short</p><p>much longer</p></div><p><b>Posters:</b></p><div class="session-entry"><i>Two</i></div>'
     got = pages.session_entries(spark.createDataFrame([(1, html)], "id int, html string"), "id", "html").orderBy("pos").collect()
-    assert [(r["category"], r["title"], r["speakers"], r["abstract"]) for r in got] == [("Talks", "One", "A, B", "much longer"), ("Posters", "Two", "", "")]
+    # a heading that names no category changes nothing
+    assert [(r["category"], r["title"], r["speakers"], r["abstract"]) for r in got] == [("technical-talk", "One", "A, B", "much longer"), ("poster", "Two", "", "")]
+    script = "<script>x = {headline: 'It\\'s A Fine Title', \"summary\": \"too short\"}; title: 'abc'</script>"
+    assert [(r["kind"], r["label"], r["value"]) for r in values(spark, pages.script_candidates, script)[0]] == [("title", "script:headline", "It's A Fine Title")]
+    long = "<script>description = \"" + "word " * 2300 + "\"</script>"
+    assert [len(r["value"]) for r in values(spark, pages.script_candidates, long)[0]] == [11499]
     assert values(spark, lambda c: pages.first_link(c, "video"), '<a href="x">Slides</a><a href="y">The Video</a>') == ["y"]
     assert values(spark, lambda c: pages.labelled_value(c, ["Where", "Location"]), "<li><b>Location:</b> Here</li>") == ["Here"]
 
 
+def plain_choice(ranked, lex, limit):
+    """Phrases in order of rank; one within another is passed over, one that holds the last such takes its place."""
+    out = []
+    for phrase in ranked:
+        shown = " ".join(lex.formats.get(w, w.capitalize()) for w in phrase.split())
+        key = "".join(c for c in shown.lower() if c.isascii() and c.isalnum())
+        if len(out) >= limit or not key or any(key in k for k, _ in out):
+            continue
+        held = [i for i, (k, _) in enumerate(out) if k in key]
+        if held:
+            out[held[-1]] = key, shown
+        else:
+            out.append((key, shown))
+    return [p for _, p in out]
+
+
 def test_keywords(spark):
     d = spark.createDataFrame([(1, "Loop vectorization", "We study loop vectorization and loop fusion. Loop fusion helps.")], "id int, title string, abstract string")
     k = keywords.mined_keywords(d, "id", "title", "abstract").first()["keywords"]
@@ -138,6 +159,35 @@ def test_keywords(spark):
     assert keywords.discovery_queries(["a"], ["b", "B"], "p") == ["a", "p b"]
 
 
+@pytest.mark.parametrize("limit", [3, 14])
+def test_mined_keywords_equal_a_plain_loop(spark, limit):
+    import random
+
+    r, words = random.Random(5), "loop loops fusion vectorization gpu-offload ir thing things parallel analysis x86 code".split()
+    rows = [(i, " ".join(r.choice(words) for _ in range(4)), ". ".join(" ".join(r.choice(words) for _ in range(6)) for _ in range(4))) for i in range(40)]
+    d, lex = spark.createDataFrame(rows, "id int, title string, abstract string"), keywords.Lexicon()
+    ranked = {}
+    for x in keywords.mined_phrases(keywords.phrase_scores(d, "id", "title", "abstract", lex), lex).collect():
+        ranked.setdefault(x["id"], []).append((-x["score"], x["phrase"]))
+    got = {x["id"]: x["keywords"] for x in keywords.mined_keywords(d, "id", "title", "abstract", lex, limit).collect()}
+    assert got == {i: plain_choice([p for _, p in sorted(ps)], lex, limit) for i, ps in ranked.items()}
+    assert max(map(len, got.values())) <= limit and len(got) > 30
+
+
+def test_mining_predicates(spark):
+    lex = keywords.Lexicon()
+    assert values(spark, lambda c: keywords.is_candidate(c, lex), "the", "2020", "12+", "ir", "ab", "a-", "loop", "x86") == [False, False, False, True, False, False, True, True]
+    assert values(spark, lambda c: keywords.is_technical(c, lex), "gpu", "x86", "gpu-offload", "a-b", "analysis", "loop") == [True, True, True, False, True, False]
+    assert values(spark, lambda c: keywords.is_low_signal(F.split(c, " "), lex), "abc", "ir", "loop loop", "a loop a", "new loop", "loop fusion") == [True, False, True, True, True, False]
+
+
+def test_options():
+    documents.check_options(1, "a/b", 0)
+    for bad in ({"batch_size": 0}, {"repository": "a"}, {"repository": "a/"}, {"max_posts": -1}):
+        with pytest.raises(ValueError, match="must"):
+            documents.check_options(**bad)
+
+
 def test_documents(spark):
     j = values(spark, lambda a, b, c: documents.talk_json_ld(a, b, c, F.lit(None)), ("T", "", "v"))[0]
     assert json.loads(j) == {"@context": "https://schema.org", "@type": "VideoObject", "name": "T", "contentUrl": "v"}
