@@ -28,14 +28,16 @@ A = GAP + 1
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "§": "s"}
 SEPARATORS = " .-_*~"
 _LEET = re.escape("".join(LEET))
-#: A word with a leet character before a letter, four single letters or more set apart, or a letter three times in a row.
-DISGUISED = re.compile(
-    rf"(?<![^\s])[^\s]*[{_LEET}][{_LEET}]*[^\W\d_][^\s]*"
-    rf"|(?<![\w{_LEET}])(?:[^\W_]|[{_LEET}])(?:[ .\-_*~](?:[^\W_]|[{_LEET}])){{3,}}(?![\w{_LEET}])"
-    r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"
-)
+#: A run without spaces that holds a leet character; it is read from its start only, so that long runs take linear time.
+SWAPPED_IN = re.compile(rf"(?<!\S)[^\s{_LEET}]*[{_LEET}]\S*")
+PUNCTUATION = "!?.,;:)]\"'"
+#: Three single letters or more, set apart by one or two separators.
+SET_APART_LETTERS = re.compile(rf"(?<![\w{_LEET}])(?:[^\W_]|[{_LEET}])(?:[ .\-_*~]{{1,2}}(?:[^\W_]|[{_LEET}])){{2,}}(?![\w{_LEET}])")
+LETTER = re.compile(r"[^\W\d_]")
+LEET_CHAR = re.compile(rf"[{_LEET}]")
+TRIPLE = re.compile(r"([^\W\d_])\1\1")
 WORD = re.compile(r"[^\W\d_]+")
-LONGEST = 64  # characters of a disguised stretch; beyond it, it is restored in pieces
+STEP = 64  # characters after which the likeliest path so far is settled
 #: Log-probabilities of the channel: a letter as itself, as a leet character, a separator put in, one letter of a run put in.
 SAME, SWAPPED, SET_APART, AGAIN = math.log(0.9), math.log(0.06), math.log(0.03), math.log(0.05)
 
@@ -61,12 +63,14 @@ class Letters:
 
     def restore(self, seen: str) -> str:
         """The likeliest text behind a lower-case stretch."""
-        if len(seen) > LONGEST:
-            return "".join(self.restore(seen[i : i + LONGEST]) for i in range(0, len(seen), LONGEST))
         code, log = self.code, self.log
         paths: dict[tuple[int, int], tuple[float, str]] = {(GAP, GAP): (0.0, "")}
-        before = ""
-        for ch in seen:
+        before, settled = "", []
+        for n, ch in enumerate(seen, 1):
+            if n % STEP == 0:  # paths stay short, whatever the stretch; the state goes on
+                state, (_, text) = max(paths.items(), key=lambda p: p[1])
+                settled.append(text)
+                paths = {state: (0.0, "")}
             # (log-probability in the channel, character restored or none)
             options = [(SAME, ch)]
             options += [(SWAPPED, x) for x in LEET.get(ch, "")]
@@ -89,7 +93,8 @@ class Letters:
                         new[state] = v, s
             paths = new
             before = ch
-        return max((v + log[a][b][GAP], s) for (a, b), (v, s) in paths.items())[1]
+        settled.append(max((v + log[a][b][GAP], s) for (a, b), (v, s) in paths.items())[1])
+        return "".join(settled)
 
 
 def letter_counts(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -116,6 +121,28 @@ def letter_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     return counts
 
 
+def without_ending(s: str) -> str:
+    """s without signs at its end that aren't disguise: punctuation, and a sign three times or more."""
+    while True:
+        t = s.rstrip(PUNCTUATION)
+        if t and not t[-1].isalnum() and t.endswith(t[-1] * 3):
+            t = t.rstrip(t[-1])
+        if t == s:
+            return s
+        s = t
+
+
+def disguised(low: str, words: set[str]) -> Iterator[str]:
+    """Stretches of a lower-case text that may be disguised words, and those of its words that repeat a letter; in linear time."""
+    for m in SWAPPED_IN.finditer(low):
+        s = without_ending(m.group())
+        if LETTER.search(s) and LEET_CHAR.search(s):
+            yield s
+    for m in SET_APART_LETTERS.finditer(low):
+        yield m.group()
+    yield from (w for w in words if TRIPLE.search(w))
+
+
 class Reader:
     """Words of a text, restored ones included; keeps what it has restored, within bounds."""
 
@@ -125,9 +152,9 @@ class Reader:
 
     def words(self, text: str) -> set[str]:
         low = text.lower()
-        out = set(WORD.findall(low))
-        for m in DISGUISED.finditer(low):
-            s = m.group()
+        words = set(WORD.findall(low))
+        out = set(words)
+        for s in disguised(low, words):
             if s not in self.cache:
                 if len(self.cache) > 200_000:
                     self.cache.clear()

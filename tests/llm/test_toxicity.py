@@ -1,10 +1,11 @@
 import random
+import time
 from itertools import product
 
 import numpy as np
 import pytest
 
-from quillstack.llm.toxicity import A, AGAIN, DISGUISED, GAP, LEET, LETTERS, SAME, SEPARATORS, SET_APART, SWAPPED, Letters, Reader, codes, is_held_out, letter_counts, logistic, score
+from quillstack.llm.toxicity import A, AGAIN, GAP, LEET, LETTERS, SAME, SEPARATORS, SET_APART, SWAPPED, Letters, Reader, codes, disguised, is_held_out, letter_counts, logistic, score
 
 R = random.Random(8)
 WORDS = ["".join(R.choice(["ba", "to", "ri", "ne", "sul", "ma", "ko"]) for _ in range(R.randint(1, 4))) for _ in range(150)]
@@ -49,10 +50,29 @@ def test_restores_and_spares():
     r = Reader(counts(CORPUS))
     for seen, word in (("gr6mb0", None), ("s1ikta", "slikta"), ("v0rn1t", "vornit"), ("v o r n i t", "vornit"), ("s-l-i-k-t-a", "slikta"), ("vorrrrnit", "vornit"), ("$likta", "slikta")):
         assert word is None or word in r.words(f"Bato {seen.upper()} rine"), seen
-    assert not DISGUISED.search("plain words, 12 of them! at 3:45 (see a b)")
+    for seen in ("grumb0", "v o r", "gr..umbo"):
+        r.words(seen)
+    assert list(disguised("hat3 idio7!! a$$ wow$$$ nice!!! s t u 2024 3:45", set())) == ["hat3", "idio7", "a$$", "s t u"]
+    assert list(disguised("s  l  a p", set())) == ["s  l  a p"] and list(disguised("", {"loook", "look"})) == ["loook"]
+    plain = "plain words, 12 of them! at 3:45 (see a b)"
+    assert not list(disguised(plain, set(plain.split())))
     assert len(LETTERS) + 1 == A
 
 
+def test_a_long_stretch_is_settled_as_it_goes():
+    m = Letters(counts(CORPUS))
+    words = [w for w in WORDS if "o" in w][:30]
+    assert m.restore("".join(words).replace("o", "0")).count("o") > 0.9 * sum(w.count("o") for w in words)
+
+
+@pytest.mark.parametrize("unit", ["1", "a", "ab", "!", "! ", "a ", "$", ". ", "a." * 2])
+def test_a_megabyte_in_a_second(unit):
+    text = unit * (1_000_000 // len(unit))
+    began = time.perf_counter()
+    found = list(disguised(text, {text[:1000]}))
+    assert time.perf_counter() - began < 1.5 and len(found) <= 1 + len(text)
+
+
 def test_logistic_separates():
     bias, w = logistic(np.array([0, 1, 2]), np.array([0, 0, 1]), np.array([1.0, 1, 0, 0, 0]), 2)
     assert w[0] > 1 > w[1] and bias < 0
