@@ -1 +1 @@
-"""Training-data operators.  Nothing else in the library imports this subpackage."""
+"""Training-data operators.  Nothing else in the package imports this subpackage."""

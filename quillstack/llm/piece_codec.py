@@ -1,11 +1,11 @@
-"""SentencePiece encoding and decoding through the tokenizers library.
+"""SentencePiece encoding and decoding with the tokenizers package as backend.
 
 The model's protobuf is parsed here, field by field; from it come the normaliser, the metaspace marker,
 the unigram scores or (for a BPE model) the merges in order of score, and the byte fallback.  Since no
 piece holds the marker after another character, a text falls apart before each run of markers into
 words that are encoded alone: each batch's new words go through encode_batch, on as many threads as the
-library has, and are kept in a bounded cache.  Parity: every new word's ids are held against those of
-the sentencepiece library.
+backend has, and are kept in a bounded cache.  Parity: every new word's ids are held against those of
+the sentencepiece package.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from tokenizers import Tokenizer, decoders, models, normalizers
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+KEPT = 150_000  # words kept; those of the turn before are kept as well
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -78,18 +79,20 @@ class PieceModel:
             raise ValueError("pieces that go on past a space are not supported")
         self.unk = next(i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN)
         self.ids = {p: i for i, (p, _, k) in enumerate(self.pieces)}
-        self.library = self._library()
+        self.backend = self._backend()
         self.normaliser = normalizers.Precompiled(self.charsmap) if self.charsmap else None
         self.bytes = [self._bytes(i) for i in range(len(self.pieces))]
         self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # words without parity, of those in the caches
         self.peer = None
         if parity:
             import sentencepiece
 
             self.peer = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def _library(self) -> Tokenizer:
+    def _backend(self) -> Tokenizer:
         if self.kind == UNIGRAM:
             low = min(s for _, s, k in self.pieces if k == NORMAL)
             # pieces that text must not match get a score that no path can prefer
@@ -129,25 +132,29 @@ class PieceModel:
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
 
     def learn(self, words: list[str]) -> None:
-        """Encode words not met before, as one multithreaded batch, and compare them with the other library."""
-        got = self.library.encode_batch(words, add_special_tokens=False)
+        """Encode words not met before, as one multithreaded batch, and note those that sentencepiece encodes otherwise."""
+        got = self.backend.encode_batch(words, add_special_tokens=False)
         ids = [e.ids for e in got]
         if self.peer and self.prefix:
             for w, own, other in zip(words, ids, self.peer.encode([w[1:].replace(MARK, " ") if w[0] == MARK else w for w in words], num_threads=1), strict=True):
                 if own != other and w[0] == MARK and w[1:] and not (self.squeeze and w[1] == MARK):
-                    raise ValueError(f"no parity with sentencepiece on {w!r}: {own} and {other}")
+                    self.odd.add(w)
         self.cache.update((w, np.array(i, dtype="<i4").tobytes()) for w, i in zip(words, ids, strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as the bytes of 32-bit integers."""
-        if len(self.cache) > 200_000:
-            self.cache.clear()
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[int]]:
+        """The ids of each text, as the bytes of 32-bit integers, and how many of its distinct words have no parity."""
+        if len(self.cache) > KEPT:  # the words met since the last change stay one turn longer
+            self.older, self.cache = self.cache, {}
+            self.odd &= self.older.keys()
         split = [self.words.findall(self.marked(t)) for t in texts]
-        fresh = list(set().union(*split).difference(self.cache))
-        for i in range(0, len(fresh), 20_000):
-            self.learn(fresh[i : i + 20_000])
+        fresh = set().union(*split).difference(self.cache)
+        known = fresh & self.older.keys()
+        self.cache.update((w, self.older[w]) for w in known)
+        some = list(fresh - known)
+        for i in range(0, len(some), 20_000):
+            self.learn(some[i : i + 20_000])
         get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"".join(map(get, words)) for words in split], [len(self.odd.intersection(words)) if self.odd else 0 for words in split]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, ids outside the vocabulary raise."""
@@ -174,11 +181,13 @@ def _pieces_of(batch: list[str], most: int) -> Iterator[list[str]]:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 2_000_000) -> DataFrame:
-    """One row per row of docs: the id, ids array<int>, n_tokens, and round_trip.
+    """One row per row of docs: the id, ids array<int>, n_tokens, round_trip, and parity_misses.
 
     round_trip: decoding the ids gives the text back (as normalised by the model; byte fallback makes
     this true of every text).  No begin or end pieces.  Null and empty texts have no ids and round_trip
-    true.  No shuffle; repeated rows stay; other columns are not read.
+    true.  parity_misses: how many distinct words of the text sentencepiece encodes otherwise (the ids are
+    the backend's all the same; 0 where all agree).  No shuffle; repeated rows stay; other columns are not
+    read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +196,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             texts = [t or "" for t in b.column(1).to_pylist()]
             at = 0
             for some in _pieces_of(texts, batch_chars):
-                raw = m.encode(some)
+                raw, misses = m.encode(some)
                 sizes = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
                 flat = np.frombuffer(b"".join(raw), dtype="<i4")
                 ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -196,13 +205,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     want = m.marked(t).replace(MARK, " ")
                     same.append(m.decode(flat[lo:hi].tolist()) == (want[1:] if m.prefix else want))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(some)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), pa.array(sizes), pa.array(same, pa.bool_())],
-                    names=[id_col, "ids", "n_tokens", "round_trip"],
+                    [b.column(0).slice(at, len(some)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), pa.array(sizes), pa.array(same, pa.bool_()), pa.array(misses, pa.int32())],
+                    names=[id_col, "ids", "n_tokens", "round_trip", "parity_misses"],
                 )
                 at += len(some)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, n_tokens long, round_trip boolean")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, n_tokens long, round_trip boolean, parity_misses int")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -53,7 +53,7 @@ class RankedMerges:
         self.cache: dict[str, int] = {}
 
     def pretokens(self, text: str) -> list[str]:
-        # one lower-case letter for each sigma: the library lowers character by character
+        # one lower-case letter for each sigma: the tokenizers package lowers character by character
         t = unicodedata.normalize("NFC", text)
         return self.word.findall(self.space.sub(" ", t).replace("Σ", "σ").lower())
 
@@ -117,8 +117,8 @@ def merges(path: str) -> RankedMerges:
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, batch_chars: int = 2_000_000) -> DataFrame:
     """One row per row of docs: the id, n_bytes (UTF-8), n_tokens, and over_limit (n_tokens > limit).
 
-    path: a tokenizers JSON file that is installed at the same place on every executor.  Counts equal the
-    library's without added special tokens; the vocabulary's special strings inside a text count as one
+    path: a tokenizers JSON file that is installed at the same place on every executor.  Counts equal
+    those of the tokenizers package without added special tokens; the vocabulary's special strings inside a text count as one
     token each, as by its default.  No shuffle; a worker holds one Arrow batch, works on batch_chars
     characters at a time, and keeps a bounded cache.  Null and empty texts have 0 bytes and tokens;
     repeated rows and ids stay as they are; other columns are not read.

@@ -15,18 +15,34 @@ TEXTS = [
 ]
 
 
-def test_equals_library():
+def test_equals_sentencepiece():
     own, lib = PieceModel(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
-    got = [np.frombuffer(x, "<i4").tolist() for x in own.encode(TEXTS)]
+    got = [np.frombuffer(x, "<i4").tolist() for x in own.encode(TEXTS)[0]]
     assert got == lib.encode(TEXTS)
     assert [own.decode(x) for x in got] == [lib.decode(x) for x in got]
 
 
+def test_parity_is_counted_and_words_come_and_go(monkeypatch):
+    import quillstack.llm.piece_codec as pc
+
+    class Other:
+        def encode(self, words, **_):
+            return [[0] if w == "odd" else peer.encode(w) for w in words]
+
+    own, peer = PieceModel(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    own.peer = Other()
+    monkeypatch.setattr(pc, "KEPT", 2)
+    for _ in range(3):
+        ids, misses = own.encode(["an odd word", "a word", "", "odd odd"])
+        assert misses == [1, 0, 0, 1] and np.frombuffer(ids[1], "<i4").tolist() == peer.encode("a word")
+        own.encode(["some other words that fill the cache"])
+
+
 def test_frame_round_trip(spark):
     rows = [(i, t, [1]) for i, t in enumerate(TEXTS)] + [(3, "a", [2]), (None, None, None)]
     out = encode(spark.createDataFrame(rows, "doc_id long, text string, ids array<int>"), PATH)
     got = out.collect()
-    assert len(got) == len(rows) and all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
+    assert len(got) == len(rows) and all(r.round_trip and r.n_tokens == len(r.ids) and r.parity_misses == 0 for r in got)
     back = {r.doc_id: r.text for r in decode(out, PATH).collect()}
     assert all(back[i] == (t or "").replace("▁", " ") for i, t, _ in rows)
     assert encode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
@@ -68,6 +84,6 @@ def test_unigram_model_made_by_hand(tmp_path, squeeze):
     path.write_bytes(raw)
     lib, own = sentencepiece.SentencePieceProcessor(model_file=str(path)), PieceModel(str(path))
     texts = ["", "abcde", "a  bé", " x🙂y ", "".join(r.choice("abcdeé ") for _ in range(300))]
-    got = [np.frombuffer(x, "<i4").tolist() for x in own.encode(texts)]
+    got = [np.frombuffer(x, "<i4").tolist() for x in own.encode(texts)[0]]
     assert got == lib.encode(texts)
     assert [own.decode(x) for x in got] == [lib.decode(x) for x in got]
