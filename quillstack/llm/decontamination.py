@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"\w+")
+#: Words, and each character of scripts that are written without spaces.
+SCRIPTS = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{SCRIPTS}]|[^\W{SCRIPTS}]+")
 TUPLES = 8  # samples taken of each walk
 POSITIONS = 3  # positions in a sample
 
@@ -46,6 +48,8 @@ class LengthClass:
     items: list[int]
     mask: np.ndarray
     walks: int = 0
+    recall: float = 0.0  # measured on edited copies
+    exhaustive: bool = False  # every window that passes the vocabulary is verified
     keys: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # by sample: sorted keys and their items
 
     @property
@@ -116,8 +120,11 @@ class ItemIndex:
                 mine = dict(zip(c.items, own.tolist(), strict=True))
                 found |= other == np.array([mine[k] for k in owner.tolist()], dtype=np.uint64)
             c.walks += 1
-            if found.mean() >= recall:
-                break
+            c.recall = float(found.mean())
+            if c.recall >= recall:
+                return
+        # walks alone don't find enough: leave them out and verify whatever may match
+        c.exhaustive, c.keys, c.recall = True, [], 1.0
 
     def candidates(self, words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(item, starts of windows) to verify.  ends: for each word the end of its document; words goes on by zeros."""
@@ -126,6 +133,10 @@ class ItemIndex:
             known = np.concatenate([[0], np.cumsum(c.mask[words[:n]])])
             stop = np.minimum(np.arange(n) + c.lo, ends)
             starts = np.flatnonzero(known[stop] - known[:-1] >= c.lo - c.edits)
+            if c.exhaustive:
+                for k in c.items:
+                    yield k, starts
+                continue
             for lo in range(0, len(starts), 200_000):
                 some = starts[lo : lo + 200_000]
                 hits: list[tuple[np.ndarray, np.ndarray]] = []
@@ -192,6 +203,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A document contains an item of n words if a run of its words is within (1 - similarity) * n edits (of
     words, in lower case, punctuation aside) of the item's; edits is the least found.  Matches within the
     bound are found with a chance of `recall` at least even at the bound, exact ones always.  Items of
+    a length for which max_walks walks don't reach that are looked for without walks, in every window that
+    holds enough of their words.  Items of
     fewer than min_words words, and null and empty texts on either side, match nothing.  Items are sent
     to the documents items_per_pass at a time.  Repeated rows give repeated pairs; other columns are not
     read.

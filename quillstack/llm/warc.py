@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import scratch_path, staged
 
 EPOCH = 1704067200  # where the query's capture times start
+#: Bytes of an archive before compression, on average, and index rows of a range.
+ARCHIVE_BYTES, RANGE_ROWS = 128 << 20, 100_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -31,15 +33,18 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789abcdefghijklmnopqrstuv", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None, min_bytes: int = 0, max_records_per_file: int = 50_000) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write one record a row under path (gzip files; Spark's writer commits them).
 
     Rows with equal payloads of at least min_bytes: those with the largest id are response records, the
     others revisit records that refer to it.  Payloads are the text in UTF-8, null as empty.  A null url
     becomes urn:x-page:<id>; line ends in urls are dropped.  Without time_col a page's capture time is
     EPOCH plus its id in seconds.  Repeated rows give repeated records.  The largest id of each digest is
-    found by an aggregation on digests; the join back may split a hot digest, for which AQE cares.
+    found by an aggregation on digests; the join back may split a hot digest, for which AQE cares.  An
+    archive holds as many records as make archive_bytes at their mean size.
     """
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length(payload_col), F.lit(0)))).first()[0] or 0.0
+    most = max(1, int(archive_bytes / (mean + 500)))  # 500: about what headers take
     t = F.expr(f"timestamp_seconds({EPOCH} + coalesce(pmod(`{id_col}`, 1000000000), 0))") if time_col is None else F.col(time_col)
     page = pages.select(
         F.col(id_col).cast("long").alias("id"),
@@ -65,7 +70,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     )
     (
         known.withColumn("block", block).select(record.alias("value"))
-        .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max_records_per_file).text(path)
+        .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
     )
 
 
@@ -210,23 +215,25 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 def merge_index(runs: DataFrame, partitions: int | None = None) -> DataFrame:
     """Sorted runs merged into one global order by (URL key, time, page, archive, offset).
 
-    Ranges are cut on the whole key, so a URL with a third of all captures spans several of them.  A
-    range's rows are narrow and as many as a partition holds; its runs meet in a loser tree.
+    Ranges are cut on the whole key, so a URL with a third of all captures spans several of them, and are
+    as many as make RANGE_ROWS rows each.  Spark sorts the rows of each run within a range, spilling where
+    it must; the range's runs then meet in a loser tree, which holds that one range.
     """
     spark = runs.sparkSession
     kinds = [pa.int64() if x.endswith("long") else pa.string() for x in INDEX.split(", ")]
     names = [x.split()[0] for x in INDEX.split(", ")]
+    order = ("urlkey", "captured_at", "page_id", "archive", "record_offset")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[str, list[tuple]] = {}
-        key = lambda r: (r[0], r[1], r[2] or 0, r[8], r[9])
+        pieces: list[list[tuple]] = []
+        key = lambda r: (r[0], r[1], r[2] if r[2] is not None else -(2**63), r[8], r[9])  # noqa: E731  # nulls come first, as in Spark
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                pieces.setdefault(r[10], []).append(r)
-        for rows in pieces.values():  # blocks of one run can arrive in any order
-            rows.sort(key=key)
+                if not pieces or pieces[-1][-1][10] != r[10]:
+                    pieces.append([])
+                pieces[-1].append(r)
         out: list[tuple] = []
-        for _, r in LoserTree([((key(r), r) for r in rows) for rows in pieces.values()]):
+        for _, r in LoserTree([((key(r), r) for r in rows) for rows in pieces]):
             out.append(r)
             if len(out) == 20_000:
                 yield _columns(out, names, kinds)
@@ -234,8 +241,8 @@ def merge_index(runs: DataFrame, partitions: int | None = None) -> DataFrame:
         if out:
             yield _columns(out, names, kinds)
 
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartitionByRange(n, "urlkey", "captured_at", "page_id", "archive", "record_offset").mapInArrow(merge, INDEX)
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
+    return runs.repartitionByRange(n, *order).sortWithinPartitions("run", *order).mapInArrow(merge, INDEX)
 
 
 def capture_histories(pages: DataFrame, path: str | None = None, **options: Any) -> DataFrame:

@@ -67,3 +67,15 @@ def test_empty(spark):
 
 def test_items_below_the_length_are_not_indexed():
     assert not ItemIndex([(1, "a b c d")], 0.8, 0.9, 5, 4).classes
+
+
+def test_too_few_walks_and_text_without_spaces(spark):
+    """Where the walks allowed don't find enough, every window that may match is verified; characters of scripts without spaces are words."""
+    r = random.Random(2)
+    items = [(i, " ".join(prose(r, 20))) for i in range(6)] + [(50, "今日は天気がいいので散歩に行きましょう")]
+    docs = [(i, " ".join(prose(r, 30) + edit(r, items[i % 6][1].split(), 4) + prose(r, 10))) for i in range(30)] + [(90, "昨日。今日は天気が悪いので散歩に行きましょう。"), (91, "これは何も関係のない文章ですよね本当に")]
+    index = ItemIndex(items, 0.8, 1.1, 5, 1)
+    assert index.classes and all(c.exhaustive for c in index.classes)
+    want = {(d, i) for d, t in docs for i, x in items if least_edits(words_of(x), words_of(t)) <= int(0.2 * len(words_of(x)) + 1e-9)}
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), recall=1.1, max_walks=1).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want and (90, 50) in want and len(want) > 30

@@ -57,3 +57,16 @@ def test_sql(spark):
     want = sorted(c.sql(ORACLE_SQL["op5_warc"]).fetchall())
     got = sorted(tuple(r) for r in op5_warc(spark, sf).collect())
     assert got == want
+
+
+def test_many_ranges_and_archives(spark, monkeypatch, tmp_path):
+    import quillstack.llm.warc as warc
+
+    monkeypatch.setattr(warc, "RANGE_ROWS", 7)
+    rows = [(i, f"http://{'hot' if i % 3 else i % 5}.com/{i % 4}", "x" * (i % 50)) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    out = capture_histories(df, path=str(tmp_path / "w"), archive_bytes=20_000)
+    got = out.collect()
+    keys = [(r.urlkey, r.captured_at, r.page_id) for r in got]
+    assert keys == sorted(keys) and len({r.page_id for r in got}) == 200
+    assert len({r.archive for r in got}) > 3
