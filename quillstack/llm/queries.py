@@ -32,7 +32,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("spans")
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400, passage_words=51).drop("spans")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
