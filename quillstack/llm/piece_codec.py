@@ -23,7 +23,7 @@ from tokenizers import Tokenizer, decoders, models, normalizers
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-KEPT = 150_000  # words kept; those of the turn before are kept as well
+KEPT = 100_000  # words kept; those of the turn before are kept as well
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:

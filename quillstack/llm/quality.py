@@ -26,6 +26,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -43,8 +44,8 @@ EDGE = 1
 POOLED, OWN = "*", "="
 #: Languages with models of their own: at most those with most text; the others share the pooled one.
 MAX_LANGUAGES = 1000
-#: Bits of a key, characters and documents of a block, model entries a shard.
-KEY_BITS, BLOCK_CHARS, BLOCK_DOCS, SHARD = 48, 3_000_000, 60_000, 250_000
+#: Bits of a key, bytes and documents of a block, model entries a shard.
+KEY_BITS, BLOCK_BYTES, BLOCK_DOCS, SHARD = 48, 3_000_000, 60_000, 250_000
 #: Trusted ids up to this number (8 bytes each) are broadcast; beyond it they are joined by merging.
 BROADCAST_IDS = 1_000_000
 #: One in so many trusted documents doesn't train, but sets the thresholds.
@@ -62,7 +63,7 @@ class Words:
     def of(self, text: str) -> np.ndarray:
         """EDGE, then a hash for each word, none of them 0 or EDGE."""
         words = WORD.findall(text)
-        if len(self.cache) > 400_000:
+        if len(self.cache) > 200_000:
             self.cache.clear()
         cache = self.cache
         out = np.empty(len(words) + 1, dtype=np.uint64)
@@ -76,14 +77,9 @@ class Words:
         return out
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> Words:
-    return Words()
-
-
-def sequence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def sequence(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray]:
     """All texts' symbols, each text led by EDGE and one more at the end; and how many each text has, its EDGE included."""
-    parts = [word_hashes().of(t) for t in texts]
+    parts = [words.of(t) for t in texts]
     return np.concatenate([*parts, np.full(1, EDGE, np.uint64)]), np.array([len(p) for p in parts])
 
 
@@ -118,23 +114,27 @@ def unpacked(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-def blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """(first, end) of runs of texts within BLOCK_CHARS and BLOCK_DOCS; a longer text is a run by itself."""
+def blocks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first, texts) of runs of texts within BLOCK_BYTES and BLOCK_DOCS, null as empty; a longer text is a run by itself.
+
+    Only one run at a time is made strings of.
+    """
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     first = held = 0
-    for i, t in enumerate(texts):
-        if i > first and (held + len(t) > BLOCK_CHARS or i - first >= BLOCK_DOCS):
-            yield first, i
+    for i in range(len(texts) + 1):
+        if i > first and (i == len(texts) or held + size[i] > BLOCK_BYTES or i - first >= BLOCK_DOCS):
+            yield first, [t or "" for t in texts.slice(first, i - first).to_pylist()]
             first, held = i, 0
-        held += len(t)
-    if len(texts) > first:
-        yield first, len(texts)
+        if i < len(texts):
+            held += size[i]
 
 
-def pair_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = 2_000_000) -> DataFrame:
+def pair_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = 1_500_000) -> DataFrame:
     """(lang, g, n) of all pairs of texts that aren't empty, counted within tasks first, then by key over the cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        words, size = Words(), 0
 
         def merged(parts):
             g = np.concatenate([p[0] for p in parts])
@@ -150,15 +150,18 @@ def pair_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
             held.clear()
 
         for b in batches:
-            by: dict[str, list[str]] = {}
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if text:
-                    by.setdefault(lang or "", []).append(text)
-            for lang, texts in by.items():
-                for lo, hi in blocks(texts):
-                    held.setdefault(lang, []).append(np.unique(pairs_of(sequence(texts[lo:hi])[0]), return_counts=True))
-                    if sum(len(p[0]) for parts in held.values() for p in parts) > most:
-                        yield from flush()
+            langs = b.column(0).to_pylist()
+            for first, texts in blocks(b.column(1)):
+                by: dict[str, list[str]] = {}
+                for lang, text in zip(langs[first : first + len(texts)], texts, strict=True):
+                    if text:
+                        by.setdefault(lang or "", []).append(text)
+                for lang, some in by.items():
+                    held.setdefault(lang, []).append(np.unique(pairs_of(sequence(some, words)[0]), return_counts=True))
+                    size += len(held[lang][-1][0])
+                if size > most:
+                    yield from flush()
+                    size = 0
         yield from flush()
 
     got = docs.select(lang_col, text_col).mapInArrow(run, "lang string, g long, n long")
@@ -286,14 +289,15 @@ def perplexities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
             yield flush()
 
     def parts_of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = 0
+        made, words = 0, Words()
         for b in batches:
-            ids, langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), [t or "" for t in b.column(2).to_pylist()]
-            for lo, hi in blocks(texts):
+            ids, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for lo, texts in blocks(b.column(2)):
+                hi = lo + len(texts)
                 # the same rows get the same number if the task runs again
                 block, made = TaskContext.get().partitionId() * 2**31 + made, made + 1
                 models = [model_of(x, unknown) for x in langs[lo:hi]]
-                s, sizes = sequence(texts[lo:hi])
+                s, sizes = sequence(texts, words)
                 owner = np.repeat(np.arange(hi - lo), sizes)
                 codes = np.array([model_code(x) for x in models], dtype=np.uint64)[owner]
                 both = np.empty(2 * len(owner), dtype=np.uint64)
@@ -317,7 +321,7 @@ def perplexities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
                 )
                 yield table(
                     [
-                        {"shard": block % (1 << bits), "kind": 2, "block": block, "n_docs": hi - lo, "ids": ids[lo:hi], "langs": langs[lo:hi], "models": models, "sizes": (sizes - 1).tolist(), "held": [is_held_out(t) for t in texts[lo:hi]]}
+                        {"shard": block % (1 << bits), "kind": 2, "block": block, "n_docs": hi - lo, "ids": ids[lo:hi], "langs": langs[lo:hi], "models": models, "sizes": (sizes - 1).tolist(), "held": [is_held_out(t) for t in texts]}
                     ]
                 )
 

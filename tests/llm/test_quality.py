@@ -59,7 +59,7 @@ def close(got, want):
 @pytest.mark.parametrize("small", [False, True])
 def test_equals_brute_force(spark, monkeypatch, small):
     if small:  # many blocks, and counts flushed in between
-        monkeypatch.setattr(quality, "BLOCK_CHARS", 60)
+        monkeypatch.setattr(quality, "BLOCK_BYTES", 60)
     trusted = [prose(30) for _ in range(20)] + ["Été à la mer\nété\n", "x", "漢字かな交じり文 и текст", "漢字 и текст и слова", "", prose(30)]
     texts = [prose(10), "zzz qqq!!", "to to to to", "été", "", "漢字 ABC 12 текст", "и текст", None, "..."]
     close(scores(spark, [(t, "en") for t in trusted], [(t, "en") for t in texts], min_tokens=1), brute(trusted, [t or "" for t in texts]))
