@@ -325,18 +325,13 @@ class WordHashes:
 
     def of(self, text: str) -> np.ndarray:
         words, cache = SPACED.findall(text), self.cache
-        if len(cache) > 300_000:
+        if len(cache) > 150_000:
             cache.clear()
         for x in set(words).difference(cache):
             cache[x] = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
         return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    return WordHashes()
-
-
 def rolled(x: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of width numbers."""
     n = len(x) - width + 1
@@ -346,69 +341,52 @@ def rolled(x: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
-def passage_windows(texts: list[bytes], words: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, place, gram, window) of every run of `words` words: hashes of its least gram of `gram` words and of all of it; some texts at a time."""
+def sampled_runs(texts: list[bytes], hashes: WordHashes, words: int, run: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, hash) of sampled runs of `run` words: of each stretch of `words` words the one of the least hash; some texts at a time."""
     held: list[tuple[int, np.ndarray]] = []
     size = 0
     for i, t in enumerate([*texts, None]):
         if held and (t is None or size > PIECE):
             x = np.concatenate([h for _, h in held])
-            sizes = np.array([len(h) for _, h in held])
-            ends = np.cumsum(sizes)
-            grams = rolled(x, gram)
-            for lo in range(0, len(x), PIECE):  # a long text in stretches that least_places can number
-                part = grams[lo : lo + PIECE + words - gram]
-                if len(part) < words - gram + 1:
+            ends = np.cumsum([len(h) for _, h in held])
+            number, runs, width = np.array([k for k, _ in held]), rolled(x, run), words - run + 1
+            for lo in range(0, len(runs), PIECE):  # a long text in pieces that least_places can number
+                part = runs[lo : lo + PIECE + width - 1]
+                if len(part) < width:
                     break
-                least = part[least_places(part, words - gram + 1)]
-                place = lo + np.arange(len(least))
+                at = least_places(part, width)
+                place = lo + np.arange(len(at))
                 owner = np.searchsorted(ends, place, side="right")
                 inside = place + words <= ends[owner]
-                window = rolled(x[lo : lo + len(least) + words - 1], words)
-                yield np.array([k for k, _ in held])[owner[inside]], (place - (ends - sizes)[owner])[inside], least[inside], window[inside]
+                at, owner = at[inside], owner[inside]
+                new = np.append(True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])) if len(at) else inside[:0]
+                yield number[owner[new]], part[at[new]]
             held, size = [], 0
         if t:
-            h = word_hashes().of(t.decode("utf-8", "surrogatepass"))
+            h = hashes.of(t.decode("utf-8", "surrogatepass"))
             if len(h) >= words:
                 held.append((i, h))
                 size += len(h)
 
 
-def repeated_passages(docs: DataFrame, rows: DataFrame, words: int, gram: int = 12) -> DataFrame:
-    """(d, h, n_repeat_words) of documents with runs of `words` words that another document holds: how many words those cover.
+def shared_runs(rows: DataFrame, words: int, run: int = 30) -> DataFrame:
+    """(d, h, n_shared_runs): how many sampled runs of `run` words of a document another one has as well; documents without any have no row.
 
-    Every run has one least gram, and equal runs have equal ones; so runs are hashed only where the gram
-    stands in two documents, and then counted over the cluster.  docs: packed, rows: (d, h, t).
+    Equal stretches of `words` words have the same run sampled, so every document that shares a stretch
+    has one at least.  Rows are (d, h, t).
     """
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             d, h = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for text, _, least, _ in passage_windows([t.as_py() for t in b.column(2)], words, gram):
-                new = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (least[1:] != least[:-1]))) if len(text) else text
-                yield pa.RecordBatch.from_arrays([pa.array(d[text[new]]), pa.array(h[text[new]]), pa.array(least[new].view(np.int64))], names=["d", "h", "g"])
+            for text, g in sampled_runs(b.column(2).to_pylist(), hashes, words, run):
+                yield pa.RecordBatch.from_arrays([pa.array(d[text]), pa.array(h[text]), pa.array(g.view(np.int64))], names=["d", "h", "g"])
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (b.slice(at, 200) for b in batches for at in range(0, b.num_rows, 200)):
-            d, h = b.column(0).to_numpy(), b.column(1).to_numpy()
-            shared = [np.sort(np.array(x, dtype=np.int64).view(np.uint64)) for x in b.column(3).to_pylist()]
-            for text, place, least, window in passage_windows([unpacked(t.as_py()) for t in b.column(2)], words, gram):
-                some = np.zeros(len(text), dtype=bool)
-                for i in np.unique(text):
-                    of = text == i
-                    some[of] = np.isin(least[of], shared[i])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[text[some]], h[text[some]], place[some], window[some].view(np.int64))], names=["d", "h", "s", "value"])
-
-    found = staged(rows.select("d", "h", "t").mapInArrow(grams, "d long, h long, g long").distinct(), "sa-grams")
+    found = staged(rows.select("d", "h", "t").mapInArrow(sample, "d long, h long, g long"), "sa-runs")
     key = F.struct("d", "h")
     met = found.groupBy("g").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select("g")
-    lists = found.join(met.hint("merge"), "g", "left_semi").groupBy("d", "h").agg(F.collect_list("g").alias("g"))
-    both = docs.select("d", "h", "t").join(lists.hint("merge"), ["d", "h"]).select("d", "h", "t", "g").dropDuplicates(["d", "h"])
-    w = staged(both.mapInArrow(windows, "d long, h long, s long, value long"), "sa-passages")
-    again = w.groupBy("value").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select("value")
-    at = w.join(again.hint("merge"), "value", "left_semi").groupBy("d", "h").agg(F.array_sort(F.collect_set("s")).alias("s"))
-    steps = F.zip_with(F.slice("s", F.lit(2), F.size("s")), F.slice("s", F.lit(1), F.size("s") - 1), lambda b, a: F.least(b - a, F.lit(words)))
-    return at.select("d", "h", (F.lit(words) + F.aggregate(steps, F.lit(0).cast("long"), lambda acc, x: acc + x)).alias("n_repeat_words"))
+    return found.join(met.hint("merge"), "g", "left_semi").groupBy("d", "h").agg(F.count("*").alias("n_shared_runs"))
 
 
 def merged(lo: list[int], hi: list[int]) -> list[tuple[int, int]]:
@@ -423,14 +401,14 @@ def merged(lo: list[int], hi: list[int]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 100, with_text: bool = False, passage_words: int | None = None) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256, spans (kept, the bytes left, if with_text; n_repeat_words, if passage_words), one row per row of docs.
+    """id, n_bytes, n_removed, n_spans, kept_sha256, spans (kept, the bytes left, if with_text; n_shared_runs, if passage_words), one row per row of docs.
 
     Texts are bytes of UTF-8 (null: empty).  A byte is removed if a string of `length` bytes covers it
     that starts anywhere else too, in its own document or another row, overlaps included; strings are
     judged on the input and never cross documents.  spans: the maximal removed stretches.  Repeated rows
     are each other's repeats.  Texts shorter than `length` stay whole.  Other columns are not read.
-    n_repeat_words: words in runs of passage_words words that a document of another id or text holds too;
-    nothing is removed for these alone.
+    n_shared_runs: runs of 30 words, sampled so that every stretch of passage_words words has one, that a
+    document of another id or text holds too; nothing is removed for these alone.
     """
     if not 0 < gram <= length <= 30_000:
         raise ValueError("gram must be within length, and length within 30,000")
@@ -439,10 +417,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     regions = repeated_regions(packed(rows), rows, length, gram)
     lists = regions.groupBy("d", "h").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     if passage_words:
-        lists = lists.join(repeated_passages(packed(rows), rows, passage_words), ["d", "h"], "full_outer")
+        lists = lists.join(shared_runs(rows, passage_words), ["d", "h"], "full_outer")
     else:
-        lists = lists.withColumn("n_repeat_words", F.lit(0).cast("long"))
-    both = packed(rows).join(lists, ["d", "h"], "left").select("id", "t", "lo", "hi", F.coalesce("n_repeat_words", F.lit(0)).alias("n_repeat_words"))
+        lists = lists.withColumn("n_shared_runs", F.lit(0).cast("long"))
+    both = packed(rows).join(lists, ["d", "h"], "left").select("id", "t", "lo", "hi", F.coalesce("n_shared_runs", F.lit(0)).alias("n_shared_runs"))
     extra = ", kept binary" if with_text else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,9 +437,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             arrays = [b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.binary()), strict=True))]
             names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
             n = 7 if with_text else 6
-            yield pa.RecordBatch.from_arrays([*arrays[:n], b.column(4)], names=[*names[:n], "n_repeat_words"])
+            yield pa.RecordBatch.from_arrays([*arrays[:n], b.column(4)], names=[*names[:n], "n_shared_runs"])
 
-    got = both.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo: long, hi: long>>{extra}, n_repeat_words long")
+    got = both.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo: long, hi: long>>{extra}, n_shared_runs long")
     if not passage_words:
-        got = got.drop("n_repeat_words")
+        got = got.drop("n_shared_runs")
     return got.withColumnRenamed("id", id_col)

@@ -84,24 +84,28 @@ def test_rows_without_an_id(spark):
     assert got == Counter(brute([t.encode() for _, t in rows], 40))
 
 
-@pytest.mark.parametrize("piece", [1 << 19, 40])
-def test_repeated_passages_equal_brute_force(spark, monkeypatch, piece):
+@pytest.mark.parametrize("piece", [1 << 19, 90])
+def test_shared_runs(spark, monkeypatch, piece):
+    """Every document that shares 51 words with another has a run in common, and no run of 30 words is counted that no other has."""
     monkeypatch.setattr(sd, "PIECE", piece)
     r = random.Random(6)
-    words = ["".join(r.choice("abcdeé") for _ in range(3)) for _ in range(40)]
-    prose = lambda k: " ".join(r.choice(words) for _ in range(k))
-    shared = [prose(r.randint(5, 30)) for _ in range(10)]
-    rows = [(i if i % 7 else None, "  ".join([prose(r.randint(0, 15)), r.choice(shared) if i % 2 else "", prose(r.randint(0, 9)) + "\n", r.choice(shared)])) for i in range(150)]
-    rows += [(500, None), (501, ""), (502, rows[1][1]), (3, rows[3][1]), (503, prose(200) + " " + shared[0])]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((str(x.doc_id), x.n_bytes, x.n_repeat_words) for x in remove_repeats(df, length=400, passage_words=12).collect())
-    texts = [(d, (t or "").split()) for d, t in rows]
-    where = {}
-    for d, w in zip([(d, t or "") for d, t in rows], [w for _, w in texts], strict=True):
-        for i in range(len(w) - 11):
-            where.setdefault(tuple(w[i : i + 12]), set()).add(d)
-    want = []
-    for (d, t), (_, w) in zip(rows, texts, strict=True):
-        covered = {j for i in range(len(w) - 11) if len(where[tuple(w[i : i + 12])]) > 1 for j in range(i, i + 12)}
-        want.append((str(d), len((t or "").encode()), len(covered)))
-    assert got == sorted(want) and sum(n > 0 for *_, n in want) > 40
+    prose = lambda k: " ".join("".join(r.choice("abcdeé") for _ in range(3)) for _ in range(k))
+    shared = [prose(k) for k in (20, 35, 51, 55, 70, 200)]
+    rows = [(i if i % 7 else None, "  ".join([prose(r.randint(0, 60)), r.choice(shared) if i % 3 == 0 else "", prose(r.randint(0, 60)) + "\n"])) for i in range(150)]
+    rows += [(500, None), (501, ""), (502, rows[1][1]), (3, rows[3][1]), (503, prose(400) + " " + shared[3])]
+    got = Counter((str(x.doc_id), x.n_bytes, x.n_shared_runs > 0) for x in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), passage_words=51).collect())
+
+    def runs(k):
+        where = {}
+        for d, t in rows:
+            w = (t or "").split()
+            for i in range(len(w) - k + 1):
+                where.setdefault(tuple(w[i : i + k]), set()).add((d, t))
+        return [any(len(where[tuple(w[i : i + k])]) > 1 for i in range(len(w) - k + 1)) for _, t in rows for w in [(t or "").split()]]
+
+    must, may = runs(51), runs(30)
+    for (d, t), a, b in zip(rows, must, may, strict=True):
+        key = str(d), len((t or "").encode())
+        assert not a or got[(*key, True)]
+        assert b or got[(*key, False)]
+    assert sum(must) > 20 and sum(b and not a for a, b in zip(must, may, strict=True)) > 3
