@@ -85,11 +85,11 @@ def name_qualities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    SELECT p_partkey FROM part WHERE p_type IN ('PROMO', 'ECONOMY') AND p_size BETWEEN 5 AND 44 AND p_partkey % 2 = 0 AND split_part(p_name, ' ', 2) IN ('widget', 'bolt') AND p_brand = 'Brand#13'
+    SELECT p_partkey FROM part WHERE p_type IN ('PROMO', 'ECONOMY') AND p_size BETWEEN 5 AND 44 AND p_partkey % 2 = 0 AND split_part(p_name, ' ', 2) IN ('widget', 'bolt') AND p_brand = 'Brand#19'
 """)
 def filtered_talks(spark: SparkSession, sf: str) -> DataFrame:
     """FLT-01, FLT-02, RTE-01: years, categories, slides, topics (any of them) and a person, from an address."""
-    spec = SearchSpec.parse("?topics=Widget,bolt&years=" + ",".join(map(str, range(5, 45))) + "&categories=PROMO,ECONOMY&slides=1&speaker=brand%2013")
+    spec = SearchSpec.parse("?topics=Widget,bolt&years=" + ",".join(map(str, range(5, 45))) + "&categories=PROMO,ECONOMY&slides=1&speaker=brand%2019")
     p = t(spark, sf, "part").withColumns({"people": F.array(F.lit("X Y"), F.replace("p_brand", F.lit("#"), F.lit(" "))), "topics": F.split("p_name", " "), "year": F.col("p_size").cast("string"), "slides": F.when(F.col("p_partkey") % 2 == 0, F.lit("s")).otherwise(F.lit(" ")), "video": F.lit("")})
     return apply(p, spec, "people", "topics", "year", "p_type", "p_brand", "video", "slides").select("p_partkey")
 
