@@ -31,7 +31,7 @@ from .common import drop_scratch, staged
 
 PIECE = 1 << 19  # window starts worked on at a time
 BITS = 20  # of a place within a piece and its margin
-HOT = 4096  # members from which a bucket's windows are counted over the cluster
+HOT = 2048  # members from which a bucket's windows are counted over the cluster
 SALTS = 16
 SPACED = re.compile(r"\S+")
 BASE = 0x9E3779B97F4A7C15
@@ -267,7 +267,7 @@ def repeated_in_buckets(ctx: DataFrame, length: int) -> DataFrame:
         held: list[tuple] = []
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if len(held) > 5000 and r[5] != held[-1][5]:
+                if len(held) > 1000 and r[5] != held[-1][5]:
                     yield from solve(held)
                     held = []
                 held.append(r)
