@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import drop_scratch, staged
+from .common import drop_scratch, small_batches, staged
 
 #: Words, each character of scripts without spaces by itself, and runs of signs.
 SCRIPTS = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿\U00020000-\U0003ffff"
@@ -424,9 +424,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ids = labels.where("quality = 1").select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
     held = F.coalesce(F.crc32(F.col(text_col).cast("binary")) % HELD_OUT == 0, F.lit(False))
-    model = fit(docs.where(~held).select(id_col, lang_col, text_col).join(ids, id_col, "left_semi"), docs, text_col, lang_col, min_tokens)
     size_class = sum((F.col("n_coded") >= n).cast("int") for n in LENGTHS)
-    scored = staged(perplexities(docs, model, id_col, text_col, lang_col).withColumn("size_class", size_class), "kn-scores")
+    with small_batches(docs.sparkSession):
+        model = fit(docs.where(~held).select(id_col, lang_col, text_col).join(ids, id_col, "left_semi"), docs, text_col, lang_col, min_tokens)
+        scored = staged(perplexities(docs, model, id_col, text_col, lang_col).withColumn("size_class", size_class), "kn-scores")
     model.drop()
     trusted = scored.join(ids, id_col, "left_semi")
     limit = thresholds(trusted.where("held"), quantile, margin, least) or thresholds(trusted, quantile, margin, least)
