@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, staged
+from .common import drop_scratch, small_batches, staged
 
 PIECE = 1 << 19  # window starts worked on at a time
 BITS = 20  # of a place within a piece and its margin
@@ -414,10 +414,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("gram must be within length, and length within 30,000")
     rows = keyed(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    regions = repeated_regions(packed(rows), rows, length, gram)
+    with small_batches(docs.sparkSession):
+        regions = repeated_regions(packed(rows), rows, length, gram)
+        shared = shared_runs(rows, passage_words) if passage_words else None
     lists = regions.groupBy("d", "h").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     if passage_words:
-        lists = lists.join(shared_runs(rows, passage_words), ["d", "h"], "full_outer")
+        lists = lists.join(shared, ["d", "h"], "full_outer")
     else:
         lists = lists.withColumn("n_shared_runs", F.lit(0).cast("long"))
     both = packed(rows).join(lists, ["d", "h"], "left").select("id", "t", "lo", "hi", F.coalesce("n_shared_runs", F.lit(0)).alias("n_shared_runs"))
