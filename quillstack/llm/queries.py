@@ -81,6 +81,13 @@ def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a conv_id are left out; null roles and texts are empty; turns that tie go by role and text; no conversations give no node."""
+    from .prefix_trie import prefix_trie, with_shared_heads
+
+    return prefix_trie(table(spark, sf_dir, "conversations"), with_shared_heads)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_decontamination": op2_decontamination,
@@ -92,9 +99,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_exact_topk": op13_exact_topk,
 }
 
+#: One bit of a CRC-32, and the whole of a conversation id's, modulo 6.
+_BIT = "xor({0} >> 1, 3988292384 * ({0} & 1))"
+_BYTE = "xor(a, b)"
+for _ in range(8):
+    _BYTE = _BIT.format(f"({_BYTE})") if _ == 0 else f"list_transform([{_BYTE}], lambda z: {_BIT.format('z')})[1]"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda a, b: {_BYTE}), 4294967295) % 6"
+
 ORACLE_SQL: dict[str, str] = {
     "op4_embedding_dedup": """
         WITH RECURSIVE v AS (
@@ -123,6 +138,37 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN page_id <> keeper THEN keeper END AS refers_to
         FROM k
     """,
+    "op12_prefix_trie": f"""
+        WITH t AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        k AS (SELECT c, c - c % 100 AS b, {_CRC} AS h FROM (SELECT DISTINCT c FROM t)),
+        r AS (
+            SELECT k.c, 0 AS part, t.pos, t.role, t.text FROM k JOIN t ON t.c = k.b AND t.pos <= k.h
+            UNION ALL SELECT k.c, 1, t.pos, t.role, t.text FROM k JOIN t ON t.c = k.c AND t.pos > k.h
+        ),
+        d AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS depth, role, text FROM r),
+        s AS (SELECT c, depth, text, string_agg(sha256(role) || sha256(text), '' ORDER BY depth) OVER (PARTITION BY c ORDER BY depth) AS way FROM d),
+        m AS (
+            SELECT c, depth, length(text) AS size, sha256(way) AS node, coalesce(lag(sha256(way)) OVER (PARTITION BY c ORDER BY depth), '') AS parent, depth = max(depth) OVER (PARTITION BY c) AS last FROM s
+            UNION ALL SELECT k.c, 0, 0, '', NULL, NOT EXISTS (SELECT 1 FROM s WHERE s.c = k.c) FROM k
+        ),
+        n AS (
+            SELECT node, any_value(parent) AS parent, min(c) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(size) AS size,
+                sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE last), '')) AS ends_sha256
+            FROM m GROUP BY node
+        ),
+        kids AS (SELECT parent AS node, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+        below AS (
+            SELECT m.node, sum((n.n_convs - 1) * n.size) AS saved, count(*) FILTER (WHERE kids.node IS NULL) AS leaves
+            FROM n JOIN m ON m.c = n.conv_id AND m.depth <= n.depth LEFT JOIN kids ON kids.node = n.node GROUP BY m.node
+        )
+        SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(kids.n_children, 0)::BIGINT AS n_children,
+            below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, n.ends_sha256
+        FROM n JOIN below USING (node) LEFT JOIN n p ON p.node = n.parent LEFT JOIN kids ON kids.node = n.node
+    """,
     "op13_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
