@@ -81,6 +81,15 @@ def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have zeros and an empty digest; repeated rows are documents of their own."""
+    import public_tokenizers
+
+    from .alignment import align
+
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without a conv_id are left out; null roles and texts are empty; turns that tie go by role and text; no conversations give no node."""
     from .prefix_trie import prefix_trie, with_shared_heads
@@ -99,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_token_alignment": op11_token_alignment,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_exact_topk": op13_exact_topk,
 }
