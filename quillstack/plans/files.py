@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.sources import bundles
+from quillstack.sources.versions import VersionedTable
 
 from .registry import query, t
 from .texts import say
@@ -92,17 +93,29 @@ def cached_works(spark: SparkSession, sf: str) -> DataFrame:
     return bundles.cached_works(spark, f"{root}/*.json", wanted, "id: string, title: string").select("id", "title")
 
 
-@query("SELECT 1 AS step, TRUE AS written, 'v1' AS version, 'b.json,a.json' AS files UNION ALL SELECT 2, FALSE, 'v1', 'b.json,a.json' UNION ALL SELECT 3, TRUE, 'v3', 'c.json,b.json,a.json'")
+@query("""
+    SELECT 1::BIGINT AS version, 'v1' AS label, count(*) AS rows, 'b.json,a.json' AS files FROM part
+    UNION ALL SELECT 2, 'v3', count(*), 'c.json,b.json,a.json' FROM part WHERE p_size > 1
+""")
 def idempotent_writes(spark: SparkSession, sf: str) -> DataFrame:
-    """SNK-01, SNK-02, SNK-06, SNK-07, INC-11, SET-04: written once, not again without a change, again with one; the manifest's version follows."""
-    path, out = f"{scratch(spark)}/table", []
-    r = t(spark, sf, "region")
-    manifest: dict = {"eventFiles": ["a.json"]}
-    for step, (df, files) in enumerate(((r, ["b.json"]), (r.orderBy(F.desc("r_name")), ["a.json"]), (r.withColumn("r_name", F.lower("r_name")), ["c.json"])), 1):
-        written = bundles.save_if_changed(df, path)
-        manifest = bundles.updated_manifest(manifest, "eventFiles", files, f"v{step}", written)
-        out.append((step, written, manifest["dataVersion"], ",".join(manifest["eventFiles"])))
-    return spark.createDataFrame(out, "step int, written boolean, version string, files string")
+    """SNK-01, SNK-02, SNK-06, INC-11, SET-04: the manifests of a table that was published, again without a change, and with one."""
+    table, p = VersionedTable(spark, f"{scratch(spark)}/parts"), t(spark, sf, "part")
+    table.publish(p, ["p_partkey"], "v1", files=["a.json", "b.json"])
+    table.publish(p.repartition(3, "p_brand"), label="v2", files=["a.json"])
+    table.publish(p.where("p_size > 1"), label="v3", files=["c.json"])
+    return table.history().select("version", "label", "rows", F.array_join("files", ",").alias("files"))
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 500 = 1 THEN o_totalprice + 1 ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 500 = 1 THEN 'modified' WHEN o_orderkey % 500 = 2 THEN 'removed' ELSE 'added' END AS change
+    FROM orders WHERE o_orderkey % 500 IN (1, 2, 3)
+""")
+def published_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-20, SRC-21, SNK-07: what differs between two published versions of all orders, by buckets whose checksums differ."""
+    table, o = VersionedTable(spark, f"{scratch(spark)}/orders"), t(spark, sf, "orders")
+    table.publish(o.where("o_orderkey % 500 <> 3"), ["o_orderkey"], "v1", buckets=256)
+    table.publish(o.where("o_orderkey % 500 <> 2").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 500 == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))), label="v2")
+    return table.changed_rows(1, 2).select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("_change").alias("change"))
 
 
 @query("SELECT regexp_replace(lower(r_name), '[^a-z0-9]+', '', 'g') AS key, r_name AS tag, row_number() OVER (ORDER BY r_regionkey)::INTEGER AS place FROM region")

@@ -151,29 +151,11 @@ def batch_key(ids: F.Column) -> F.Column:
     return F.sha1(F.array_join(F.array_sort(ids), "|").cast("binary"))
 
 
-def content_hash(df: DataFrame) -> tuple[int, int]:
-    """Rows and an order-free checksum."""
-    r = df.select(F.xxhash64(*(F.to_json(F.struct(c)) if "<" in k else F.col(c) for c, k in df.dtypes)).alias("h")).agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("h") % 1_000_000_007).cast("decimal(38,0)")), F.lit(0)).cast("long").alias("s")).first()
-    return r["n"], r["s"]
+def save_if_changed(df: DataFrame, path: str, key: list[str] | None = None) -> bool:
+    """Publish df as the next version of the table at path unless that has the same rows; tells whether it did (SNK-01, SNK-07)."""
+    from .versions import VersionedTable
 
-
-def save_if_changed(df: DataFrame, path: str) -> bool:
-    """Write df as Parquet unless the table there has the same rows; tells whether it was written (SNK-01, SNK-07).
-
-    The new table is complete beside the old one before it takes its place.
-    """
-    spark = df.sparkSession
-    new = f"{path.rstrip('/')}.__new"
-    df.write.mode("overwrite").parquet(new)
-    jvm = spark.sparkContext._jvm
-    a, b = jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(path)
-    fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(b) and spark.read.parquet(path).schema == spark.read.parquet(new).schema and content_hash(spark.read.parquet(path)) == content_hash(spark.read.parquet(new)):
-        fs.delete(a, True)
-        return False
-    fs.delete(b, True)
-    fs.rename(a, b)
-    return True
+    return VersionedTable(df.sparkSession, path).publish(df, key)
 
 
 def updated_manifest(manifest: dict, key: str, files: list[str], version: str, changed: bool, force: bool = False) -> dict:
