@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import Text, blank, col, collapse_ws, strip_markup
@@ -121,24 +121,38 @@ def slugify(c: Text) -> Column:
 
 
 def with_unique_ids(df: DataFrame, base: str, order: str, out: str = "id") -> DataFrame:
-    """Ids in order of encounter: the base, then base-2, base-3, ...; suffixes that are bases themselves are passed over (KEY-15)."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    numbered = df.withColumn("__n", n)
+    """Ids in order of encounter: the base, then base-2, base-3, ...; suffixes that are bases themselves are passed over (KEY-15, WIN-03).
+
+    The n-th of a base gets suffix n and one more for each suffix below it that is taken, both running totals:
+    work is linear in the rows, and a base that most rows have is spread like any other.
+    """
+    from quillstack.operators.numbering import running
+
+    one = F.lit(1).cast("long")
+    numbered = running(df, [base], [order], {"__n": ("sum", one)}).drop("_part", "_row")
     bases = df.select(F.col(base).alias("__b")).distinct()
-    own = F.regexp_extract("__b", r"^(.*)-(\d+)$", 1)
-    taken = bases.where(own != "").select(own.alias("__of"), F.regexp_extract("__b", r"-(\d+)$", 1).cast("int").alias("__k")).groupBy("__of").agg(F.collect_set("__k").alias("__taken"))
-    free = F.filter(F.sequence(F.lit(2), F.col("__n") + F.coalesce(F.size("__taken"), F.lit(0)) + 1), lambda k: ~F.coalesce(F.array_contains("__taken", k), F.lit(False)))
-    with_taken = numbered.join(taken, numbered[base] == taken["__of"], "left")
-    suffix = F.element_at(free, F.greatest(F.col("__n") - 1, F.lit(1)))
+    parts = lambda i: F.regexp_extract("__b", r"^(.*)-([1-9]\d*)$", i)
+    taken = bases.select(parts(1).alias(base), parts(2).try_cast("long").alias("__k")).where("__k >= 2").join(bases.withColumnRenamed("__b", base), base, "left_semi")
+    suffix = F.col("__n")
+    if not taken.isEmpty():
+        # the i-th taken suffix k moves every number from k - i + 1 on
+        moves = running(taken, [base], ["__k"], {"__i": ("sum", one)}).select(base, (F.col("__k") - F.col("__i") + 1).alias("__n"), F.lit(0).alias("__late"), one.alias("__moved"), F.lit(None).cast(numbered.select(F.struct("*")).schema[0].dataType).alias("__r"))
+        points = moves.unionByName(numbered.select(base, "__n", F.lit(1).alias("__late"), F.lit(0).cast("long").alias("__moved"), F.struct("*").alias("__r")))
+        moved = running(points, [base], ["__n", "__late"], {"__by": ("sum", F.col("__moved"))}).where("__late = 1")
+        numbered = moved.select("__r.*", "__by")
+        suffix = F.col("__n") + F.col("__by")
     made = F.when(F.col("__n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), suffix.cast("string")))
-    return with_taken.withColumn(out, made).drop("__n", "__of", "__taken")
+    return numbered.withColumn(out, made).drop("__n", "__by")
 
 
 def next_talk_ids(new: DataFrame, existing: DataFrame, group: str, order: str, id_col: str = "id") -> DataFrame:
     """Ids <group>-NNN for new rows, numbered on from the largest that exists (KEY-16)."""
+    from quillstack.operators.numbering import running
+
     top = existing.groupBy(group).agg(F.max(F.regexp_extract(id_col, r"-(\d+)$", 1).try_cast("int")).alias("__top"))
-    n = F.row_number().over(Window.partitionBy(group).orderBy(order)) + F.coalesce("__top", F.lit(0))
-    return new.join(top, group, "left").withColumn(id_col, F.concat(F.col(group), F.lit("-"), F.lpad(n.cast("string"), 3, "0"))).drop("__top")
+    placed = running(new, [group], [order], {"__n": ("sum", F.lit(1).cast("long"))}).drop("_part", "_row")
+    n = F.col("__n") + F.coalesce("__top", F.lit(0))
+    return placed.join(top, group, "left").withColumn(id_col, F.concat(F.col(group), F.lit("-"), F.lpad(n.cast("string"), F.greatest(F.lit(3), F.length(n.cast("string"))), "0"))).drop("__top", "__n")
 
 
 AFFILIATION_WORDS = r"(?i)\b(university|institute|college|school|laborator(y|ies)|labs?|inc|corp|ltd|gmbh|research|technologies|company)\b"

@@ -11,6 +11,7 @@ from quillstack.functions.keys import affiliation_key, normalize_affiliation, pe
 from quillstack.functions.text import blank, collapse_ws
 
 from .graph import key_components
+from .numbering import numbered, running
 
 
 def record_quality(priority: Column, work: Column, doi: Column, abstract: Column, title: Column, authors: Column, citations: Column, labels: Column) -> Column:
@@ -242,7 +243,5 @@ def related_by_labels(items: DataFrame, id_col: str, labels: Column, group: str,
 
 def chunks_of(df: DataFrame, order: str, size: int, group: str | None = None) -> DataFrame:
     """Rows numbered into batches of a size, within each group (ARR-07)."""
-    w = Window.partitionBy(group).orderBy(order) if group else Window.orderBy(order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
-
-
+    placed = running(df, [group], [order], {"__n": ("sum", F.lit(1).cast("long"))}).drop("_part", "_row") if group else numbered(df, [order], "__n")
+    return placed.withColumn("batch", F.floor((F.col("__n") - 1) / size).cast("int")).drop("__n")

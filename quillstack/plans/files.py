@@ -7,6 +7,7 @@ what a reader must give back.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ def scratch(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; where a session in local mode names none (tests), under /tmp."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = "file:///tmp/quillstack-checkpoints"
     return f"{base.rstrip('/')}/quillstack/files-{uuid.uuid4().hex}"
@@ -124,8 +125,6 @@ def tag_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     r = t(spark, sf, "nation").join(t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = r.select((F.col("n_regionkey") * 100 + F.col("n_nationkey")).alias("o"), F.array("r_name", F.lower("r_name"), F.lit("--")).alias("tags"))
     tags = bundles.canonical_tags(None, rows, "tags", "o")
-    import re
-
     return spark.createDataFrame([(re.sub("[^a-z0-9]+", "", x.lower()), x, i) for i, x in enumerate(tags, 1)], "key string, tag string, place int")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.functions import keys as ky
 from quillstack.operators import changes, facets, keywords, records, search
+from quillstack.operators.numbering import numbered
 
 from .registry import query, t
 from .spec import SearchSpec, apply, exact_entry, initial_query
@@ -118,16 +119,23 @@ def item_orders(spark: SparkSession, sf: str) -> DataFrame:
     p = t(spark, sf, "part").select("p_partkey", "p_brand", "p_name", F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("id"), F.when(F.col("p_size") % 2 == 0, (F.col("p_size") + 2000).cast("string")).otherwise(F.lit("n/a")).alias("year"))
     orders = {m: search.talk_order(m, "p_brand", "p_name", "id", locale=None) for m in search.TALK_ORDERS} | {"stored": search.paper_order("year", "p_name", "id")}
     for name, keys in orders.items():
-        p = p.withColumn(name, F.row_number().over(Window.orderBy(*keys)))
-    return p.where(F.least(*orders) <= 50).select("p_partkey", *orders)
+        p = numbered(p, keys, name)
+    return p.where(F.least(*orders) <= 50).select("p_partkey", *(F.col(o).cast("int").alias(o) for o in orders))
 
 
-@query("SELECT word, row_number() OVER (ORDER BY lower(word), word)::INTEGER AS place FROM (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN upper(split_part(p_name, ' ', 1)) ELSE split_part(p_name, ' ', 1) END AS word FROM part)")
+# Words with capitals and accents, in the order of the root locale.
+WORDS = ("abend", "Abend", "äbend", "Äbend", "abends", "cote", "Cote", "coté", "côte", "Côte", "côté", "Naive", "naïve", "öl", "Öl", "zebra", "Zebra")
+
+
+@query(f"""
+    WITH w AS (SELECT p_partkey, p_partkey % {len(WORDS)} + 1 AS rank FROM part)
+    SELECT p_partkey, (['{"', '".join(WORDS)}'])[rank] AS word, row_number() OVER (ORDER BY rank, p_partkey)::BIGINT AS place FROM w
+""")
 def locale_order(spark: SparkSession, sf: str) -> DataFrame:
-    """SRT-07: words in the order of a locale, a before A before b."""
-    w = t(spark, sf, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.upper(F.split("p_name", " ")[0])).otherwise(F.split("p_name", " ")[0]).alias("word")).distinct()
-    # the SQL puts capitals first where only case differs, the locale last: places are of the folded words, then of capitals
-    return w.select("word", F.row_number().over(Window.orderBy(F.collate(F.lower("word"), "UNICODE"), "word")).alias("place"))
+    """SRT-07: all parts under words with capitals and accents, in the order of a locale; the SQL goes by the words' known ranks."""
+    word = F.element_at(F.array(*(F.lit(w) for w in WORDS)), (F.col("p_partkey") % len(WORDS) + 1).cast("int"))
+    w = t(spark, sf, "part").select("p_partkey", word.alias("word"))
+    return numbered(w, [F.collate("word", "UNICODE"), F.col("p_partkey")]).select("p_partkey", "word", "place")
 
 
 @query("SELECT event_id, event_type FROM events QUALIFY row_number() OVER (ORDER BY ts DESC, user_id DESC, event_type DESC) <= 100")

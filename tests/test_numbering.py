@@ -42,3 +42,24 @@ def test_running_totals(rows):
 def test_empty(rows):
     none = rows.where("false")
     assert numbering.numbered(none, ["o"]).count() == 0 and numbering.running(none, ["k"], ["o"], {"n": ("sum", F.lit(1))}).count() == 0
+
+
+def test_unique_ids_are_linear_in_a_repeated_base(spark):
+    from quillstack.functions.keys import with_unique_ids
+
+    n = 1_000_000
+    df = spark.range(n, numPartitions=8).select("id", F.lit("same").alias("base")).unionByName(spark.createDataFrame([(n, "same-3"), (n + 1, "same-5"), (n + 2, "same-5"), (n + 3, "other"), (n + 4, "same-07")], "id long, base string"))
+    got = with_unique_ids(df.withColumnRenamed("id", "at"), "base", "at")
+    assert got.columns == ["at", "base", "id"]
+    kept = {r.at: r.id for r in got.where((F.col("at") < 6) | (F.col("at") >= n - 1)).collect()}
+    assert [kept[i] for i in range(6)] == ["same", "same-2", "same-4", "same-6", "same-7", "same-8"] and kept[n - 1] == f"same-{n + 2}"
+    assert [kept[n + i] for i in range(5)] == ["same-3", "same-5", "same-5-2", "other", "same-07"]
+    assert got.select("id").distinct().count() == n + 5
+
+
+def test_batches_in_one_and_in_groups(spark):
+    from quillstack.operators.records import chunks_of
+
+    df = spark.range(0, 1000, 1, 4).select("id", (F.col("id") % 2).alias("g"))
+    assert [r["count"] for r in chunks_of(df, "id", 300).groupBy("batch").count().orderBy("batch").collect()] == [300, 300, 300, 100]
+    assert {(r.g, r.batch): r["count"] for r in chunks_of(df, "id", 300, "g").groupBy("g", "batch").count().collect()} == {(0, 0): 300, (0, 1): 200, (1, 0): 300, (1, 1): 200}
