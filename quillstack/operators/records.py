@@ -224,23 +224,6 @@ def match_authors(paper: DataFrame, work: DataFrame) -> DataFrame:
     return out.unionByName(by_place.where(fits).select("paper", "pos", "affiliation"))
 
 
-def related_by_labels(items: DataFrame, id_col: str, labels: Column, group: str, year: Column, title: str, per_group: int = 4, total: int = 6) -> DataFrame:
-    """(id, other, rank): up to per_group of the same group, then by labels in common, newest first, up to total (JON-15, JON-16).
-
-    Items meet through their labels, not each with each.
-    """
-    base = items.select(F.col(id_col).alias("id"), F.col(group).alias("g"), year.alias("y"), F.col(title).alias("t"), labels.alias("ls"))
-    tag = base.select("id", F.explode("ls").alias("l"))
-    shared = tag.join(tag.withColumnRenamed("id", "other"), "l").where("id <> other").groupBy("id", "other").agg(F.count("*").alias("n"))
-    o = base.select(F.col("id").alias("other"), F.col("g").alias("og"), F.col("y").alias("oy"), F.col("t").alias("ot"))
-    pairs = shared.join(base.select("id", "g"), "id").join(o, "other")
-    mate = (F.col("g") == F.col("og")).cast("int")
-    w = Window.partitionBy("id", mate).orderBy("other")
-    pairs = pairs.withColumn("first", (mate == 1) & (F.row_number().over(w) <= per_group))
-    order = Window.partitionBy("id").orderBy(F.desc("first"), F.when(F.col("first"), 0).otherwise(-F.col("n")), F.when(F.col("first"), 0).otherwise(-F.col("oy")), F.when(F.col("first"), "").otherwise(F.col("ot")), "other")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= total).select("id", "other", "rank")
-
-
 def chunks_of(df: DataFrame, order: str, size: int, group: str | None = None) -> DataFrame:
     """Rows numbered into batches of a size, within each group (ARR-07)."""
     placed = running(df, [group], [order], {"__n": ("sum", F.lit(1).cast("long"))}).drop("_part", "_row") if group else numbered(df, [order], "__n")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillstack.functions import fields as fl
 from quillstack.functions import keys as ky
 from quillstack.functions import text as tx
-from quillstack.operators import changes, documents, facets, keywords, pages, records, search
+from quillstack.operators import changes, documents, facets, keywords, pages, records, related, search
 from quillstack.sources.bundles import batch_key
 
 from .registry import query, t
@@ -302,7 +302,7 @@ def enrich_left(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    WITH i AS (SELECT p_partkey AS id, p_brand AS g, p_size AS y, p_name AS t, list_distinct(string_split(p_name, ' ') || [p_brand]) AS ls FROM part WHERE p_size = 7),
+    WITH i AS (SELECT p_partkey AS id, p_brand AS g, p_size AS y, p_name AS t, list_distinct(string_split(p_name, ' ') || [p_brand]) AS ls FROM part),
     l AS (SELECT id, unnest(ls) AS l FROM i),
     s AS (SELECT a.id, b.id AS other, count(*) AS n FROM l a JOIN l b ON a.l = b.l AND a.id <> b.id GROUP BY 1, 2),
     p AS (SELECT s.*, x.g, o.g AS og, o.y AS oy, o.t AS ot FROM s JOIN i x ON x.id = s.id JOIN i o ON o.id = s.other),
@@ -311,10 +311,10 @@ def enrich_left(spark: SparkSession, sf: str) -> DataFrame:
     SELECT * FROM r WHERE rank <= 6
 """)
 def related_by_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """JON-15, JON-16 among the parts of one size (the filter is the facet chosen)."""
-    p = t(spark, sf, "part").where("p_size = 7")
+    """JON-15, JON-16 over all parts."""
+    p = t(spark, sf, "part")
     labels = F.array_distinct(F.concat(F.split("p_name", " "), F.array("p_brand")))
-    return records.related_by_labels(p, "p_partkey", labels, "p_brand", F.col("p_size"), "p_name")
+    return related.by_labels(p, "p_partkey", labels, "p_brand", F.col("p_size"), "p_name")
 
 
 @query("""
