@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from quillstack.functions import fields as fl
 from quillstack.functions import keys as ky
 from quillstack.functions import text as tx
-from quillstack.operators import changes, documents, facets, keywords, pages, records, related, search
+from quillstack.operators import changes, documents, facets, keywords, pages, records, related, search, text_index
 from quillstack.sources.bundles import batch_key
 
-from .registry import query, t
+from .registry import ORACLE_SQL, query, scratch, t
 
 def title() -> Column:
     """A document's first line."""
@@ -51,6 +51,33 @@ def search_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     return search.page(hits.select("doc_id", "score", "mode"), [F.desc("score"), F.col("doc_id")])
 
 
+@query(ORACLE_SQL["search_exact_topk"])
+def search_indexed_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """RNK-01, RNK-02, RNK-09, LIM-01 through a stored index, whose postings of the best blocks are all that the search reads."""
+    index = text_index.build(t(spark, sf, "documents"), "doc_id", _fields(), search.TALK_WEIGHTS, scratch(spark))
+    return index.search("the en", k=60).withColumnRenamed("id", "doc_id")
+
+
+def _fuzzy_sql(token: str, field: str, bonus: int) -> str:
+    far = 2 if len(token) >= 7 else 1
+    return f"""
+        SELECT doc_id, max(s) + {bonus} AS s FROM (SELECT doc_id, CASE WHEN w = '{token}' THEN 20 ELSE greatest(CASE WHEN starts_with(w, '{token}') THEN 16 ELSE 0 END, CASE WHEN contains(w, '{token}') THEN 14 ELSE 0 END,
+            CASE WHEN regexp_matches(w, '{".*".join(token)}') THEN 11 ELSE 0 END, CASE levenshtein(w, '{token}') WHEN 1 THEN 10 WHEN {far} THEN 8 ELSE 0 END) END AS s FROM (SELECT doc_id, unnest({SQL_SPLIT.replace("text", field)}) AS w FROM d)) WHERE s > 0 GROUP BY doc_id
+    """
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, {SQL_TITLE} AS title, source FROM documents),
+    a AS (SELECT doc_id, max(s) AS s FROM ({_fuzzy_sql("ontxhe", "title", 3)} UNION ALL {_fuzzy_sql("ontxhe", "source", 0)}) GROUP BY 1),
+    b AS (SELECT doc_id, max(s) AS s FROM ({_fuzzy_sql("tthe", "title", 3)} UNION ALL {_fuzzy_sql("tthe", "source", 0)}) GROUP BY 1)
+    SELECT doc_id, (a.s + b.s)::DOUBLE AS score, 'fuzzy' AS mode FROM a JOIN b USING (doc_id)
+""")
+def search_fuzzy_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """RNK-06, RNK-07, RNK-09 over all documents: each distinct word is compared once, and leads to rows by its postings."""
+    index = text_index.build(t(spark, sf, "documents"), "doc_id", _fields(), search.TALK_WEIGHTS, scratch(spark))
+    return index.search("ontxhe tthe").withColumnRenamed("id", "doc_id")
+
+
 @query("""
     WITH w AS (SELECT p_partkey, unnest(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part),
     s AS (SELECT p_partkey, CASE WHEN w = 'widgit' THEN 20 ELSE greatest(CASE WHEN levenshtein(w, 'widgit') = 1 THEN 10 ELSE 0 END, CASE WHEN regexp_matches(w, 'w.*i.*d.*g.*i.*t') THEN 11 ELSE 0 END) END AS s FROM w)

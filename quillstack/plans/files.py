@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,20 +15,10 @@ from pyspark.sql import functions as F
 from quillstack.sources import bundles
 from quillstack.sources.versions import VersionedTable
 
-from .registry import query, t
+from .registry import query, scratch, t
 from .texts import say
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where a session in local mode names none (tests), under /tmp."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-        base = "file:///tmp/quillstack-checkpoints"
-    return f"{base.rstrip('/')}/quillstack/files-{uuid.uuid4().hex}"
-
-
 def put(spark: SparkSession, path: str, text: str) -> None:
     """A small text file, through Spark's file systems."""
     jvm = spark.sparkContext._jvm
