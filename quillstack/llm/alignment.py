@@ -20,6 +20,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from .common import scratch_path, small_batches, staged
 from .token_counts import byte_alphabet
 
 #: Bytes of a stripe's matrix; characters and documents of a block; bytes of cached chunks; documents that a task adds up.
-STRIPE_BYTES, BLOCK_CHARS, BLOCK_DOCS, CACHE_BYTES, SALT_DOCS = 1 << 25, 3_000_000, 60_000, 48_000_000, 500_000
+STRIPE_BYTES, BLOCK_CHARS, BLOCK_DOCS, CACHE_BYTES, SALT_DOCS = 1 << 25, 2_000_000, 60_000, 64_000_000, 500_000
 #: Stripes are joined with their links in so many groups for each SALT_DOCS documents.
 GROUPS = 16
 #: A chunk ends before a space that follows anything but white space and that isn't trailing.
@@ -82,18 +83,34 @@ class Aligner:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.texts: list[str] = []  # of each chunk its groups
+        self.uses = np.zeros(0, dtype=np.int64)  # since the last time that some were forgotten
         self.stats = np.zeros((0, 5), dtype=np.int64)  # n_a, n_b, n_groups, n_links, sound
         self.starts, self.links = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.held = 0
 
+    def forget_rare(self) -> None:
+        """Keep the chunks that were met most, as far as they take half of the cache."""
+        kept = np.argsort(-self.uses, kind="stable")
+        kept = np.sort(kept[: len(kept) // 3][self.uses[kept[: len(kept) // 3]] > 1])
+        chunks, texts, stats, starts, links = list(self.known), self.texts, self.stats, self.starts, self.links
+        self.forget()
+        size = stats[kept, 3]
+        if 8 * int(size.sum()) > CACHE_BYTES // 2:
+            return
+        self.known = {chunks[i]: n for n, i in enumerate(kept.tolist())}
+        self.texts, self.stats = [texts[i] for i in kept.tolist()], stats[kept]
+        self.starts = np.cumsum(size) - size
+        self.links = links[np.repeat(starts[kept] - self.starts, size) + np.arange(int(size.sum()))]
+        self.uses = np.zeros(len(kept), dtype=np.int64)
+        self.held = 8 * len(self.links) + sum(map(len, self.texts)) + sum(2 * len(c) for c in self.known) + 250 * len(kept)
+
     @staticmethod
-    def _sound(flat: list[int], n: np.ndarray, table: list[bytes], size: np.ndarray, raw: list[bytes]) -> np.ndarray:
+    def _sound(flat: list[int], ids: np.ndarray, n: np.ndarray, table: list[bytes], widths: np.ndarray, raw: list[bytes], size: np.ndarray) -> np.ndarray:
         """Which chunks' tokens join to their bytes."""
         joined = b"".join(map(table.__getitem__, flat))
         ends = np.cumsum(n)
-        total = np.concatenate([[0], np.cumsum(size[flat])])
-        got = total[ends] - total[ends - n]
-        if joined == b"".join(raw) and (got == [len(r) for r in raw]).all():
+        total = np.concatenate([[0], np.cumsum(widths[ids])])
+        if joined == b"".join(raw) and (total[ends] - total[ends - n] == size).all():
             return np.ones(len(raw), dtype=bool)
         return np.array([joined[total[e - k] : total[e]] == r for e, k, r in zip(ends, n, raw, strict=True)], dtype=bool)
 
@@ -102,20 +119,27 @@ class Aligner:
         a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
         b = self.b.encode([c[1:] for c in chunks], num_threads=1)
         raw = [c.encode("utf-8") for c in chunks]
-        sound = np.ones(len(chunks), dtype=bool)
-        for side, table, size in ((a, self.bytes_a, self.len_a), (b, self.bytes_b, self.len_b)):
-            sound &= self._sound([i for x in side for i in x], np.array([len(x) for x in side], dtype=np.int64), table, size, raw)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        n_a, n_b = (np.fromiter(map(len, side), np.int64, len(side)) for side in (a, b))
+        flat_a, flat_b = (list(chain.from_iterable(side)) for side in (a, b))
+        ids_a, ids_b = np.array(flat_a, dtype=np.int64), np.array(flat_b, dtype=np.int64)
+        sound = self._sound(flat_a, ids_a, n_a, self.bytes_a, self.len_a, raw, size) & self._sound(flat_b, ids_b, n_b, self.bytes_b, self.len_b, raw, size)
         good = np.flatnonzero(sound)
-        n_a, n_b = (np.array([len(side[i]) for i in good], dtype=np.int64) for side in (a, b))
-        ids_a, ids_b = (np.array([t for i in good for t in side[i]], dtype=np.int64) for side in (a, b))
+        if len(good) < len(sound):
+            ids_a, ids_b, n_a, n_b = ids_a[np.repeat(sound, n_a)], ids_b[np.repeat(sound, n_b)], n_a[good], n_b[good]
         # chunks lie one after the other, and each ends where tokens of both sides end
-        ends_a, ends_b = np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b])
-        ends = np.cumsum([len(raw[i]) for i in good]) if len(good) else np.zeros(0, dtype=np.int64)
-        cuts, both = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b)
+        last = np.cumsum(size[good]) - 1  # each chunk's last byte
+        in_a, in_b = (np.zeros(int(last[-1]) + 1 if len(last) else 0, dtype=bool) for _ in range(2))
+        ends_a, ends_b = np.cumsum(self.len_a[ids_a]) - 1, np.cumsum(self.len_b[ids_b]) - 1
+        in_a[ends_a], in_b[ends_b] = True, True
+        cut = np.flatnonzero(in_a | in_b)
         # what two cuts enclose belongs to one token of either side: every linked pair once
-        links = ids_b[np.searchsorted(ends_b, cuts)] * len(self.bytes_a) + ids_a[np.searchsorted(ends_a, cuts)]
-        n_links, n_groups = (np.diff(np.searchsorted(x, ends, side="right"), prepend=0) for x in (cuts, both))
-        said = self._groups(ids_a, ids_b, np.searchsorted(both, ends_a), np.searchsorted(both, ends_b), n_a, n_b)
+        token_a, token_b = (np.cumsum(x, dtype=np.int64) - x for x in (in_a, in_b))  # of each byte, the token that it ends or lies in
+        links = ids_b[token_b[cut]] * len(self.bytes_a) + ids_a[token_a[cut]]
+        before = lambda x: np.cumsum(x, dtype=np.int64)
+        both = before(in_a & in_b)
+        n_links, n_groups = (np.diff(x[last], prepend=0) for x in (before(in_a | in_b), both))
+        said = self._groups(ids_a, ids_b, (both - (in_a & in_b))[ends_a], (both - (in_a & in_b))[ends_b], n_a, n_b)
         stats = np.zeros((len(chunks), 5), dtype=np.int64)
         stats[good] = np.stack([n_a, n_b, n_groups, n_links, np.ones_like(n_a)], axis=1)
         texts = [""] * len(chunks)
@@ -126,7 +150,7 @@ class Aligner:
         self.texts += texts
         self.starts = np.concatenate([self.starts, len(self.links) + np.cumsum(stats[:, 3]) - stats[:, 3]])
         self.stats, self.links = np.concatenate([self.stats, stats]), np.concatenate([self.links, links])
-        self.held += 8 * len(links) + sum(map(len, texts)) + 2 * sum(map(len, raw)) + 250 * len(chunks)
+        self.held += 8 * len(links) + sum(map(len, texts)) + 2 * int(size.sum()) + 250 * len(chunks)
 
     def _groups(self, ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[str]:
         """a1,a2|b1;a3|b2 of each chunk."""
@@ -143,7 +167,7 @@ class Aligner:
     def block(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of each text (n_a, n_b, n_groups, n_links) and the digest of its groups; of all, distinct (document, link) with their counts."""
         if self.held > CACHE_BYTES:
-            self.forget()
+            self.forget_rare()
         split = [CHUNK.findall(f" {t}") if t else [] for t in texts]
         fresh = list(set().union(*split).difference(self.known))
         for i in range(0, len(fresh), 20_000):
@@ -152,6 +176,7 @@ class Aligner:
         n = np.array([len(s) for s in split], dtype=np.int64)
         owner = np.repeat(np.arange(len(texts)), n)
         chunk = np.fromiter((get(c) for s in split for c in s), np.int64, int(n.sum()))
+        self.uses = np.concatenate([self.uses, np.zeros(len(self.texts) - len(self.uses), dtype=np.int64)]) + np.bincount(chunk, minlength=len(self.texts))
         stats = np.zeros((len(texts), 4), dtype=np.int64)
         np.add.at(stats, owner, self.stats[chunk, :4])
         unsound = np.zeros(len(texts), dtype=bool)
