@@ -412,6 +412,21 @@ def history_replay(spark: SparkSession, sf: str) -> DataFrame:
     return changes.replay(s, "user_id", "d", {"slides": "slides"}, "talk", "talk").select("user_id", "d", F.array_join("parts", "+").alias("parts"))
 
 
+@query(ORACLE_SQL["history_replay"])
+def history_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """INC-06, INC-03 as a stream: snapshots land eight days at a time, and the stream is started anew for each, its state kept."""
+    from quillstack.streaming import history
+
+    root = scratch(spark)
+    s = t(spark, sf, "events").groupBy("user_id", F.dayofmonth("ts").cast("long").alias("d")).agg(F.max(F.when(F.col("event_type") == "purchase", "x")).alias("slides"))
+    for first in range(1, 32, 8):
+        s.where(F.col("d").between(first, first + 7)).write.mode("append").parquet(f"{root}/snapshots")
+        stream = spark.readStream.schema(s.schema).parquet(f"{root}/snapshots")
+        history.run_available(history.replay_stream(stream, "user_id", "d", {"slides": "slides"}, "talk", "talk"), f"{root}/told", f"{root}/checkpoint")
+    told = spark.read.schema("user_id long, d long, parts array<string>").parquet(f"{root}/told")
+    return told.select("user_id", "d", F.array_join("parts", "+").alias("parts"))
+
+
 @query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def latest_by_id(spark: SparkSession, sf: str) -> DataFrame:
     """INC-03, AGG-17."""
