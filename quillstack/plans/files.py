@@ -12,7 +12,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.sources import bundles
+from quillstack.functions import keys as ky
+from quillstack.operators import numbering
+from quillstack.sources import bundles, readers
 from quillstack.sources.versions import VersionedTable
 
 from .registry import query, scratch, t
@@ -135,4 +137,75 @@ def archived_posts(spark: SparkSession, sf: str) -> DataFrame:
     out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
     out.write(bytearray(buffer.getvalue()))
     out.close()
-    return bundles.posts(spark, f"{root}/posts.tar.gz").select("path", "text", F.col("_seq").alias("seq"))
+    return readers.posts_of(spark, f"{root}/posts.tar.gz").select("path", "text", F.col("_seq").alias("seq"))
+
+
+def write_files(df: DataFrame, root: str) -> int:
+    """Write rows (file, text) as files under root, by the tasks that hold them; their number."""
+    import pyarrow as pa
+
+    def run(batches):
+        fs, base = readers.opened(root)
+        fs.create_dir(base, recursive=True)
+        n = 0
+        for b in batches:
+            for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with fs.open_output_stream(f"{base}/{file}") as f:
+                    f.write((text or "").encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return df.select("file", "text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0]
+
+
+def write_archives(df: DataFrame, root: str) -> DataFrame:
+    """Write rows (path, text) into archives under root, one a task, every second one compressed; the archives that are whole."""
+    import pyarrow as pa
+
+    def run(batches):
+        import io
+        import tarfile
+        import uuid
+
+        from pyspark import TaskContext
+
+        fs, base = readers.opened(root)
+        fs.create_dir(base, recursive=True)
+        packed = TaskContext.get().partitionId() % 2 == 1
+        name = f"{uuid.uuid4().hex}.tar{'.gz' if packed else ''}"
+        with fs.open_output_stream(f"{base}/{name}.part", compression=None) as f, tarfile.open(fileobj=f, mode="w|gz" if packed else "w|") as tar:
+            for b in batches:
+                for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    content = (text or "").encode()
+                    info = tarfile.TarInfo(path)
+                    info.size = len(content)
+                    tar.addfile(info, io.BytesIO(content))
+        fs.move(f"{base}/{name}.part", f"{base}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([name])], names=["archive"])
+
+    return df.select("path", "text").mapInArrow(run, "archive string")
+
+
+@query("SELECT 'site/content/posts/p' || page_id || '.html' AS path, coalesce(html, '') AS text FROM pages")
+def archived_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-11: all pages, from archives that tasks have written, beside members that are no posts."""
+    root = f"{scratch(spark)}/archives"
+    pages = t(spark, sf, "pages").select(F.explode(F.array(F.struct(say("site/content/posts/p{page_id}.html").alias("path"), F.col("html").alias("text")), F.struct(say("site/static/{page_id}.png").alias("path"), F.lit("no").alias("text")))).alias("m")).select("m.*")
+    whole = write_archives(pages.repartition(4), root)
+    names = whole.distinct().collect()  # an archive a task
+    return readers.posts_of(spark, root, files=[r["archive"] for r in names]).select("path", "text")
+
+
+@query("SELECT 'W' || c_custkey AS id, c_name AS title, n_name AS venue FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def cached_searches(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-13, SRC-14: all pages of a search for each nation, of which each is a file; the search ends where the count says."""
+    root, per_page = f"{scratch(spark)}/pages", 20
+    c = t(spark, sf, "customer").join(t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "c_custkey", "c_name")
+    placed = numbering.running(c, ["n_name"], ["c_custkey"], {"n": ("sum", F.lit(1).cast("long"))})
+    of_nation = placed.groupBy(F.col("n_name").alias("venue")).agg(F.max("n").alias("count"))
+    work = F.struct(say("W{c_custkey}").alias("id"), F.col("c_name").alias("title"), F.col("n_name").alias("venue"))
+    pages = placed.groupBy(F.col("n_name").alias("venue"), (F.floor((F.col("n") - 1) / per_page) + 1).alias("page")).agg(F.collect_list(work).alias("results")).join(of_nation, "venue")
+    body = F.to_json(F.struct("results", F.struct("count").alias("meta")))
+    write_files(pages.select(F.format_string("%s-y2000-n20-p%d.json", ky.slugify("venue"), "page").alias("file"), body.alias("text")), root)
+    keywords = [r["n_name"] for r in t(spark, sf, "nation").select("n_name").collect()]  # what is searched for is a parameter
+    return readers.discovered_works(spark, root, keywords, "id string, title string, venue string", 2000, per_page)

@@ -120,24 +120,6 @@ def canonical_tags(config: list[str] | None, records: DataFrame, tags: str, orde
     return [r["tag"] for r in rows]
 
 
-def posts(spark: SparkSession, path: str, longest: int | None = None) -> DataFrame:
-    """(path, text, _seq) of posts in .tar.gz archives: markdown and HTML under content/posts, sorted without case (SRC-11)."""
-    import pyarrow as pa
-
-    def run(batches):
-        import io
-        import tarfile
-
-        for b in batches:
-            for content in b.column(0):
-                with tarfile.open(fileobj=io.BytesIO(content.as_py()), mode="r:*") as tar:
-                    names = sorted((m for m in tar if m.isfile() and "content/posts/" in m.name and m.name.rsplit(".", 1)[-1].lower() in ("md", "markdown", "html", "htm")), key=lambda m: m.name.lower())
-                    for i, m in enumerate(names[:longest]):
-                        yield pa.RecordBatch.from_arrays([pa.array([m.name]), pa.array([tar.extractfile(m).read().decode("utf-8", "replace")]), pa.array([i], pa.int32())], names=["path", "text", "_seq"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "path string, text string, _seq int")
-
-
 def cached_works(spark: SparkSession, path: str, wanted: DataFrame, schema: str) -> DataFrame:
     """Works of cached responses that are wanted (id), the first file's of each (SRC-13 to SRC-16)."""
     w = spark.read.schema(f"results array<struct<{schema}>>").option("multiLine", True).json(path).select(F.input_file_name().alias("f"), F.posexplode("results").alias("i", "r"))
