@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions.fields import distinct_ignoring_case
-from quillstack.functions.keys import affiliation_key, normalize_affiliation, person_key, person_signature
+from quillstack.functions.keys import normalize_affiliation, person_key
 from quillstack.functions.text import blank, collapse_ws
 
 from .graph import key_components
@@ -150,35 +149,10 @@ def upserted_talks(existing: DataFrame, remote: DataFrame, curated: list[str], r
 
 
 def merge_name_variants(buckets: DataFrame) -> DataFrame:
-    """(key, merged_key): buckets (key, name, names, affiliations) of one first and last name whose middle names agree and whose affiliations meet, or one has none (ER-06, ER-07).
+    """(key, merged_key) of buckets (key, name, names, affiliations): see people.classes (ER-06)."""
+    from . import people as merging
 
-    Greedy and in order, as each merge widens what the next is compared with; blocks share a first and
-    last name, and are worked on one by one.
-    """
-    sig = person_signature("name")
-    rows = buckets.select("key", sig["base_key"].alias("base"), sig["initials"].alias("initials"), F.transform(F.map_keys(F.coalesce("affiliations", F.create_map().cast("map<string,bigint>"))), lambda a: affiliation_key(a)).alias("affs"))
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[dict] = []
-        for r in pdf.sort_values("key").itertuples():
-            groups.append({"keys": [r.key], "initials": r.initials, "affs": set(r.affs)})
-        changed = True
-        while changed:
-            changed = False
-            for i in range(len(groups)):
-                for j in range(i + 1, len(groups)):
-                    a, b = groups[i], groups[j]
-                    near = a["initials"].startswith(b["initials"]) or b["initials"].startswith(a["initials"])
-                    if near and (a["affs"] & b["affs"] or bool(a["affs"]) != bool(b["affs"])):
-                        groups[i] = {"keys": a["keys"] + b["keys"], "initials": max(a["initials"], b["initials"], key=len), "affs": a["affs"] | b["affs"]}
-                        del groups[j]
-                        changed = True
-                        break
-                if changed:
-                    break
-        return pd.DataFrame([(k, min(g["keys"])) for g in groups for k in g["keys"]], columns=["key", "merged_key"])
-
-    return rows.groupBy("base").applyInPandas(block, "key string, merged_key string")
+    return merging.classes(buckets)
 
 
 def enrich(left: DataFrame, right: DataFrame, on: list[str], fills: dict[str, str]) -> DataFrame:
