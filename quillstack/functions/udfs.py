@@ -70,22 +70,23 @@ def strip_leading_title(text: pd.Series, title: pd.Series) -> pd.Series:
     return pd.Series([_without_title(a or "", b or "") for a, b in zip(text, title, strict=True)])
 
 
+def cleaned_abstract(raw: str | None, title: str, names: list[str]) -> str:
+    """Leading titles, link tags, speakers and punctuation off, until nothing changes, six times at most (TXT-21, TXT-22)."""
+    now = re.sub(r"\s+", " ", raw or "").strip()
+    for _ in range(6):
+        new = _without_title(now, title)
+        new = re.sub(r"(?i)^\s*(\[\s*(video|slides?)\s*\]\s*)+", "", new)
+        new = _without_speakers(new, names).lstrip(" ,;:.-–—")
+        if new == now:
+            break
+        now = new
+    return now
+
+
 @F.pandas_udf(T.StringType())
 def clean_abstract(text: pd.Series, title: pd.Series, speakers: pd.Series) -> pd.Series:
-    """Leading titles, link tags, speakers and punctuation off, until nothing changes, six times at most (TXT-21, TXT-22)."""
-    out = []
-    for raw, t, names in zip(text, title, speakers, strict=True):
-        now = re.sub(r"\s+", " ", raw or "").strip()
-        for _ in range(6):
-            new = _without_title(now, t or "")
-            new = re.sub(r"(?i)^\s*(\[\s*(video|slides?)\s*\]\s*)+", "", new)
-            new = _without_speakers(new, list(names) if names is not None else [])
-            new = new.lstrip(" ,;:.-–—")
-            if new == now:
-                break
-            now = new
-        out.append(now)
-    return pd.Series(out)
+    """cleaned_abstract of each row."""
+    return pd.Series([cleaned_abstract(raw, t or "", list(names) if names is not None else []) for raw, t, names in zip(text, title, speakers, strict=True)])
 
 
 def parse_front_matter(raw: str | None) -> tuple[dict[str, list[str]], str]:

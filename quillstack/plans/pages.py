@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.functions import udfs
+from quillstack.functions.text import strip_markup
 from quillstack.operators import documents, pages
 
 from .registry import query, t
@@ -152,3 +153,24 @@ def listing_checks(spark: SparkSession, sf: str) -> DataFrame:
     missing = documents.missing_files(files, "path", ["site/0.html", "site/0.json", "nowhere"])
     listed = files.where("p_partkey % 3 = 0").select("path")
     return said(missing, "missing").unionByName(said(documents.stray_files(files, "path", "site/"), "stray")).unionByName(said(documents.dangling(refs, "path", listed, "path"), "dangling"))
+
+
+@query("""
+    WITH e AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(lower(html), '(?s)<(script|style)>.*?</(script|style)>|<!--.*?-->', '<\\1>', 'g'), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages)
+    SELECT page_id, tag, count(*) AS n, CASE tag WHEN 'html' THEN 0 WHEN 'head' THEN 1 WHEN 'body' THEN 1 WHEN 'title' THEN 2 WHEN 'nav' THEN 2 WHEN 'ul' THEN 3 WHEN 'li' THEN 4 WHEN 'a' THEN 5 ELSE -1 END AS depth FROM e GROUP BY 1, 2
+""")
+def page_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """TXT-34, HTM-01: the elements of all pages by tag, and how deep those of a fixed place lie: list entries don't nest in each other, and what is never closed ends with its parent."""
+    e = pages.elements(t(spark, sf, "pages"), "page_id", "html").groupBy(F.col("id").alias("page_id"), "tag").agg(F.count("*").alias("n"), F.max("depth").alias("d"))
+    return e.select("page_id", "tag", "n", F.when(F.col("tag").isin("html", "head", "body", "title", "nav", "ul", "li", "a"), F.col("d")).otherwise(-1).alias("depth"))
+
+
+@query("""
+    WITH p AS (SELECT page_id, regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>|<meta[^>]*>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g') AS h FROM pages)
+    SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text, len(regexp_extract_all(h, '<a href=')) AS n_links, 0::BIGINT AS n_active FROM p
+""")
+def sanitized_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """TXT-34: all pages without scripts, styles and metadata, links opening elsewhere, and the same text as before."""
+    s = pages.sanitized(t(spark, sf, "pages"), "page_id", "html")
+    n = lambda pattern: F.size(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).cast("long")
+    return s.select(F.col("id").alias("page_id"), strip_markup("html").alias("text"), n(r'<a href="[^"]*" target="_blank" rel="noopener noreferrer">').alias("n_links"), n(r"(?i)<(script|style|meta)|<!| on\w+=").alias("n_active"))
