@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -54,6 +57,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, was)
 
 
+def drop_caches(but: str) -> None:
+    """Within a task: give back what other modules of this package keep in this worker, which operators that run one after the other share."""
+    kept = [f for name, m in list(sys.modules.items()) if name.startswith(f"{__package__}.") and name != but for f in vars(m).values() if hasattr(f, "cache_clear") and f.cache_info().currsize]
+    if not kept:
+        return
+    for f in kept:
+        f.cache_clear()
+    gc.collect()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc keeps freed memory otherwise
+        libc.malloc_trim(0)
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Remove a table made by staged() that no later plan reads."""
     spark = df.sparkSession

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import drop_scratch, small_batches, staged
+from .common import drop_caches, drop_scratch, small_batches, staged
 
 #: Words, each character of scripts without spaces by itself, and runs of signs.
 SCRIPTS = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿\U00020000-\U0003ffff"
@@ -133,6 +133,7 @@ def pair_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """(lang, g, n) of all pairs of texts that aren't empty, counted within tasks first, then by key over the cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches(__name__)
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         words, size = Words(), 0
 
@@ -289,6 +290,7 @@ def perplexities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
             yield flush()
 
     def parts_of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches(__name__)
         made, words = 0, Words()
         for b in batches:
             ids, langs = b.column(0).to_pylist(), b.column(1).to_pylist()

@@ -17,3 +17,11 @@ def test_small_batches(spark):
         got = staged(d.mapInArrow(sizes, "n long"), "t-sizes")
     assert spark.conf.get(key) == was
     assert got.agg(F.max("n"), F.sum("n")).first() == (700, 5000)
+
+
+def test_caches_of_other_modules_go():
+    from quillstack.llm import common, minhash, quality
+
+    minhash.draws(), quality.model_code("x")
+    common.drop_caches(quality.__name__)
+    assert minhash.draws.cache_info().currsize == 0 and quality.model_code.cache_info().currsize == 1
