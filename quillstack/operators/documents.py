@@ -95,3 +95,13 @@ def check_options(batch_size: int | None = None, repository: str | None = None,
         raise ValueError("repository must be owner/name")
     if max_posts is not None and max_posts < 0:
         raise ValueError("max posts must not be negative")
+
+
+def option_errors(batch_size: Column, repository: Column, max_posts: Column) -> Column:
+    """What check_options() would say of a row's options, in their order; null where they are fine or not given (VAL-10)."""
+    return F.concat_ws(
+        "; ",
+        F.when(batch_size <= 0, "batch size must be positive"),
+        F.when(~repository.rlike("^[^/]+/[^/]+$"), "repository must be owner/name"),
+        F.when(max_posts < 0, "max posts must not be negative"),
+    )

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quillstack.functions.fields import distinct_ignoring_case
 from quillstack.functions.keys import alnum_key
-from quillstack.functions.text import blank, keyword_tokens, mining_fragment
+from quillstack.functions.text import blank, collapse_ws, keyword_tokens, mining_fragment
+
+from .numbering import numbered
 
 # Weights of a phrase by its place and length.
 TITLE_WEIGHT, TITLE_STEP, ABSTRACT_WEIGHT, ABSTRACT_STEP, BOTH_BONUS, TITLE_BONUS = 0.55, 0.25, 1.25, 0.55, 1.35, 0.5
@@ -70,25 +72,20 @@ def format_phrase(phrase: Column, lex: Lexicon) -> Column:
     return F.array_join(F.transform(F.split(phrase, " "), lambda t: F.coalesce(F.try_element_at(table, t), F.when(t == "c++", F.lit("C++")), F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1000)))), " ")
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of n tokens, as arrays."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.slice(tokens, i, n))).otherwise(F.array().cast("array<array<string>>"))
-
-
 def phrase_scores(df: DataFrame, id_col: str, title: str, abstract: str, lex: Lexicon | None = None) -> DataFrame:
     """(id, phrase, n, title_hits, abstract_hits, score) of all candidate phrases of one to three words (AGG-16, KWX-04).
 
-    Counted in rows of (id, phrase): an aggregation over exploded n-grams, partial before the shuffle.
+    Each token is tested once: what is no candidate becomes null, which no phrase may hold.  A row for each token and
+    the two after it then gives its phrases, counted by an aggregation that is partial before the shuffle.
     """
     lex = lex or Lexicon()
-    base = df.select(F.col(id_col).alias("id"), keyword_tokens(mining_fragment(title)).alias("t"), keyword_tokens(mining_fragment(abstract)).alias("a"))
-
-    def phrases(where: str, n: int) -> Column:
-        grams = F.filter(ngrams(F.col(where), n), lambda g: F.forall(g, lambda x: is_candidate(x, lex)))
-        return F.transform(grams, lambda g: F.struct(F.array_join(g, " ").alias("phrase"), F.lit(n).alias("n"), F.lit(1 if where == "t" else 0).alias("in_title")))
-
-    parts = [phrases(where, n) for where in ("t", "a") for n in (1, 2, 3)]
-    e = base.select("id", F.explode(F.concat(*parts)).alias("p")).select("id", "p.*").where(F.length("phrase") <= LONGEST)
+    tested = lambda c: F.transform(keyword_tokens(mining_fragment(c)), lambda x: F.when(is_candidate(x, lex), x))
+    base = df.select(F.col(id_col).alias("id"), F.explode(F.array(F.struct(F.lit(1).alias("in_title"), tested(title).alias("t")), F.struct(F.lit(0).alias("in_title"), tested(abstract).alias("t")))).alias("x")).select("id", "x.*")
+    after = lambda n: F.slice("t", F.lit(1 + n), F.greatest(F.size("t") - n, F.lit(0)))
+    runs = base.select("id", "in_title", F.explode(F.arrays_zip(F.col("t").alias("a"), after(1).alias("b"), after(2).alias("c"))).alias("x")).select("id", "in_title", "x.*").where("a IS NOT NULL")
+    two, three = F.concat("a", F.lit(" "), "b"), F.concat("a", F.lit(" "), "b", F.lit(" "), "c")  # null where a part is
+    each = F.explode(F.array(*(F.struct(p.alias("phrase"), F.lit(n).alias("n")) for n, p in ((1, F.col("a")), (2, two), (3, three))))).alias("p")
+    e = runs.select("id", "in_title", each).select("id", "in_title", "p.*").where(F.col("phrase").isNotNull() & (F.length("phrase") <= LONGEST))
     g = e.groupBy("id", "phrase", "n").agg(F.sum("in_title").alias("title_hits"), F.sum(1 - F.col("in_title")).alias("abstract_hits"))
     bonus = F.when((F.col("title_hits") > 0) & (F.col("abstract_hits") > 0), BOTH_BONUS).when(F.col("title_hits") > 0, TITLE_BONUS).otherwise(0.0)
     score = F.col("title_hits") * (TITLE_WEIGHT + TITLE_STEP * (F.col("n") - 1)) + F.col("abstract_hits") * (ABSTRACT_WEIGHT + ABSTRACT_STEP * (F.col("n") - 1)) + bonus
@@ -161,6 +158,15 @@ def stored_keywords(existing: Column, extracted: Column, tags: Column, keep_exis
     return F.slice(distinct_ignoring_case(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in (*parts, extracted, tags)))), 1, limit)
 
 
+def discovery_terms(base: list[str], subjects: DataFrame, subject: str, prefix: str) -> DataFrame:
+    """discovery_queries() of a table of subjects: (query, place); of equal ones the first, base ones before subjects in alphabetical order (KWX-13)."""
+    given = subjects.sparkSession.createDataFrame([(i, q) for i, q in enumerate(base)], "i int, q string")
+    each = given.select(F.lit(0).alias("kind"), "i", "q").unionByName(subjects.select(F.lit(1).alias("kind"), F.lit(0).alias("i"), F.concat_ws(" ", F.lit(prefix), F.col(subject)).alias("q")))
+    clean = each.withColumn("q", collapse_ws("q")).where("q <> ''")
+    once = clean.groupBy(F.lower("q").alias("k")).agg(F.min(F.struct("kind", "i", "q")).alias("f"))
+    return numbered(once.select("f.*"), ["kind", "i", "q"]).select(F.col("q").alias("query"), "place")
+
+
 def discovery_queries(base: list[str], subjects: list[str], prefix: str) -> list[str]:
     """Search words: the base ones and a prefix with each subject, once each (KWX-13)."""
     out: dict[str, str] = {}

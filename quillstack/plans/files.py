@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillstack.functions import keys as ky
 from quillstack.operators import numbering
 from quillstack.sources import bundles, readers
-from quillstack.sources.versions import VersionedTable
+from quillstack.sources.versions import VersionedTable, save_with_figures
 
 from .registry import query, scratch, t
 from .texts import say
@@ -98,6 +98,19 @@ def idempotent_writes(spark: SparkSession, sf: str) -> DataFrame:
     return table.history().select("version", "label", "rows", F.array_join("files", ",").alias("files"))
 
 
+@query("""
+    SELECT count(*) AS rows, count(*) FILTER (p_size % 2 = 0) AS papers_with_work_id, count(*) FILTER (p_size % 12 = 0) AS papers_changed, count(*) FILTER (p_name LIKE '% widget') AS with_keywords, sum(p_partkey)::BIGINT AS written FROM part
+""")
+def observed_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-11, AGG-12, VAL-05: figures of a run, taken in the write itself and kept beside the table, and a sum over what was written."""
+    root, s = f"{scratch(spark)}/enriched", F.col("p_size")
+    p = t(spark, sf, "part").withColumns({"work": F.when(s % 2 == 0, "W1").otherwise(" "), "before": F.lit("x"), "after": F.when(s % 12 == 0, "y").otherwise("x"), "keywords": F.when(F.col("p_name").endswith(" widget"), F.array("p_type")).otherwise(F.array().cast("array<string>"))})
+    figures = {"papers_with_work_id": F.count_if(F.trim("work") != ""), "papers_changed": F.count_if(F.col("before") != F.col("after")), "with_keywords": F.count_if(F.size("keywords") > 0)}
+    save_with_figures(p.select("p_partkey", "work", "before", "after", "keywords"), root, figures)
+    told = spark.read.json(f"{root}/figures.json")
+    return told.crossJoin(spark.read.parquet(f"{root}/rows").agg(F.sum("p_partkey").alias("written")))  # one row each
+
+
 @query("""
     SELECT o_orderkey, CASE WHEN o_orderkey % 500 = 1 THEN o_totalprice + 1 ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 500 = 1 THEN 'modified' WHEN o_orderkey % 500 = 2 THEN 'removed' ELSE 'added' END AS change
     FROM orders WHERE o_orderkey % 500 IN (1, 2, 3)
@@ -110,13 +123,16 @@ def published_changes(spark: SparkSession, sf: str) -> DataFrame:
     return table.changed_rows(1, 2).select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("_change").alias("change"))
 
 
-@query("SELECT regexp_replace(lower(r_name), '[^a-z0-9]+', '', 'g') AS key, r_name AS tag, row_number() OVER (ORDER BY r_regionkey)::INTEGER AS place FROM region")
+@query("""
+    WITH w AS (SELECT p_partkey, unnest([p_type, lower(p_type), p_brand || '!', '--', p_name]) AS tag, unnest([0, 1, 2, 3, 4]) AS i FROM part),
+    k AS (SELECT *, regexp_replace(lower(tag), '[^a-z0-9]+', '', 'g') AS key FROM w),
+    f AS (SELECT key, tag, p_partkey, i FROM k WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY key ORDER BY p_partkey, i) = 1)
+    SELECT key, tag, row_number() OVER (ORDER BY p_partkey, i)::BIGINT AS place FROM f
+""")
 def tag_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC-24: without a configuration the records' own tags, the first spelling of each, in order."""
-    r = t(spark, sf, "nation").join(t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = r.select((F.col("n_regionkey") * 100 + F.col("n_nationkey")).alias("o"), F.array("r_name", F.lower("r_name"), F.lit("--")).alias("tags"))
-    tags = bundles.canonical_tags(None, rows, "tags", "o")
-    return spark.createDataFrame([(re.sub("[^a-z0-9]+", "", x.lower()), x, i) for i, x in enumerate(tags, 1)], "key string, tag string, place int")
+    """SRC-24: without a configuration all parts' own tags, the first spelling of each, in order."""
+    rows = t(spark, sf, "part").select("p_partkey", F.array("p_type", F.lower("p_type"), F.concat("p_brand", F.lit("!")), F.lit("--"), "p_name").alias("tags"))
+    return bundles.tag_vocabulary(rows, "tags", "p_partkey")
 
 
 @query("SELECT 'repo/content/posts/' || lower(r_name) || '.md' AS path, 'Post ' || r_regionkey AS text, (row_number() OVER (ORDER BY lower(r_name)) - 1)::INTEGER AS seq FROM region")

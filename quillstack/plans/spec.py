@@ -101,6 +101,25 @@ def routes_to_all(entries: DataFrame, query: str, local: str, n_local: int, n_ot
     return (bool(named) and local not in named) or (n_local == 0 and n_other > 0)
 
 
+def label_key(c: str) -> F.Column:
+    """How labels and queries are compared: case, spaces and signs aside."""
+    return F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9+]+", "")
+
+
+def resolved_topics(queries: DataFrame, query: str, topics: DataFrame, label: str) -> DataFrame:
+    """queries with `topic`: the vocabulary's spelling of the topic that a free query is, else null (RTE-08); of several spellings the first by alphabet."""
+    known = topics.select(label_key(label).alias("__k"), F.col(label).alias("topic")).where("__k <> ''").groupBy("__k").agg(F.min("topic").alias("topic"))
+    return queries.withColumn("__k", label_key(query)).join(known, "__k", "left").drop("__k")
+
+
+def routed(queries: DataFrame, query: str, entries: DataFrame, local: str, n_local: str, n_other: str) -> DataFrame:
+    """queries with `to_all`: routes_to_all() of each, by a join with the entries (corpus, label) (RTE-04)."""
+    key = lambda c: F.lower(F.trim(c))
+    named = entries.groupBy(key("label").alias("__k")).agg(F.max((F.col("corpus") == local).cast("int")).alias("__here"))
+    j = queries.withColumn("__k", key(query)).join(named, "__k", "left")
+    return j.withColumn("to_all", (F.coalesce(F.col("__here") == 0, F.lit(False))) | ((F.col(n_local) == 0) & (F.col(n_other) > 0))).drop("__k", "__here")
+
+
 def apply(df: DataFrame, spec: SearchSpec, people: str, topics: str, year: str, category: str, meeting: str, video: str, slides: str) -> DataFrame:
     """df filtered by a spec's facets, in one chain that reaches the scan where it can (FLT-01, FLT-02)."""
     from quillstack.functions.keys import person_signature, same_person

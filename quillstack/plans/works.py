@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlencode
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.functions import keys as ky
-from quillstack.operators import changes, facets, keywords, records, search
+from quillstack.operators import changes, documents, facets, keywords, records, search
 from quillstack.operators.numbering import numbered
 
-from .registry import query, t
-from .spec import SearchSpec, apply, exact_entry, initial_query
+from .registry import ORACLE_SQL, query, t
+from .spec import SearchSpec, apply, initial_query, resolved_topics, routed
 from .texts import say
 
 # --- ranking ---------------------------------------------------------------------------------------------
@@ -335,11 +338,33 @@ def mined_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return keywords.mined_phrases(keywords.phrase_scores(d, "doc_id", "title", "text", LEXICON), LEXICON).select("id", "phrase", F.round("score", 4).alias("score"))
 
 
-@query()
+def _choice_sql() -> str:
+    """The choice among mined phrases, one after the other, of each document."""
+    key = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')".format
+    formats = ", ".join(f"'{k}': '{v}'" for k, v in LEXICON.formats.items())
+    word = f"coalesce((MAP {{{formats}}})[w], CASE WHEN w = 'c++' THEN 'C++' END, upper(substr(w, 1, 1)) || substr(w, 2))"
+    return f"""
+        WITH RECURSIVE m AS ({ORACLE_SQL["mined_phrases"]}),
+        f AS (SELECT id, list(array_to_string(list_transform(string_split(phrase, ' '), lambda w: {word}), ' ') ORDER BY score DESC, phrase) AS ranked FROM m GROUP BY id),
+        s(id, i, acc) AS (
+            SELECT id, 0, []::VARCHAR[] FROM f
+            UNION ALL
+            SELECT s.id, i + 1, CASE
+                WHEN len(acc) >= 14 OR {key("ranked[i + 1]")} = '' OR len(list_filter(acc, lambda x: contains({key("x")}, {key("ranked[i + 1]")}))) > 0 THEN acc
+                WHEN len(list_filter(acc, lambda x: contains({key("ranked[i + 1]")}, {key("x")}))) > 0 THEN
+                    list_transform(acc, lambda x, j: CASE WHEN j = list_max(list_filter(range(1, len(acc) + 1), lambda n: contains({key("ranked[i + 1]")}, {key("acc[n]")}))) THEN ranked[i + 1] ELSE x END)
+                ELSE list_append(acc, ranked[i + 1]) END
+            FROM s JOIN f USING (id) WHERE i < len(ranked)
+        )
+        SELECT s.id, array_to_string(acc, '|') AS keywords FROM s JOIN f USING (id) WHERE i = len(ranked)
+    """
+
+
+@query(_choice_sql())
 def mined_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    """KWX-04, KWX-08, LIM-02: the choice among mined_phrases() goes by what was chosen before; tests hold it against a plain loop."""
+    """KWX-04, KWX-08, LIM-02: of every document the phrases chosen among mined_phrases(), each by what was chosen before."""
     d = t(spark, sf, "documents").withColumn("title", F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1))
-    return keywords.mined_keywords(d, "doc_id", "title", "text", LEXICON)
+    return keywords.mined_keywords(d, "doc_id", "title", "text", LEXICON).select("id", F.array_join("keywords", "|").alias("keywords"))
 
 
 @query("""
@@ -355,26 +380,61 @@ def keyword_lists(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", F.array_join(combined, "|").alias("combined"), F.array_join(stored, "|").alias("stored"), F.array_join(topics, "|").alias("topics"))
 
 
-@query("SELECT 'compiler' AS query UNION ALL SELECT 'core ' || lower(r_name) FROM region")
+@query("""
+    WITH q AS (SELECT 0 AS kind, 'compiler' AS q UNION ALL SELECT DISTINCT 1, 'core ' || lower(c_name) FROM customer)
+    SELECT q AS query, row_number() OVER (ORDER BY kind, q)::BIGINT AS place FROM q
+""")
 def discovery_words(spark: SparkSession, sf: str) -> DataFrame:
-    """KWX-13: search words from a list of subjects, here the regions' names (a handful)."""
-    names = [r[0] for r in t(spark, sf, "region").select(F.lower("r_name")).collect()]
-    return spark.createDataFrame([(q,) for q in keywords.discovery_queries(["compiler", "Compiler "], names + names[:1], "core")], "query string")
+    """KWX-13: search words from a table of subjects, here all customers' names, some of them twice."""
+    names = t(spark, sf, "customer").select(F.explode(F.array(F.lower("c_name"), F.concat(F.lit("  "), F.lower("c_name")), F.when(F.col("c_custkey") % 50 == 0, "compiler"))).alias("s")).where("s IS NOT NULL AND s <> 'compiler'")
+    return keywords.discovery_terms(["compiler", "Compiler "], names, "s", "core")
 
 
 @query("""
-    SELECT n_nationkey::BIGINT AS nation, 'q=' || n_name || '&topics=a%2Cb' AS address, 'a' AS after_removal, 2 AS filters, '2024-03' AS meeting_kept, '' AS meeting_gone, 'entity/' || n_name AS entity, 'person/' || n_name AS crossed, 1::BIGINT AS entries FROM nation
+    SELECT c_custkey, 'q=' || replace(replace(c_name, ' ', '+'), '#', '%23') || '&topics=a%2Cb' AS address, 'a' AS after_removal, 2 AS filters, CASE WHEN c_custkey % 2 = 0 THEN '2024-03' ELSE '' END AS meeting, 'entity/' || c_name AS entity, 'person/' || c_name AS crossed FROM customer
 """)
 def search_addresses(spark: SparkSession, sf: str) -> DataFrame:
-    """RTE-01, RTE-02, RTE-03, RTE-06, RTE-07, RTE-09 to RTE-13, FLT-17: addresses to specifications and back, one for each nation's name (25 of them)."""
-    n = t(spark, sf, "nation")
-    rows = []
-    for r in n.orderBy("n_nationkey").collect():
-        spec = SearchSpec.parse(f"?query={r.n_name}&tag=a,a&years=").add_topic("b").add_topic(" A ")
-        less = spec.toggle_topic("B")
-        meeting = SearchSpec.parse("?meeting=2024-03")
-        person = spec.selected("person", r.n_name)
-        rows.append((r.n_nationkey, spec.to_query_string(), ",".join(less.topics), less.active_filters(), meeting.with_years(("2024",)).meeting, meeting.with_years(("2023",)).meeting, "/".join(initial_query(f"?value={r.n_name}")), "/".join(person.cross_selection() or ())))
-    made = spark.createDataFrame(rows, "nation long, address string, after_removal string, filters int, meeting_kept string, meeting_gone string, entity string, crossed string")
-    found = exact_entry(n.select(F.col("n_name").alias("label"), "n_nationkey"), rows and " nation_0 " or "")
-    return made.withColumn("entries", F.lit(found.count()))
+    """RTE-01, RTE-02, RTE-03, RTE-06, RTE-09 to RTE-13, FLT-17: addresses to specifications and back, one of each customer's name."""
+    @F.pandas_udf("address string, after_removal string, filters int, meeting string, entity string, crossed string")
+    def told(name: pd.Series, year: pd.Series) -> pd.DataFrame:
+        rows = []
+        for n, y in zip(name, year, strict=True):
+            spec = SearchSpec.parse("?" + urlencode({"query": n, "tag": "a,a", "years": ""})).add_topic("b").add_topic(" A ")
+            less = spec.toggle_topic("B")
+            kept = SearchSpec.parse("?meeting=2024-03").with_years((y,)).meeting
+            rows.append((spec.to_query_string(), ",".join(less.topics), less.active_filters(), kept, "/".join(initial_query("?" + urlencode({"value": n}))), "/".join(spec.selected("person", n).cross_selection() or ())))
+        return pd.DataFrame(rows, columns=["address", "after_removal", "filters", "meeting", "entity", "crossed"])
+
+    year = F.when(F.col("c_custkey") % 2 == 0, "2024").otherwise("2023")
+    return t(spark, sf, "customer").select("c_custkey", told("c_name", year).alias("s")).select("c_custkey", "s.*")
+
+
+@query("""
+    WITH q AS (SELECT DISTINCT lower(p_brand) AS q FROM part UNION SELECT DISTINCT lower(p_type) FROM part UNION SELECT DISTINCT unnest(string_split(p_name, ' ')) FROM part),
+    l AS (SELECT w AS q, count(*) AS n FROM (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS w FROM part) GROUP BY 1),
+    o AS (SELECT lower(p_brand) AS q, count(*) AS n FROM part WHERE p_size % 2 = 0 GROUP BY 1),
+    e AS (SELECT lower(p_type) AS k, bool_or(p_size > 25) AS here FROM part GROUP BY 1 UNION ALL SELECT DISTINCT lower(p_brand), p_brand = 'Brand#1' FROM part)
+    SELECT q.q, coalesce(l.n, 0) AS n_local, coalesce(o.n, 0) AS n_other, coalesce(NOT e.here, FALSE) OR (l.n IS NULL AND o.n IS NOT NULL) AS to_all, t.topic
+    FROM q LEFT JOIN l USING (q) LEFT JOIN o USING (q) LEFT JOIN e ON e.k = q.q LEFT JOIN (SELECT DISTINCT lower(p_type) AS k, p_type AS topic FROM part) t ON t.k = q.q
+""")
+def routed_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """RTE-04, RTE-07, RTE-08: for every word, brand and type of the parts whether it is better asked of all works, and which topic it is."""
+    p = t(spark, sf, "part")
+    word = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("q")
+    q = p.select(F.lower("p_brand").alias("q")).unionByName(p.select(F.lower("p_type").alias("q"))).unionByName(p.select(word("p_name"))).distinct()
+    here = p.select(word("p_name")).groupBy("q").agg(F.count("*").alias("n_local"))
+    other = p.where("p_size % 2 = 0").groupBy(F.lower("p_brand").alias("q")).agg(F.count("*").alias("n_other"))
+    q = q.join(here, "q", "left").join(other, "q", "left").fillna(0, ["n_local", "n_other"])
+    brand = F.when(F.col("p_brand") == "Brand#1", "talks").otherwise("papers")
+    entries = p.select(F.when(F.col("p_size") > 25, "talks").otherwise("papers").alias("corpus"), F.concat(F.lit(" "), "p_type").alias("label")).unionByName(p.select(brand.alias("corpus"), F.col("p_brand").alias("label")))
+    return resolved_topics(routed(q, "q", entries, "talks", "n_local", "n_other"), "q", p.select(F.col("p_type").alias("label")), "label")
+
+
+@query("""
+    SELECT o_orderkey, concat_ws('; ', CASE WHEN o_orderkey % 3 = 0 THEN 'batch size must be positive' END, CASE WHEN o_orderkey % 4 IN (1, 2) THEN 'repository must be owner/name' END, CASE WHEN o_orderkey % 5 = 4 THEN 'max posts must not be negative' END) AS errors FROM orders
+""")
+def checked_options(spark: SparkSession, sf: str) -> DataFrame:
+    """VAL-10: the options of as many runs as there are orders."""
+    k = F.col("o_orderkey")
+    repository = F.element_at(F.array(F.lit("owner/name"), F.lit("owner"), F.lit("a/b/c"), F.lit(None).cast("string")), (k % 4 + 1).cast("int"))
+    return t(spark, sf, "orders").select("o_orderkey", documents.option_errors((k % 3).cast("int"), repository, (3 - k % 5).cast("int")).alias("errors"))

@@ -128,6 +128,15 @@ def cached_works(spark: SparkSession, path: str, wanted: DataFrame, schema: str)
     return once.select("id", "w.*")
 
 
+def tag_vocabulary(records: DataFrame, tags: str, order: str) -> DataFrame:
+    """(key, tag, place): canonical_tags() of records as a table, the first spelling of each key, in order (SRC-24)."""
+    from quillstack.operators.numbering import numbered
+
+    t = records.select(order, F.posexplode(tags).alias("i", "tag")).withColumn("key", F.regexp_replace(F.lower("tag"), "[^a-z0-9]+", "")).where("key <> ''")
+    first = t.groupBy("key").agg(F.min(F.struct(order, "i", "tag")).alias("f"))
+    return numbered(first.select("key", "f.*"), [order, "i"]).select("key", "tag", "place")
+
+
 def batch_key(ids: F.Column) -> F.Column:
     """Name of a cached batch: SHA-1 of its sorted ids (SNK-05)."""
     return F.sha1(F.array_join(F.array_sort(ids), "|").cast("binary"))
