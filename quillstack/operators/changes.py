@@ -93,13 +93,13 @@ def enrichment_totals(papers: DataFrame, tags: str, keywords: str, old_tags: str
     return papers.agg(F.count("*").alias("papers"), F.count_if(changed).alias("changed"), F.count_if(some(tags)).alias("with_tags"), F.count_if(some(keywords)).alias("with_keywords"))
 
 
-def event_json_path(path: Column | str) -> Column:
-    """FLT-16: a bundle of events, not their index."""
+def event_json_path(path: Column | str, folder: str) -> Column:
+    """FLT-16: a bundle of events in their folder, not their index."""
     p = blank(path)
-    return p.startswith("devmtg/events/") & p.endswith(".json") & ~p.endswith("index.json")
+    return p.startswith(f"{folder.rstrip('/')}/") & p.endswith(".json") & ~p.endswith("index.json")
 
 
-def paper_json_path(path: Column | str) -> Column:
-    """FLT-16: a bundle of papers, not their index."""
-    p = blank(path)
-    return p.startswith("papers/") & p.endswith(".json") & (p != "papers/index.json")
+def paper_json_path(path: Column | str, folder: str) -> Column:
+    """FLT-16: a bundle of papers in their folder, not its index."""
+    p, at = blank(path), folder.rstrip("/")
+    return p.startswith(f"{at}/") & p.endswith(".json") & (p != f"{at}/index.json")

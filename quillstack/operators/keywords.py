@@ -58,12 +58,12 @@ def is_technical(t: Column, lex: Lexicon) -> Column:
 
 
 def is_low_signal(tokens: Column, lex: Lexicon) -> Column:
-    """Short single words, a word next to itself, repeats among three, and edges that say nothing (KWX-07)."""
-    n, first, last = F.size(tokens), F.element_at(tokens, 1), F.element_at(tokens, -1)
-    short = (n == 1) & (F.length(first) <= 3) & ~first.isin(*lex.formats)
-    twins = F.exists(F.zip_with(tokens, F.slice(tokens, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda x, y: x == y), lambda same: F.coalesce(same, F.lit(False)))
-    again = (n >= 3) & (F.size(F.array_distinct(tokens)) < n)
-    return short | twins | again | first.isin(*lex.edges) | last.isin(*lex.edges)
+    """Of phrases of one to three words: short single words, a word that repeats, and edges that say nothing (KWX-07)."""
+    first, last = F.element_at(tokens, 1), F.element_at(tokens, -1)
+    second, third = F.try_element_at(tokens, F.lit(2)), F.try_element_at(tokens, F.lit(3))
+    short = (F.size(tokens) == 1) & (F.length(first) <= 3) & ~first.isin(*lex.formats)
+    same = lambda x, y: F.coalesce(x == y, F.lit(False))
+    return short | same(first, second) | same(second, third) | same(first, third) | first.isin(*lex.edges) | last.isin(*lex.edges)
 
 
 def format_phrase(phrase: Column, lex: Lexicon) -> Column:
@@ -72,6 +72,12 @@ def format_phrase(phrase: Column, lex: Lexicon) -> Column:
     return F.array_join(F.transform(F.split(phrase, " "), lambda t: F.coalesce(F.try_element_at(table, t), F.when(t == "c++", F.lit("C++")), F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1000)))), " ")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, where it comes in fewer: for a few files that cost far more to work on than to send."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def phrase_scores(df: DataFrame, id_col: str, title: str, abstract: str, lex: Lexicon | None = None) -> DataFrame:
     """(id, phrase, n, title_hits, abstract_hits, score) of all candidate phrases of one to three words (AGG-16, KWX-04).
 
@@ -79,6 +85,7 @@ def phrase_scores(df: DataFrame, id_col: str, title: str, abstract: str, lex: Le
     the two after it then gives its phrases, counted by an aggregation that is partial before the shuffle.
     """
     lex = lex or Lexicon()
+    df = spread(df.select(F.col(id_col), F.col(title), F.col(abstract)))
     tested = lambda c: F.transform(keyword_tokens(mining_fragment(c)), lambda x: F.when(is_candidate(x, lex), x))
     base = df.select(F.col(id_col).alias("id"), F.explode(F.array(F.struct(F.lit(1).alias("in_title"), tested(title).alias("t")), F.struct(F.lit(0).alias("in_title"), tested(abstract).alias("t")))).alias("x")).select("id", "x.*")
     after = lambda n: F.slice("t", F.lit(1 + n), F.greatest(F.size("t") - n, F.lit(0)))
@@ -104,7 +111,8 @@ def mined_phrases(scores: DataFrame, lex: Lexicon | None = None) -> DataFrame:
     met = F.when(in_title, (F.col("abstract_hits") > 0) | (F.length(F.replace(p, F.lit(" "), F.lit(""))) >= 11)).otherwise(twice)
     plain = twice & (F.col("title_hits") + F.col("abstract_hits") >= 3) & (F.length(p) >= 6)
     single = ~p.isin(*lex.unigram_noise) & (~p.rlike("(ly|ed|ing)$") | p.isin(*lex.kept_endings)) & (is_technical(p, lex) | plain)
-    return scores.where(~p.isin(*lex.noise) & ~is_low_signal(F.split(p, " "), lex) & met & ((F.col("n") > 1) | single))
+    # most phrases are met once: they go before anything else is looked at
+    return scores.where(met).where(~p.isin(*lex.noise) & ~is_low_signal(F.split(p, " "), lex) & ((F.col("n") > 1) | single))
 
 
 def mined_keywords(df: DataFrame, id_col: str, title: str, abstract: str, lex: Lexicon | None = None, limit: int = MINED) -> DataFrame:

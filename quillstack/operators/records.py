@@ -149,10 +149,11 @@ def upserted_talks(existing: DataFrame, remote: DataFrame, curated: list[str], r
 
 
 def merge_name_variants(buckets: DataFrame) -> DataFrame:
-    """(key, merged_key) of buckets (key, name, names, affiliations): see people.classes (ER-06)."""
+    """(key, merged_key) of buckets (key, name, affiliations), and names with their counts if they have any besides the one: see people.classes (ER-06)."""
     from . import people as merging
 
-    return merging.classes(buckets)
+    once = F.create_map(blank("name"), F.lit(1).cast("long"))
+    return merging.classes(buckets if "names" in buckets.columns else buckets.withColumn("names", once))
 
 
 def enrich(left: DataFrame, right: DataFrame, on: list[str], fills: dict[str, str]) -> DataFrame:

@@ -223,8 +223,8 @@ def site_addresses(spark: SparkSession, sf: str) -> DataFrame:
     k, none = F.col("p_size") % 3, F.array().cast("array<string>")
     safe = F.when(k == 0, say(" JavaScript:alert({p_size})")).otherwise(say("/a/{p_size}"))
     post = fl.blog_url("https://b.org/", F.when(k == 0, say("/a/{p_size}")).otherwise(F.lit("")), F.when(k == 1, F.array(F.lit("alias"))).otherwise(none), F.col("p_size").cast("string"))
-    inside = F.when(F.col("p_size") % 2 == 0, say("/devmtg/x/{p_size}")).otherwise(say("http://y/{p_size}"))
-    return t(spark, sf, "part").select("p_partkey", fl.detail_url(F.lit("https://s.org/"), "talk.html", "p_brand").alias("detail"), fl.internal_url(inside, "https://s.org", "devmtg").alias("internal"), fl.safe_url(safe).alias("safe"), post.alias("post"))
+    inside = F.when(F.col("p_size") % 2 == 0, say("/library/x/{p_size}")).otherwise(say("http://y/{p_size}"))
+    return t(spark, sf, "part").select("p_partkey", fl.detail_url(F.lit("https://s.org/"), "talk.html", "p_brand").alias("detail"), fl.internal_url(inside, "https://s.org", "library").alias("internal"), fl.safe_url(safe).alias("safe"), post.alias("post"))
 
 
 @query("""

@@ -160,10 +160,10 @@ def small_predicates(spark: SparkSession, sf: str) -> DataFrame:
     source, kind = F.when(k == 0, F.lit(" Blog ")).otherwise(F.lit("web")), F.when(k == 1, F.lit("blog-post")).when(k == 2, F.lit("News-Post")).otherwise(F.lit(""))
     flag, place = F.when(k == 0, F.lit(True)), F.when(k == 1, F.lit("Town (CANCELLED)")).otherwise(F.lit("Town"))
     name = F.when(k == 2, F.lit("Another Series")).otherwise(say("{p_name} Developers' Meeting"))
-    path = F.when(k == 0, say("devmtg/events/{p_size}.json")).when(k == 1, say("papers/{p_size}.json")).when(k == 2, F.lit("devmtg/events/index.json")).otherwise(F.lit("papers/index.json"))
+    path = F.when(k == 0, say("site/events/{p_size}.json")).when(k == 1, say("papers/{p_size}.json")).when(k == 2, F.lit("site/events/index.json")).otherwise(F.lit("papers/index.json"))
     return t(spark, sf, "part").select(
         "p_partkey", facets.is_post(source, kind, "blog").alias("post"), facets.research_like(source, kind, "blog").alias("research"), facets.allowed_type(kind, ["blog-post"]).alias("allowed"), facets.named_meeting(flag, place, name, "Developers' Meeting").alias("meeting"),
-        facets.card_disabled(flag, place, F.when(k == 2, 0).otherwise(1), F.lit(1)).alias("disabled"), changes.event_json_path(path).alias("event_file"), changes.paper_json_path(path).alias("paper_file"),
+        facets.card_disabled(flag, place, F.when(k == 2, 0).otherwise(1), F.lit(1)).alias("disabled"), changes.event_json_path(path, "site/events").alias("event_file"), changes.paper_json_path(path, "papers").alias("paper_file"),
     )
 
 
