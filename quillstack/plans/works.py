@@ -368,11 +368,11 @@ def mined_keywords(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    SELECT p_partkey, 'GPU|' || p_name || '|' || p_brand AS combined, p_type || '|' || p_name || CASE WHEN p_partkey % 2 = 0 THEN '|GPU' ELSE '' END AS stored, p_type || '|Widgets' || CASE WHEN p_partkey % 2 = 0 THEN '|Graphics' ELSE '' END AS topics FROM part WHERE p_name LIKE '% widget'
+    SELECT p_partkey, 'GPU|' || p_name || '|' || p_brand AS combined, p_type || '|' || p_name || CASE WHEN p_partkey % 2 = 0 THEN '|GPU' ELSE '' END AS stored, p_type || CASE WHEN p_name LIKE '% widget' THEN '|Widgets' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN '|Graphics' ELSE '' END AS topics FROM part
 """)
 def keyword_lists(spark: SparkSession, sf: str) -> DataFrame:
     """KWX-09, KWX-10, KWX-12: what a keyword taken before holds is passed over, lists join without repeats, topics come of labels and texts."""
-    p, even = t(spark, sf, "part").where("p_name like '% widget'"), F.col("p_partkey") % 2 == 0
+    p, even = t(spark, sf, "part"), F.col("p_partkey") % 2 == 0
     combined = keywords.combined_keywords(F.array(F.lit("GPU")), F.array(F.lit("gpu"), F.col("p_name")), F.array(F.split("p_name", " ")[0], F.col("p_brand"), F.lit("--")))
     stored = keywords.stored_keywords(F.array("p_type"), F.array("p_name", F.lower("p_type")), F.when(even, F.array(F.lit("GPU"))))
     text = keywords.paper_text(F.col("p_name"), F.lit(" "), F.when(even, F.lit("On GPUs")).otherwise(F.lit("")), F.lit(""))
