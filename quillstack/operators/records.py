@@ -26,38 +26,43 @@ def author_list_quality(authors: Column) -> Column:
     return F.struct(F.size(names).alias("names"), count(lambda a: F.length(a) >= 6).alias("long"), (-count(lambda a: a.rlike(r"^[A-Za-z]\.?$"))).alias("initials"))
 
 
-def best_authors(authors: str, order: Column) -> Column:
-    """The author list of a group's records that the others, merged in order, don't better: the first of the best; empty ones never lead (ER-04)."""
-    some = F.size(F.coalesce(authors, F.array().cast("array<string>"))) > 0
-    return F.min_by(authors, F.when(some, F.struct(negated(author_list_quality(F.col(authors))).alias("q"), order.alias("o"))))
+def negated(quality: Column, names: tuple[str, ...] = ("names", "long", "initials")) -> Column:
+    """A struct of numbers that sorts the other way."""
+    return F.struct(*((-quality[n]).alias(n) for n in names))
 
 
-def negated(quality: Column) -> Column:
-    return F.struct((-quality["names"]).alias("a"), (-quality["long"]).alias("b"), (-quality["initials"]).alias("c"))
+def best_authors(authors: str, order: Column, lead: Column) -> Column:
+    """The author list of a group's records that the others, merged in order after the leader's, don't better: the first of the best; empty ones never lead (ER-04)."""
+    some = F.size(F.coalesce(authors, F.array().cast("array<string>"))) > 0
+    best = F.min_by(authors, F.when(some, F.struct(negated(author_list_quality(F.col(authors))).alias("q"), order.alias("o"))))
+    of_lead = F.min_by(authors, lead)
+    return F.when(author_list_quality(of_lead).eqNullSafe(author_list_quality(best)) & (F.size(of_lead) > 0), of_lead).otherwise(best)
 
 
-def first_filled(c: str, order: Column) -> Column:
-    """The first of a group's values, in an order, that isn't blank: what filling empty fields in that order leads to (ER-03)."""
-    return F.min_by(c, F.when(F.trim(blank(c)) != "", order)).alias(c)
+def first_filled(c: str, order: Column, lead: Column) -> Column:
+    """The leader's value unless it is blank, else the first of a group's values, in an order, that isn't: what filling empty fields in that order leads to (ER-03)."""
+    filled = lambda x: F.trim(blank(x)) != ""
+    of_lead = F.min_by(c, lead)
+    return F.when(filled(of_lead), of_lead).otherwise(F.min_by(c, F.when(filled(c), order))).alias(c)
 
 
 def merge_duplicates(records: DataFrame, id_col: str, keys_col: str, order_col: str, quality: Column, scalars: list[str], arrays: list[str], counts: list[str], authors: str | None = None) -> DataFrame:
     """One record for each class of records that share keys (ER-01, ER-03, ER-04).
 
-    The best record leads, the others follow in order; blanks are filled from the first that has a
-    value, arrays are joined without repeats, counts are the largest, authors are the best list.  All of
-    it is aggregation, partial before the shuffle; only arrays hold more than one value of a class.
+    The best record leads (of equals the first), the others follow in order; blanks are filled from the first that has
+    a value, arrays are joined without repeats, counts are the largest, authors are the best list.  All of it is one
+    aggregation, partial before the shuffle, so a class of any size is met in parts; only arrays hold more than one
+    value of a class.  quality: a struct of numbers, as of record_quality().
     """
     classes = key_components(records, id_col, keys_col)
     rows = records.join(classes, records[id_col] == classes["id"]).drop(classes["id"]).withColumn("__q", quality)
-    # of equal quality the first leads
-    lead = rows.groupBy("component").agg(F.max("__q").alias("__best")).join(rows.select("component", "__q", order_col), "component").where("__q = __best").groupBy("component").agg(F.min(order_col).alias("__lead"))
-    rows = rows.join(lead, "component")
-    order = F.struct(F.when(F.col(order_col) == F.col("__lead"), 0).otherwise(1), F.col(order_col))
-    aggs = [first_filled(c, order) for c in scalars] + ([best_authors(authors, order).alias(authors)] if authors else [])
-    aggs += [distinct_ignoring_case(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(a).alias("v")))), lambda x: x["v"]))).alias(a) for a in arrays]
+    order = F.col(order_col)
+    lead = F.struct(negated(F.col("__q"), tuple(rows.schema["__q"].dataType.names)).alias("q"), order.alias("o"))
+    aggs = [first_filled(c, order, lead) for c in scalars] + ([best_authors(authors, order, lead).alias(authors)] if authors else [])
+    none = lambda a: F.coalesce(F.min_by(a, lead), F.array().cast(rows.schema[a].dataType))
+    aggs += [distinct_ignoring_case(F.concat(none(a), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.coalesce(F.col(a), F.array().cast(rows.schema[a].dataType)).alias("v")))), lambda x: x["v"])))).alias(a) for a in arrays]
     aggs += [F.max(c).alias(c) for c in counts]
-    return rows.groupBy("component").agg(F.count("*").alias("members"), F.min_by(id_col, order).alias("best_id"), *aggs)
+    return rows.groupBy("component").agg(F.count("*").alias("members"), F.min_by(id_col, lead).alias("best_id"), *aggs)
 
 
 def people(entries: DataFrame, name: str, affiliation: str, work_id: str, kind: str, citations: str) -> DataFrame:
