@@ -225,3 +225,18 @@ def cached_searches(spark: SparkSession, sf: str) -> DataFrame:
     write_files(pages.select(F.format_string("%s-y2000-n20-p%d.json", ky.slugify("venue"), "page").alias("file"), body.alias("text")), root)
     keywords = [r["n_name"] for r in t(spark, sf, "nation").select("n_name").collect()]  # what is searched for is a parameter
     return readers.discovered_works(spark, root, keywords, "id string, title string, venue string", 2000, per_page)
+
+
+@query("""
+    WITH e AS (SELECT event_id, event_type || ':' || event_id AS fingerprint, CASE WHEN event_id % 50 <> 0 THEN ts END AS told, user_id::VARCHAR AS hint, event_type AS title FROM events)
+    SELECT event_id, title, strftime(told, '%Y-%m-%d %H:%M:%S') AS at_utc, row_number() OVER (ORDER BY told DESC NULLS LAST, hint DESC, title DESC, fingerprint)::BIGINT AS place FROM e
+""")
+def logs_read(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-22, SRT-02, DAT-07: all events as logs, a file a day, read back and put in order; what has no readable time comes last."""
+    root, e = f"{scratch(spark)}/logs", t(spark, sf, "events")
+    at = F.when(F.col("event_id") % 50 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    entry = F.struct(F.lit("talk").alias("kind"), at.alias("loggedAt"), F.col("user_id").cast("string").alias("sortHint"), F.concat_ws(":", "event_type", "event_id").alias("fingerprint"), F.col("event_type").alias("title"))
+    days = e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.collect_list(entry).alias("entries"))
+    write_files(days.select(say("{day}.json").alias("file"), F.to_json(F.struct(F.lit("v1").alias("dataVersion"), F.col("day").alias("generatedAt"), "entries")).alias("text")), root)
+    log = numbering.numbered(bundles.update_log(spark, f"{root}/*.json"), bundles.newest_first())
+    return log.select(F.element_at(F.split("fingerprint", ":"), -1).cast("long").alias("event_id"), "title", F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss").alias("at_utc"), "place")

@@ -128,6 +128,28 @@ def cached_works(spark: SparkSession, path: str, wanted: DataFrame, schema: str)
     return once.select("id", "w.*")
 
 
+LOG_ENTRY = "struct<kind: string, loggedAt: string, sortHint: string, fingerprint: string, parts: array<string>, title: string, url: string, talkId: string, paperId: string>"
+
+
+def update_log(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a log (an object with dataVersion, generatedAt and entries, or a folder of such), with logged_at read from loggedAt, null where it is no time (SRC-22).
+
+    A file without a list of entries fails the read.  For the reader's order, newest first and what has no time last, see
+    newest_first().
+    """
+    from quillstack.functions.fields import iso_timestamp
+
+    df = spark.read.schema(f"dataVersion string, generatedAt string, entries array<{LOG_ENTRY}>, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    bad = F.col("_corrupt_record").isNotNull() | F.col("entries").isNull()
+    entries = F.when(bad, F.raise_error(F.concat(F.lit("malformed log: "), F.input_file_name())).cast(df.schema["entries"].dataType)).otherwise(F.col("entries"))
+    return df.select("dataVersion", F.explode(entries).alias("e")).select("dataVersion", "e.*").withColumn("logged_at", iso_timestamp("loggedAt"))
+
+
+def newest_first() -> list[F.Column]:
+    """The order in which a log is shown (SRT-02, SRC-22)."""
+    return [F.desc_nulls_last("logged_at"), F.desc_nulls_last("sortHint"), F.desc_nulls_last("title"), F.col("fingerprint")]
+
+
 def tag_vocabulary(records: DataFrame, tags: str, order: str) -> DataFrame:
     """(key, tag, place): canonical_tags() of records as a table, the first spelling of each key, in order (SRC-24)."""
     from quillstack.operators.numbering import numbered
