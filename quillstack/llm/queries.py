@@ -11,18 +11,21 @@ from .common import table
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts and texts without words link with nothing; rows with equal ids are one document, a row without an id is kept."""
     from .minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts hold nothing; repeated rows stay as they are; items without words match nothing."""
     from .decontamination import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts count as empty; repeated rows and ids stay as they are."""
     import public_tokenizers
 
     from .token_counts import count_tokens
@@ -31,12 +34,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts count as empty; repeated rows are each other's repeats, so copies of 400 bytes lose all of them."""
     from .suffix_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"), length=400, passage_words=51).drop("spans")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no ids; repeated rows stay as they are."""
     import public_tokenizers
 
     from .piece_codec import encode
@@ -45,30 +50,35 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null HTML is an empty payload; of equal payloads the largest page_id responds."""
     from .warc import capture_histories
 
     return capture_histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without words have no perplexity and are accepted; repeated rows stay as they are."""
     from .quality import classify
 
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts get the model's bias; a document is toxic if any of its labels says so; repeated rows stay."""
     from .toxicity import score
 
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts stay null; of equal lines the earliest by id and place stays; repeated rows don't count as earlier than each other."""
     from .line_dedup import drop_duplicate_lines
 
     return drop_duplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_equal=1)
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors without a direction link with nothing; a row without an id has no component and is kept; ids are whole numbers."""
     from .embedding_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
