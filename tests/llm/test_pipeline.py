@@ -77,5 +77,5 @@ def test_registered():
     import __spark_entry__ as entry
 
     assert set(queries.QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
-    assert len([q for q in queries.QUERIES if q.startswith("op")]) == 10
+    assert len([q for q in queries.QUERIES if q.startswith("op")]) == 13
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
