@@ -1,14 +1,14 @@
 """Near-duplicate documents by improved consistent weighted sampling.
 
 A document is the weighted set of its five-word shingles, weight = count times inverse document
-frequency.  Frequencies are counted over all documents by lossy counting, with a stated error, for the
-shingles in at least a SHARE of the documents; all rarer ones weigh the same, so that weights don't
-shift with the size of the corpus.  Each of BANDS * ROWS samples agrees between two documents with a
-chance equal to their weighted Jaccard similarity; documents that agree on all samples of a band share a
-bucket.  The members of a bucket meet in blocks of bounded size, each with its whole text, where all
-similarities are computed exactly and at once, as a product of matrices; a block returns a forest of the
-links found, so what comes out is linear in what goes in.  Buckets of more than one block meet in three
-steps (see near_duplicates), so that no pair of bucket mates of different classes is left uncompared.
+frequency.  Frequencies are counted over all documents, exactly, for the shingles in at least a SHARE of
+the documents; all rarer ones weigh the same, so that weights don't shift with the size of the corpus.
+Each of BANDS * ROWS samples agrees between two documents with a chance equal to their weighted Jaccard
+similarity; documents that agree on all samples of a band share a bucket.  The members of a bucket meet
+in blocks of bounded size, each with its whole text, where all similarities are computed exactly and at
+once, as a product of matrices; a block returns a forest of the links found, so what comes out is linear
+in what goes in.  Buckets of more than one block meet in three steps (see near_duplicates), so that no
+pair of bucket mates of different classes is left uncompared.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 #: Share of the documents from which on a shingle's frequency counts; at most mean shingles a document / SHARE shingles have it.
 SHARE = 1 / 500
-#: Documents and shingles counted at a time.
-UNIT_DOCS, UNIT_SHINGLES = 8192, 4_000_000
+#: Bits of the number of a cell that shingles are first counted in, cells of a row, and shingles counted at a time.
+CELL_BITS, ROW_CELLS, HELD = 21, 1 << 15, 1_000_000
 #: Documents and characters of a block, and columns of its matrix at a time.
 BLOCK, BLOCK_CHARS, COLUMNS = 512, 8_000_000, 4096
 #: Members of each block's largest class that meet those of other blocks first.
@@ -105,38 +105,101 @@ class Frequencies:
         return self.idf[np.where(known, at, -1)]
 
 
+def held_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
+    """The distinct shingles of each document that has text, those of some documents at a time, and how many documents these are."""
+    sh, held, size = shingles(), [], 0
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            if t:
+                held.append(np.unique(sh.of(t)))
+                size += len(held[-1])
+                if size >= HELD:
+                    yield np.concatenate(held), len(held)
+                    held, size = [], 0
+    if held:
+        yield np.concatenate(held), len(held)
+
+
+def cells_of(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def cell_counts(texts: DataFrame) -> DataFrame:
+    """(k, n): the k-th ROW_CELLS cells, and for each of them the documents of its shingles, summed, as bytes; k = -1: all documents."""
+    import zstandard
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, docs = np.zeros(1 << CELL_BITS, dtype=np.int64), 0
+        for s, k in held_shingles(batches):
+            total += np.bincount(cells_of(s), minlength=len(total))
+            docs += k
+        z = zstandard.ZstdCompressor(level=1)
+        parts = [(-1, np.array([docs])), *((k, part) for k, part in enumerate(total.reshape(-1, ROW_CELLS)) if part.any())] if docs else []
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([z.compress(x.tobytes()) for _, x in parts], pa.binary())], names=["k", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, key, total = zstandard.ZstdDecompressor(), None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key]), pa.array([total.tobytes()], pa.binary())], names=["k", "n"])
+
+        for b in batches:
+            for k, n in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                n = np.frombuffer(z.decompress(n.as_py()), dtype=np.int64)
+                if k == key:
+                    total = total + n
+                else:
+                    if key is not None:
+                        yield done()
+                    key, total = k, n
+        if key is not None:
+            yield done()
+
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.mapInArrow(count, "k long, n binary").repartition(n, "k").sortWithinPartitions("k").mapInArrow(add, "k long, n binary")
+
+
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> Frequencies:
-    """Frequencies over all documents that have text, by lossy counting.
+    """Frequencies over all documents that have text; exact for every shingle that weighs less than the rarest.
 
-    Documents are counted in units of UNIT_DOCS (the last of a task may have fewer); of a unit come out the
-    shingles in at least SHARE of its documents, and in two.  So a count falls short by at most SHARE of
-    the documents and one a unit, and no shingle in 2 * SHARE of the documents (of full units) is missed.
+    Shingles are first counted in cells by their hash, of a number that doesn't grow; a cell's count is no
+    less than that of any shingle in it, so only the shingles of cells that reach the bound can.  These
+    are then counted one by one.  Neither depends on how the documents are dealt out.
     """
+    texts = docs.select(text_col)
+    cells = staged(cell_counts(texts), "mh-cells")
+    got = cells.where("k = -1").select("n").first()
+    n_docs = int(np.frombuffer(got["n"], dtype=np.int64)[0]) if got else 0
+    bound = max(2.0, SHARE * (1 + n_docs))  # of 1 + df: at or under it a shingle weighs as the rarest do
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh, held, size = shingles(), [], 0
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, n in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(k * ROW_CELLS + np.flatnonzero(1 + np.frombuffer(n.as_py(), dtype=np.int64) > bound))], names=["cell"])
+
+    some = np.zeros(1 << CELL_BITS, dtype=bool)
+    some[cells.where("k >= 0").mapInArrow(above, "cell long").toArrow()["cell"].to_numpy()] = True
+    drop_scratch(cells)
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(some))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, held, size = np.unpackbits(shared.value).astype(bool), [], 0
 
         def unit() -> pa.RecordBatch:
             s, n = np.unique(np.concatenate(held), return_counts=True)
-            some = n >= max(2, SHARE * len(held))
-            return pa.RecordBatch.from_arrays([pa.array(np.append(s[some].view(np.int64), 0)), pa.array(np.append(n[some], 0)), pa.array([0] * int(some.sum()) + [len(held)], pa.int64())], names=["s", "n", "docs"])
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    held.append(np.unique(sh.of(t)))
-                    size += len(held[-1])
-                    if len(held) >= UNIT_DOCS or size >= UNIT_SHINGLES:
-                        yield unit()
-                        held, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n)], names=["s", "n"])
+
+        for s, _ in held_shingles(batches):
+            held.append(s[some[cells_of(s)]])
+            size += len(held[-1])
+            if size >= HELD:
+                yield unit()
+                held, size = [], 0
         if held:
             yield unit()
 
-    counts = docs.select(text_col).mapInArrow(run, "s long, n long, docs long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counts = staged(counts, "mh-frequencies")
-    n_docs = counts.agg(F.sum("docs")).first()[0] or 0
-    got = counts.where(F.col("n") >= max(1.0, SHARE * n_docs)).select("s", "n").toArrow()  # see SHARE for how many there are
-    drop_scratch(counts)
+    counts = texts.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    got = counts.where(1 + F.col("n") > bound).toArrow()  # see SHARE for how many there are
     return Frequencies(got["s"].to_numpy().view(np.uint64), got["n"].to_numpy(), n_docs)
 
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -86,6 +87,23 @@ def test_frequencies_are_exact_in_one_unit_and_capped(spark):
     assert np.allclose(idf.of(sh.of(rows[5][1])[-3:]), np.log(1 / mh.SHARE) + 1)
 
 
+def test_frequencies_are_exact_however_documents_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(mh, "SHARE", 1 / 20)
+    r, sh = random.Random(6), Shingles()
+    hot = [prose(r, 6) for _ in range(4)]
+    # each of hot stands in 20 of 200 documents and more: once in each of 20 parts, or all in few of them
+    texts = [[hot[0] + " " + prose(r, 9) if k == 0 else hot[1] + " " + prose(r, 9) if p < 4 else hot[2 + k % 2] + " " + prose(r, 9) if p % 3 else prose(r, 9) for k in range(10)] for p in range(20)]
+    df = spark.createDataFrame([], "text string")
+    for part in texts:
+        df = df.unionByName(spark.createDataFrame([(t,) for t in [*part, None, ""]], "text string").coalesce(1))
+    counts = Counter(s for part in texts for t in part for s in np.unique(sh.of(t)).tolist())
+    s = np.array(list(counts), dtype=np.uint64)
+    want = np.minimum(np.log(201 / (1 + np.array(list(counts.values())))) + 1, np.log(20) + 1)
+    assert np.allclose(document_frequencies(df).of(s), want)
+    assert np.allclose(document_frequencies(df.coalesce(1)).of(s), want)
+    assert len(document_frequencies(df).shingle) == sum(1 + n > 201 / 20 for n in counts.values()) >= 8
+
+
 def test_equals_brute_force(spark):
     r = random.Random(7)
     base = [prose(r, r.randint(40, 120)) for _ in range(12)]
