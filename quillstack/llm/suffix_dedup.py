@@ -10,8 +10,9 @@ The open buckets are refined (see refined): every offset of the bytes around the
 identifier of its 8-gram, and identifiers of h bytes become those of 2h by sorting on the pair of an
 offset's own identifier and that of the offset h later, each round reusing what the last one gave, until
 a bucket is single or h reaches the windows' length.  No hash decides there: windows with one identifier
-are equal byte by byte.  Buckets too large for a task are counted over the cluster by 128-bit hashes of
-their windows.
+are equal byte by byte.  Buckets too large for a task are split over the cluster first (see
+repeated_in_hot_buckets): by the bytes that some neighbouring windows have in common, fewer windows at a
+time as long as a bucket is too large, and anchors whose windows are equal by 128-bit hash are one group again.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from .common import drop_scratch, small_batches, staged
 
 PIECE = 1 << 19  # window starts worked on at a time
 BITS = 20  # of a place within a piece and its margin
-HOT = 2048  # members from which a bucket's windows are counted over the cluster
+HOT = 2048  # members from which a bucket is split over the cluster
+WIDTHS = (64, 8, 1)  # neighbouring windows that are kept together when a bucket is split, time after time
 SALTS = 16
 SPACED = re.compile(r"\S+")
 BASE = 0x9E3779B97F4A7C15
@@ -279,23 +281,63 @@ def repeated_in_buckets(ctx: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "d long, h long, lo long, hi long")
 
 
-def repeated_in_hot_buckets(ctx: DataFrame, length: int) -> DataFrame:
-    """The same, for buckets too large for a task: windows are counted by 128-bit hash over the cluster."""
+def split(ctx: DataFrame, length: int, gram: int, width: int) -> DataFrame:
+    """Anchors with width neighbouring windows each, in buckets by the bytes that these have in common.
+
+    The windows that start p to p + width - 1 bytes before an anchor, p a multiple of width, all hold the
+    same stretch around it, so equal ones stay in one bucket, whichever of them an anchor has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for members in _batches_of(list(zip(*(c.to_pylist() for c in b.columns), strict=True)), 500, lambda _: 1):
-                sizes = np.array([len(m[-1]) - length + 1 for m in members])
-                of = np.repeat(np.arange(len(members)), sizes)
-                offset = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                value = np.concatenate([digests(m[-1], np.arange(k), np.arange(k) + length) for m, k in zip(members, sizes.tolist(), strict=True)])
-                d, h, start, done = (np.array(x)[of] for x in zip(*((m[0], m[1], m[2] - m[3], m[5]) for m in members), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d, h, start + offset, value[:, 0], value[:, 1], done)], names=["d", "h", "s", "value", "value2", "done"])
+        for b in (b.slice(at, 200) for b in batches for at in range(0, b.num_rows, 200)):
+            out = []
+            for d, h, place, back, forth, done, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for p in range(forth // width * width, back + 1, width):
+                    q = min(p + width - 1, length - gram)
+                    lo, hi = max(p, forth), min(q, back)
+                    windows = text[back - hi : back - lo + length]
+                    out.append((d, h, place, hi, lo, xxhash.xxh3_64_intdigest(text[back - p : back - q + length], seed=p), done, *digests(windows, np.zeros(1, np.int64), np.array([len(windows)]))[0].tolist(), windows))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.uint64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+            cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([c.view(pa.int64()) if c.type == pa.uint64() else c for c in cols], names=["d", "h", "place", "back", "forth", "bucket", "done", "whole", "whole2", "text"])
+
+    rows = ctx.select("d", "h", "place", "back", "forth", "done", "text")
+    return rows.mapInArrow(run, "d long, h long, place long, back short, forth short, bucket long, done boolean, whole long, whole2 long, text binary")
+
+
+def still_open(groups: DataFrame) -> DataFrame:
+    """The groups, with hot, of buckets that have several, of which one at least isn't done.  groups: (rep, bucket, done), others stay."""
+    buckets = groups.groupBy("bucket").agg(F.count("*").alias("members"), F.bool_and("done").alias("all_done")).where("members > 1 and not all_done").select("bucket", "members")
+    # only a bucket's size is wanted of the join, so its members are dealt over SALTS parts
+    salted = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    met = groups.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted, ["bucket", "salt"])
+    return met.withColumn("hot", F.col("members") > HOT).drop("salt", "members")
+
 
-    w = ctx.select("d", "h", "place", "back", "forth", "done", "text").mapInArrow(run, "d long, h long, s long, value long, value2 long, done boolean")
-    w = staged(w, "sa-windows")
-    again = w.groupBy("value", "value2").agg(F.count("*").alias("n")).where("n > 1").select("value", "value2")
-    return w.where("not done").join(again, ["value", "value2"], "left_semi").select("d", "h", F.col("s").alias("lo"), (F.col("s") + length).alias("hi"))
+def windows_of(rows: DataFrame, length: int) -> DataFrame:
+    return rows.select("d", "h", (F.col("place") - F.col("back")).alias("lo"), (F.col("place") - F.col("forth") + length).alias("hi"))
+
+
+def repeated_in_hot_buckets(ctx: DataFrame, length: int, gram: int) -> list[DataFrame]:
+    """The same, for buckets too large for a task.
+
+    They are split by bytes that neighbouring windows have in common; anchors whose windows are all equal
+    are settled, and one of them stands for them.  What then fits a task is refined there, the rest is
+    split by fewer windows, in the end by one: anchors with one window are equal or in other buckets.
+    """
+    group, out = ["bucket", "back", "forth", "whole", "whole2"], []
+    for width in (w for w in WIDTHS if w <= max(1, length - gram)):
+        if ctx.isEmpty():
+            break
+        parts = staged(split(ctx, length, gram, width), "sa-parts")
+        groups = parts.groupBy(*group).agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "place")).alias("rep"), F.bool_and("done").alias("done"), F.any_value("text").alias("text"))
+        groups = staged(groups, "sa-part-groups")
+        out.append(windows_of(parts.where("not done").join(groups.where("n > 1").select(*group), group, "left_semi"), length))
+        ctx = still_open(groups.withColumn("done", F.col("done") | (F.col("n") > 1)))
+        ctx = staged(ctx.select("rep.*", "back", "forth", "bucket", (F.col("hot") & F.lit(width > 1)).alias("hot"), "done", "text"), "sa-contexts")
+        out.append(repeated_in_buckets(ctx.where("not hot"), length))
+        ctx = ctx.where("hot")
+    return out
 
 
 def repeated_regions(docs: DataFrame, rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -307,14 +349,12 @@ def repeated_regions(docs: DataFrame, rows: DataFrame, length: int, gram: int) -
     group = ["bucket", "back", "forth", "whole", "whole2"]
     # one representative of each group, and how many there are
     groups = staged(shared.groupBy(*group).agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "place")).alias("rep")), "sa-groups")
-    buckets = groups.groupBy("bucket").agg(F.count("*").alias("members"), F.min("n").alias("least")).where("members > 1 and least = 1")
-    # only a bucket's size is wanted of the join, so its members are dealt over SALTS parts
-    salted = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
-    open_ = groups.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted, ["bucket", "salt"])
-    open_ = open_.select("rep.*", "back", "forth", "bucket", (F.col("members") > HOT).alias("hot"), (F.col("n") > 1).alias("done"))
+    open_ = still_open(groups.withColumn("done", F.col("n") > 1)).select("rep.*", "back", "forth", "bucket", "hot", "done")
     ctx = staged(contexts(docs, open_, length), "sa-contexts")
-    settled = shared.join(groups.where("n > 1").select(*group), group, "left_semi").select("d", "h", (F.col("place") - F.col("back")).alias("lo"), (F.col("place") - F.col("forth") + length).alias("hi"))
-    return settled.unionByName(repeated_in_buckets(ctx.where("not hot"), length)).unionByName(repeated_in_hot_buckets(ctx.where("hot"), length))
+    out = windows_of(shared.join(groups.where("n > 1").select(*group), group, "left_semi"), length)
+    for more in (repeated_in_buckets(ctx.where("not hot"), length), *repeated_in_hot_buckets(ctx.where("hot"), length, gram)):
+        out = out.unionByName(more)
+    return out
 
 
 class WordHashes:

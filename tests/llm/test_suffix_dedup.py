@@ -46,6 +46,29 @@ def test_equals_brute_force(spark, monkeypatch, length, gram, hot, piece):
     assert sum(w[1] for w in want) > 1000
 
 
+def test_hot_buckets_are_split_not_spelled_out(spark, monkeypatch):
+    """Near copies: few rows for each anchor, not one for each of up to 301 windows."""
+    made, staged = {}, sd.staged
+
+    def counted(df, label, by=None):
+        out = staged(df, label, by)
+        made[label] = made.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(sd, "staged", counted)
+    monkeypatch.setattr(sd, "HOT", 16)
+    r = random.Random(9)
+    base = "".join(r.choice("abcdefgh ") for _ in range(1200))
+    texts = ["".join(r.choice("XYZ") if i in cut else c for i, c in enumerate(base)) for cut in ({r.randrange(1200) for _ in range(k % 4)} for k in range(120))]
+    texts += [t[r.randrange(300) : r.randrange(800, 1200)] for t in texts[:40]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in remove_repeats(df).collect())
+    want = brute([t.encode() for t in texts], 400)
+    assert got == [(i, *w) for i, w in enumerate(want)]
+    assert 0 < sum(w[1] for w in want) < sum(w[0] for w in want)
+    assert max(made.values()) < 16 * made["sa-groups"]
+
+
 def test_anchors_cover_each_window_once(monkeypatch):
     monkeypatch.setattr(sd, "PIECE", 64)
     texts = [t.encode() for t in corpus(1)]
