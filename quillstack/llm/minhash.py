@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_scratch, staged
+from .common import components, drop_caches, drop_scratch, staged
 
 WORDS_IN_SHINGLE = 5
 BANDS, ROWS = 12, 3
@@ -32,7 +32,7 @@ SAMPLES = BANDS * ROWS
 #: Share of the documents from which on a shingle's frequency counts; at most mean shingles a document / SHARE shingles have it.
 SHARE = 1 / 500
 #: Bits of the number of a cell that shingles are first counted in, cells of a row, and shingles counted at a time.
-CELL_BITS, ROW_CELLS, HELD = 21, 1 << 15, 1_000_000
+CELL_BITS, ROW_CELLS, HELD = 21, 1 << 15, 250_000
 #: Documents and characters of a block, and columns of its matrix at a time.
 BLOCK, BLOCK_CHARS, COLUMNS = 512, 8_000_000, 4096
 #: Members of each block's largest class that meet those of other blocks first.
@@ -129,12 +129,13 @@ def cell_counts(texts: DataFrame) -> DataFrame:
     import zstandard
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, docs = np.zeros(1 << CELL_BITS, dtype=np.int64), 0
+        drop_caches(__name__)
+        total, docs = np.zeros(1 << CELL_BITS, dtype=np.int32), 0
         for s, k in held_shingles(batches):
-            total += np.bincount(cells_of(s), minlength=len(total))
+            np.add.at(total, cells_of(s), 1)
             docs += k
         z = zstandard.ZstdCompressor(level=1)
-        parts = [(-1, np.array([docs])), *((k, part) for k, part in enumerate(total.reshape(-1, ROW_CELLS)) if part.any())] if docs else []
+        parts = [(-1, np.array([docs], dtype=np.int32)), *((k, part) for k, part in enumerate(total.reshape(-1, ROW_CELLS)) if part.any())] if docs else []
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([z.compress(x.tobytes()) for _, x in parts], pa.binary())], names=["k", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,7 @@ def cell_counts(texts: DataFrame) -> DataFrame:
 
         for b in batches:
             for k, n in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                n = np.frombuffer(z.decompress(n.as_py()), dtype=np.int64)
+                n = np.frombuffer(z.decompress(n.as_py()), dtype=np.int32).astype(np.int64)
                 if k == key:
                     total = total + n
                 else:

@@ -79,3 +79,13 @@ def test_registered():
     assert set(queries.QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
     assert len([q for q in queries.QUERIES if q.startswith("op")]) == 13
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_near_duplicates_weigh_common_words_however_documents_are_dealt(spark):
+    """A line that all documents share makes no near duplicates of them, though no part has two of them."""
+    r = random.Random(5)
+    common = sentence(80)
+    rows = [(i, common + " " + " ".join(r.choice(WORDS) for _ in range(4)), "en", "src", 0) for i in range(60)]
+    for parts in (60, 1):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string, lang string, source string, n_chars long")
+        assert corpus_pipeline.near_duplicate_stage(spark, docs, "").count() == 60
