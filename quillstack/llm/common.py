@@ -6,9 +6,10 @@ import ctypes
 import gc
 import sys
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import AbstractContextManager, contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,31 @@ def staged(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_in_turns(parts: Iterable[DataFrame], label: str) -> DataFrame:
+    """As staged(), of the rows of all parts (of one schema), each written before the next is asked for."""
+    path = None
+    for df in parts:
+        path = path or scratch_path(df.sparkSession, label)
+        df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session's setting within it; what it was comes back after."""
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def shuffles_dropped(spark: SparkSession) -> AbstractContextManager[None]:
+    """Within it, shuffle files go when the query that wrote them ends, not when the driver happens to collect its garbage."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Within it, Arrow batches of what is run hold at most so many rows, for long texts beside full heaps; the session's setting comes back after."""
@@ -65,10 +91,28 @@ def drop_caches(but: str) -> None:
     for f in kept:
         f.cache_clear()
     gc.collect()
-    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc keeps freed memory otherwise
+    give_back()
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system; Arrow and glibc keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
 
 
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow, giving back at the end of a task what it held: workers stay, idle, while the heap beside them fills in later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Remove a table made by staged() that no later plan reads."""
     spark = df.sparkSession

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import drop_caches, drop_scratch, small_batches, staged
+from .common import drop_caches, drop_scratch, lean, shuffles_dropped, small_batches, staged, staged_in_turns
 
 #: Words, each character of scripts without spaces by itself, and runs of signs.
 SCRIPTS = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿\U00020000-\U0003ffff"
@@ -46,6 +46,8 @@ POOLED, OWN = "*", "="
 MAX_LANGUAGES = 1000
 #: Bits of a key, bytes and documents of a block, model entries a shard.
 KEY_BITS, BLOCK_BYTES, BLOCK_DOCS, SHARD = 48, 3_000_000, 60_000, 250_000
+#: Models of this many entries and more meet their words, and the documents, in so many turns, of which each has its share of the rows on disk.
+TURNS, TURN_ENTRIES = 3, 2_000_000
 #: Trusted ids up to this number (8 bytes each) are broadcast; beyond it they are joined by merging.
 BROADCAST_IDS = 1_000_000
 #: One in so many trusted documents doesn't train, but sets the thresholds.
@@ -165,7 +167,7 @@ def pair_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                     size = 0
         yield from flush()
 
-    got = docs.select(lang_col, text_col).mapInArrow(run, "lang string, g long, n long")
+    got = docs.select(lang_col, text_col).mapInArrow(lean(run), "lang string, g long, n long")
     return got.groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
@@ -186,14 +188,52 @@ def discount_of(n: str) -> Column:
 
 
 class Model:
-    """The words and pairs of every model with their values, as a DataFrame; and log p(unknown) by model."""
+    """The words and pairs of every model with their values, packed by shard (the first `bits` of a key), as a DataFrame; and log p(unknown) by model."""
 
-    def __init__(self, values: DataFrame | None, unknown: dict[str, float], entries: int, scratch: list[DataFrame]):
-        self.values, self.unknown, self.entries, self.scratch = values, unknown, entries, scratch
+    def __init__(self, parts: DataFrame | None, unknown: dict[str, float], bits: int, turns: int):
+        self.parts, self.unknown, self.bits, self.turns = parts, unknown, bits, turns
 
     def drop(self) -> None:
-        for t in self.scratch:
-            drop_scratch(t)
+        if self.parts is not None:
+            drop_scratch(self.parts)
+
+
+def of_shards(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of the runs of ascending keys that are of one shard."""
+    where = keys >> np.uint64(KEY_BITS - bits)
+    first = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(keys) else np.zeros(0, np.int64)
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+        yield int(where[lo]), lo, hi
+
+
+def parts_of_model(values: DataFrame, bits: int) -> DataFrame:
+    """(shard, keys, counts): the keys of (l, g, value), packed, and their values as 32-bit floats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(keys)
+            keys, values = keys[order], values[order]
+            rows = [(sh, packed(np.diff(keys[lo:hi], prepend=np.uint64(0))), values[lo:hi].tobytes()) for sh, lo, hi in of_shards(keys, bits)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["shard", "keys", "counts"])
+
+        for b in batches:
+            codes = np.array([model_code(x) for x in b.column(0).to_pylist()], dtype=np.uint64)
+            held.append((keys_of(b.column(1).to_numpy().view(np.uint64), codes), b.column(2).to_numpy().astype("<f4")))
+            size += b.num_rows
+            if size > 400_000:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    return values.select("l", "g", "value").mapInArrow(lean(run), "shard long, keys binary, counts binary")
+
+
+def turn_of(turns: int, *cols: Column) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(turns))
 
 
 def fit(trusted: DataFrame, langs: DataFrame | None = None, text_col: str = "text", lang_col: str = "lang", min_tokens: int = 20_000) -> Model:
@@ -218,10 +258,12 @@ def fit(trusted: DataFrame, langs: DataFrame | None = None, text_col: str = "tex
             stats[POOLED] = r
         level2 = level2.unionByName(pooled)
     if not stats:
-        return Model(None, {}, 0, [pairs])
+        drop_scratch(pairs)
+        return Model(None, {}, 6, 1)
     cuts = spark.createDataFrame([(m, *discounts(*(r[f"n{i}"] for i in range(1, 5)))) for m, r in stats.items()], "l string, d1 double, d2 double, d3 double")
     # cuts and shares have a row a model, MAX_LANGUAGES + 1 at most
-    rows = level2.join(F.broadcast(cuts), "l").select("l", "g", "n", discount_of("n").alias("d"))
+    cut = lambda pairs: pairs.join(F.broadcast(cuts), "l").withColumn("d", discount_of("n"))
+    rows = cut(level2)
     before, after = F.shiftrightunsigned("g", 32), F.col("g").bitwiseAND(F.lit(0xFFFFFFFF))
     contexts = rows.groupBy("l", before.alias("x")).agg(F.sum("d").alias("off"), F.sum("n").alias("total"))
     ends = rows.groupBy("l", after.alias("x")).agg(F.count("*").alias("n"))
@@ -236,14 +278,28 @@ def fit(trusted: DataFrame, langs: DataFrame | None = None, text_col: str = "tex
     table = spark.createDataFrame(shares, "l string, d1 double, d2 double, d3 double, all double, left double")
     p = (F.col("n") - discount_of("n")) / F.col("all") + F.col("left")
     known = words.join(F.broadcast(table), "l").select("l", "x", "off", p.alias("p"), (F.log(p) - F.log("left") + F.log(F.col("off") / F.col("total"))).alias("value"))
-    of_word = known.select("l", F.col("x").alias("g"), "value")
+    of_word = known.select("l", F.col("x").alias("g"), F.col("value").cast("float").alias("value"))
     # merge joins at every size: words grow with the text, and so must not be broadcast
     first = known.select("l", F.col("x").alias("v"), "off").hint("merge")
     second = known.select("l", F.col("x").alias("w"), "p").hint("merge")
-    part = rows.withColumn("v", before).join(first, ["l", "v"]).select("l", "g", ((F.col("n") - F.col("d")) / F.col("off")).alias("part"))
-    of_pair = part.withColumn("w", after).join(second, ["l", "w"]).select("l", "g", F.log1p(F.col("part") / F.col("p")).alias("value"))
     entries = sum(r["types"] for r in stats.values())  # of pairs; words are fewer
-    return Model(of_word.unionByName(of_pair), unknown, entries, [pairs, words])
+    turns = TURNS if entries >= TURN_ENTRIES else 1
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(6, (4 * n).bit_length() - 1, math.ceil(math.log2(max(1, entries) / SHARD)))
+
+    def values(turn: int) -> DataFrame:
+        # discounts are joined once more, after the first join: they need not go through its shuffle
+        some = level2.select("l", "g", "n", before.alias("v"), after.alias("w")).where(turn_of(turns, F.col("w")) == turn)
+        part = cut(some.join(first, ["l", "v"])).select("l", "g", "w", ((F.col("n") - F.col("d")) / F.col("off")).cast("float").alias("part"))
+        of_pair = part.join(second.where(turn_of(turns, F.col("w")) == turn).hint("merge"), ["l", "w"]).select("l", "g", F.log1p(F.col("part") / F.col("p")).cast("float").alias("value"))
+        return of_word.where(turn_of(turns, F.col("g")) == turn).unionByName(of_pair)
+
+    parts = staged_in_turns((parts_of_model(values(turn), bits) for turn in range(turns)), "kn-model")
+    drop_scratch(pairs)
+    drop_scratch(words)
+    if POOLED in stats:
+        drop_scratch(pooled)
+    return Model(parts, unknown, bits, turns)
 
 
 #: kind 0: a part of the model (keys, values); 1: keys of a block's documents; 2: the documents of a block; 3: their partial sums.
@@ -257,38 +313,11 @@ def perplexities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
     schema = ROW.format(kind)
     arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(6, (4 * n).bit_length() - 1, math.ceil(math.log2(max(1, model.entries) / SHARD)))
-    down = np.uint64(KEY_BITS - bits)
-    unknown = model.unknown  # what tasks are sent must not hold the model's DataFrames
+    bits, unknown = model.bits, model.unknown  # what tasks are sent must not hold the model's DataFrames
 
     def table(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in arrow], schema=arrow)
 
-    def of_shards(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        where = keys >> down
-        first = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(keys) else np.zeros(0, np.int64)
-        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
-            yield int(where[lo]), lo, hi
-
-    def parts_of_model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(keys)
-            keys, values = keys[order], values[order]
-            return table([{"shard": sh, "kind": 0, "block": 0, "keys": packed(np.diff(keys[lo:hi], prepend=np.uint64(0))), "counts": values[lo:hi].tobytes()} for sh, lo, hi in of_shards(keys)])
-
-        for b in batches:
-            codes = np.array([model_code(x) for x in b.column(0).to_pylist()], dtype=np.uint64)
-            held.append((keys_of(b.column(1).to_numpy().view(np.uint64), codes), b.column(2).to_numpy().astype("<f4")))
-            size += b.num_rows
-            if size > 400_000:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
-
     def parts_of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_caches(__name__)
         made, words = 0, Words()
@@ -318,7 +347,7 @@ def perplexities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
                 yield table(
                     [
                         {"shard": sh, "kind": 1, "block": block, "n_docs": hi - lo, "keys": packed(np.diff(keys[x:y], prepend=np.uint64(0))), "counts": packed(counts[x:y]), "docs": packed(step[ends[x] : ends[y]])}
-                        for sh, x, y in of_shards(keys)
+                        for sh, x, y in of_shards(keys, bits)
                     ]
                 )
                 yield table(
@@ -379,11 +408,11 @@ def perplexities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
         if head:
             yield done()
 
-    parts = docs.select(F.col(id_col), F.col(lang_col), F.col(text_col)).mapInArrow(parts_of_docs, schema)
-    if model.values is not None:
-        parts = parts.unionByName(model.values.select("l", "g", "value").mapInArrow(parts_of_model, schema))
-    sums = parts.repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(answer, schema)
-    got = sums.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(summed, f"i {kind}, l string, model string, perplexity double, n_coded long, held boolean")
+    parts = docs.select(F.col(id_col), F.col(lang_col), F.col(text_col)).mapInArrow(lean(parts_of_docs), schema)
+    if model.parts is not None:
+        parts = parts.unionByName(model.parts.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"), "keys", "counts"), allowMissingColumns=True)
+    sums = parts.repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lean(answer), schema)
+    got = sums.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(lean(summed), f"i {kind}, l string, model string, perplexity double, n_coded long, held boolean")
     return got.withColumnsRenamed({"i": id_col, "l": lang_col})
 
 
@@ -427,9 +456,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
     held = F.coalesce(F.crc32(F.col(text_col).cast("binary")) % HELD_OUT == 0, F.lit(False))
     size_class = sum((F.col("n_coded") >= n).cast("int") for n in LENGTHS)
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), shuffles_dropped(docs.sparkSession):
         model = fit(docs.where(~held).select(id_col, lang_col, text_col).join(ids, id_col, "left_semi"), docs, text_col, lang_col, min_tokens)
-        scored = staged(perplexities(docs, model, id_col, text_col, lang_col).withColumn("size_class", size_class), "kn-scores")
+        turn = turn_of(model.turns, F.col(text_col), F.col(id_col))  # by its values, so that rows stay in their turn if a task runs again
+        scored = staged_in_turns((perplexities(docs.where(turn == i) if model.turns > 1 else docs, model, id_col, text_col, lang_col).withColumn("size_class", size_class) for i in range(model.turns)), "kn-scores")
     model.drop()
     trusted = scored.join(ids, id_col, "left_semi")
     limit = thresholds(trusted.where("held"), quantile, margin, least) or thresholds(trusted, quantile, margin, least)

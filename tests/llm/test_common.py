@@ -25,3 +25,33 @@ def test_caches_of_other_modules_go():
     minhash.draws(), quality.model_code("x")
     common.drop_caches(quality.__name__)
     assert minhash.draws.cache_info().currsize == 0 and quality.model_code.cache_info().currsize == 1
+
+
+def test_turns_drop_their_shuffles(spark):
+    import os
+    import time
+
+    from quillstack.llm.common import shuffles_dropped, staged_in_turns
+
+    top = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f for d in top for _, _, names in os.walk(d.getPath()) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before, left = spark.conf.get(key), files(), []
+
+    def count():
+        for _ in range(100):  # files go soon after
+            if not files() - before:
+                break
+            time.sleep(0.1)
+        return len(files() - before)
+
+    def parts():
+        for i in range(3):
+            left.append(count())
+            yield spark.range(9000).where(F.col("id") % 3 == i).repartition(5, "id")
+
+    with shuffles_dropped(spark):
+        got = staged_in_turns(parts(), "t-turns")
+    assert spark.conf.get(key) == was
+    assert left == [0, 0, 0] and count() == 0
+    assert got.agg(F.count("*"), F.countDistinct("id")).first() == (9000, 9000)

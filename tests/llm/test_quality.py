@@ -104,3 +104,19 @@ def test_documents_that_set_thresholds_do_not_train(spark, monkeypatch):
     close([got[i] for i in range(60)], brute([t for t in texts if not is_held_out(t)], texts))
     monkeypatch.setattr(quality, "BROADCAST_IDS", 0)  # ids joined by merging
     assert {r.doc_id: pytest.approx(r.perplexity, rel=1e-6) for r in classify(docs, labels, min_tokens=1).collect()} == got
+
+
+def test_turns_change_nothing(spark, monkeypatch):
+    docs = [(i, prose(60), "en") for i in range(300)] + [(1000, "### $$$ %%% &&& " * 30, "en"), (1001, "", "xx"), (1002, None, "en"), (1003, prose(60), None), (None, prose(40), "en"), (None, None, None)]
+    d = spark.createDataFrame(docs + docs[:40], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.lang or "", r.perplexity or 0)
+    one = sorted(classify(d, labels, min_tokens=1_000).collect(), key=key)
+    turns, models = [], quality.perplexities
+    monkeypatch.setattr(quality, "TURN_ENTRIES", 1)
+    monkeypatch.setattr(quality, "perplexities", lambda docs, *a: turns.append(docs) or models(docs, *a))
+    more = sorted(classify(d, labels, min_tokens=1_000).collect(), key=key)
+    assert len(turns) == quality.TURNS and len(more) == len(one) == d.count()
+    for a, b in zip(one, more, strict=True):
+        assert (a.doc_id, a.lang, a.accepted) == (b.doc_id, b.lang, b.accepted)
+        assert b.perplexity == (None if a.perplexity is None else pytest.approx(a.perplexity, rel=1e-5))
