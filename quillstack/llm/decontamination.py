@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Words, and each character of scripts that are written without spaces.
 SCRIPTS = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿\U00020000-\U0003ffff"
 WORD = re.compile(rf"[{SCRIPTS}]|[^\W{SCRIPTS}]+")
@@ -238,6 +240,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         from pyspark.sql.pandas.types import to_arrow_type
 
         item_type = to_arrow_type(benchmark.schema[item_col].dataType)
-        got = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, item {item_kind}, n_words long, edits long")
+        got = docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, item {item_kind}, n_words long, edits long")
         out = got if out is None else out.unionByName(got)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_words", "edits")

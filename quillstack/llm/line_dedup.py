@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import lean, staged
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LAST = 2**63 - 1  # where rows without an id stand in the order
@@ -128,7 +128,7 @@ def _later_of_near(lines: DataFrame, places: DataFrame) -> DataFrame:
                         [pa.array(keys[lo : lo + k]), pa.array(at[lo : lo + k]), pa.array(np.full(k, hi)), pa.array(np.full(k, di)), pa.array(np.full(k, ii, dtype=np.int32))], names=["k", "at", "h", "d", "i"]
                     )
 
-    v = texts.select("d", "i", "h", "line").mapInArrow(variants, "k long, at int, h long, d long, i int").withColumn("me", F.struct("d", "i", "h"))
+    v = texts.select("d", "i", "h", "line").mapInArrow(lean(variants), "k long, at int, h long, d long, i int").withColumn("me", F.struct("d", "i", "h"))
     # of each key and place the earliest line, and of each key the earliest deletion and the line itself
     sub = v.where("at >= 0").groupBy("k", "at").agg(F.min("me").alias("e"), F.max("h").alias("x"), F.min("h").alias("y")).where("x <> y")
     full = v.where("at < 0").groupBy("k").agg(F.min("me").alias("f"))
@@ -173,7 +173,7 @@ def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), n, pa.array(removed)], names=["rest", "t", "n", "r"])
 
     kind = joined.schema["rest"].dataType.simpleString()
-    done = joined.select("rest", "t", "i", "h").mapInArrow(run, f"rest {kind}, t string, n long, r long")
+    done = joined.select("rest", "t", "i", "h").mapInArrow(lean(run), f"rest {kind}, t string, n long, r long")
     return done.select(*(F.col("t").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in columns), F.col("n").alias(out_lines), F.col("r").alias(out_removed))
 
 

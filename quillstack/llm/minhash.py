@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_caches, drop_scratch, staged
+from .common import components, drop_caches, drop_scratch, lean, staged
 
 WORDS_IN_SHINGLE = 5
 BANDS, ROWS = 12, 3
@@ -157,7 +157,7 @@ def cell_counts(texts: DataFrame) -> DataFrame:
             yield done()
 
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts.mapInArrow(count, "k long, n binary").repartition(n, "k").sortWithinPartitions("k").mapInArrow(add, "k long, n binary")
+    return texts.mapInArrow(lean(count), "k long, n binary").repartition(n, "k").sortWithinPartitions("k").mapInArrow(lean(add), "k long, n binary")
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> Frequencies:
@@ -179,7 +179,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> Frequencies
                 yield pa.RecordBatch.from_arrays([pa.array(k * ROW_CELLS + np.flatnonzero(1 + np.frombuffer(n.as_py(), dtype=np.int64) > bound))], names=["cell"])
 
     some = np.zeros(1 << CELL_BITS, dtype=bool)
-    some[cells.where("k >= 0").mapInArrow(above, "cell long").toArrow()["cell"].to_numpy()] = True
+    some[cells.where("k >= 0").mapInArrow(lean(above), "cell long").toArrow()["cell"].to_numpy()] = True
     drop_scratch(cells)
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(some))
 
@@ -199,7 +199,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> Frequencies
         if held:
             yield unit()
 
-    counts = texts.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(lean(count), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     got = counts.where(1 + F.col("n") > bound).toArrow()  # see SHARE for how many there are
     return Frequencies(got["s"].to_numpy().view(np.uint64), got["n"].to_numpy(), n_docs)
 
@@ -263,7 +263,7 @@ def signatures(docs: DataFrame, idf: Frequencies, id_col: str, text_col: str, ba
 
     t = F.col(text_col)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(t).alias("x"), F.xxhash64(t, F.lit(77)).alias("y"), F.length(t).alias("n"), t.alias("t"))
-    return rows.mapInArrow(run, "id long, x long, y long, n int, bands array<long>")
+    return rows.mapInArrow(lean(run), "id long, x long, y long, n int, bands array<long>")
 
 
 def similarity(sh: Shingles, a: str, b: str, idf: Frequencies) -> float:
@@ -323,7 +323,7 @@ def packed_texts(rows: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())], names=["id", "t"])
 
-    return rows.select("id", "t").mapInArrow(run, "id long, t binary")
+    return rows.select("id", "t").mapInArrow(lean(run), "id long, t binary")
 
 
 def linked(blocks: DataFrame, texts: DataFrame, idf: Frequencies, least: float) -> DataFrame:
@@ -365,7 +365,7 @@ def linked(blocks: DataFrame, texts: DataFrame, idf: Frequencies, least: float)
     n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # merge joins at every size: what they join grows with the documents, and so must not be broadcast
     rows = blocks.join(texts.hint("merge"), "id").select("bucket", "a", "b", "id", "comp", "t")
-    return rows.repartition(n, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "id").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(n, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "id").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def part_of(parts: Column, salt: int = 5) -> Column:

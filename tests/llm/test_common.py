@@ -27,6 +27,27 @@ def test_caches_of_other_modules_go():
     assert minhash.draws.cache_info().currsize == 0 and quality.model_code.cache_info().currsize == 1
 
 
+def test_lean_gives_back():
+    import numpy as np
+    from quillstack.llm.common import lean
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    kept = []
+
+    def hold(batches):
+        for b in batches:
+            some = [np.ones(64 << 10, np.uint8) for _ in range(3000)]
+            kept.append(some[-1])  # lies above all that is freed, which glibc by itself keeps then
+            yield b
+
+    was = resident()
+    assert list(lean(hold)(iter([1, 2]))) == [1, 2]
+    assert resident() - was < 100
+
+
 def test_turns_drop_their_shuffles(spark):
     import os
     import time
