@@ -14,13 +14,11 @@ pair of bucket mates of different classes is left uncompared.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,27 +38,48 @@ SPOKESMEN = 8
 #: Similarities this close below the bound reach it.
 ROUNDING = 1e-9
 DRAWS = 1 << 16
-WORD = re.compile(r"\w+")
 
 
-class Shingles:
-    """Hashes of a text's shingles; a bounded cache keeps the hashes of words."""
+@lru_cache(maxsize=1)
+def word_characters() -> np.ndarray:
+    """For each code point whether it is one of words, as \\w of regular expressions has it."""
+    out = np.fromiter(map(str.isalnum, map(chr, range(0x110000))), dtype=bool, count=0x110000)
+    out[ord("_")] = True
+    return out
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """x with its bits mixed, in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """One hash for each word, in order: the sum of hashes of its characters, each with its place in the word; no word is kept."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    inside = word_characters()[c]
+    start = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64)
+    c, inside, start = c[start[0] :], inside[start[0] :], start - start[0]
+    place = np.arange(len(c)) - np.repeat(start, np.diff(start, append=len(c)))
+    x = (place.astype(np.uint64) << np.uint64(21)) + c
+    x += np.uint64(1)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x = mixed(x)
+    x *= inside
+    return mixed(np.add.reduceat(x, start))
 
-    def __init__(self):
-        self.cache: dict[str, int] = {}
+
+class Shingles:
+    """Hashes of a text's shingles."""
 
     def of(self, text: str) -> np.ndarray:
         """One hash for each run of five words, in order; a shorter text is one shingle of all its words."""
-        words = WORD.findall(text.lower())
-        if len(self.cache) > 300_000:
-            self.cache.clear()
-        cache = self.cache
-        try:
-            w = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
-        except KeyError:
-            for x in set(words).difference(cache):
-                cache[x] = xxhash.xxh3_64_intdigest(x)
-            w = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+        w = word_hashes(text.lower())
         n = max(1, len(w) - WORDS_IN_SHINGLE + 1) if len(w) else 0
         s = np.zeros(n, dtype=np.uint64)
         for k in range(min(WORDS_IN_SHINGLE, len(w))):
@@ -105,13 +124,20 @@ class Frequencies:
         return self.idf[np.where(known, at, -1)]
 
 
-def held_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
-    """The distinct shingles of each document that has text, those of some documents at a time, and how many documents these are."""
+def distinct(s: np.ndarray) -> np.ndarray:
+    """As np.unique, which hashes integers and takes several times as long."""
+    s = np.sort(s)
+    return s[np.append(True, s[1:] != s[:-1])] if len(s) else s
+
+
+def held_shingles(batches: Iterator[pa.RecordBatch], some: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, int]]:
+    """The distinct shingles (of some cells) of each document that has text, those of some documents at a time, and how many documents these are."""
     sh, held, size = shingles(), [], 0
     for b in batches:
         for t in b.column(0).to_pylist():
             if t:
-                held.append(np.unique(sh.of(t)))
+                s = sh.of(t)
+                held.append(distinct(s if some is None else s[some[cells_of(s)]]))
                 size += len(held[-1])
                 if size >= HELD:
                     yield np.concatenate(held), len(held)
@@ -132,7 +158,8 @@ def cell_counts(texts: DataFrame) -> DataFrame:
         drop_caches(__name__)
         total, docs = np.zeros(1 << CELL_BITS, dtype=np.int32), 0
         for s, k in held_shingles(batches):
-            np.add.at(total, cells_of(s), 1)
+            cell, n = np.unique(cells_of(s), return_counts=True)
+            total[cell] += n.astype(np.int32)
             docs += k
         z = zstandard.ZstdCompressor(level=1)
         parts = [(-1, np.array([docs], dtype=np.int32)), *((k, part) for k, part in enumerate(total.reshape(-1, ROW_CELLS)) if part.any())] if docs else []
@@ -156,8 +183,8 @@ def cell_counts(texts: DataFrame) -> DataFrame:
         if key is not None:
             yield done()
 
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts.mapInArrow(lean(count), "k long, n binary").repartition(n, "k").sortWithinPartitions("k").mapInArrow(lean(add), "k long, n binary")
+    # no number of partitions is given: by size they are few, and so are files, for each of which an executor starts chmod
+    return texts.mapInArrow(lean(count), "k long, n binary").repartition("k").sortWithinPartitions("k").mapInArrow(lean(add), "k long, n binary")
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> Frequencies:
@@ -184,20 +211,10 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> Frequencies
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(some))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some, held, size = np.unpackbits(shared.value).astype(bool), [], 0
-
-        def unit() -> pa.RecordBatch:
-            s, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n)], names=["s", "n"])
-
-        for s, _ in held_shingles(batches):
-            held.append(s[some[cells_of(s)]])
-            size += len(held[-1])
-            if size >= HELD:
-                yield unit()
-                held, size = [], 0
-        if held:
-            yield unit()
+        some = np.unpackbits(shared.value).astype(bool)
+        for s, _ in held_shingles(batches, some):
+            s, n = np.unique(s, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n)], names=["s", "n"])
 
     counts = texts.mapInArrow(lean(count), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     got = counts.where(1 + F.col("n") > bound).toArrow()  # see SHARE for how many there are

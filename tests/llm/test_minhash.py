@@ -1,4 +1,6 @@
 import random
+import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -57,6 +59,44 @@ def test_sampling_estimates_similarity():
     assert similarity(sh, a, a, idf) == 1 and similarity(sh, a, "", idf) == 0
 
 
+def test_words_are_hashed_and_none_is_kept():
+    words = re.findall(r"\w+", (text := "Ab_1, ab_1  é漢字 x🙂y\n_ a ba ab ٣").lower())
+    got = mh.word_hashes(text.lower()).tolist()
+    assert len(got) == len(words) and len(set(got)) == len(set(words)) and all((g == h) == (v == w) for g, v in zip(got, words) for h, w in zip(got, words))
+    assert not len(Shingles().of("")) and not len(Shingles().of(" !?")) and len(Shingles().of("one")) == 1
+    sh = Shingles()
+    sh.of("warm up")
+    tracemalloc.start()
+    try:
+        for k in range(30):
+            sh.of(" ".join(f"w{k}x{i}" for i in range(5000)))
+        assert tracemalloc.get_traced_memory()[0] < 2e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_cells_take_few_files(spark, monkeypatch):
+    """Executors start a chmod for each file they write, which for a moment counts with all memory of the one that starts it."""
+    files = []
+
+    def staged(df, label):
+        out = was(df, label)
+        files.append((label, len(out.inputFiles())))
+        return out
+
+    was = mh.staged
+    monkeypatch.setattr(mh, "staged", staged)
+    r = random.Random(5)
+    df = spark.createDataFrame([(prose(r, 30),) for _ in range(400)], "text string")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        document_frequencies(df)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert [label for label, _ in files] == ["mh-cells"] and files[0][1] <= 4
+
+
 def test_forest():
     near = np.zeros((6, 6), bool)
     for i, j in ((0, 1), (1, 2), (3, 4), (0, 2)):
