@@ -3,17 +3,20 @@
 The model's protobuf is parsed here, field by field; from it come the normaliser, the metaspace marker,
 the unigram scores or (for a BPE model) the merges in order of score, and the byte fallback.  Since no
 piece holds the marker after another character, a text falls apart before each run of markers into
-words that are encoded alone: each batch's new words go through encode_batch, on as many threads as the
-backend has, and are kept in a bounded cache.  Parity: every new word's ids are held against those of
-the sentencepiece package.
+words that are encoded alone: each batch's new words go through encode_batch_fast, in a task on one thread
+unless TOKENIZERS_PARALLELISM says otherwise, and are kept in a bounded cache.  Parity: every new word's
+ids are held against those of the sentencepiece package, and their bytes against the word's own.
 """
 
 from __future__ import annotations
 
+import gc
+import os
 import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -84,10 +87,12 @@ class PieceModel:
         self.backend = self._backend()
         self.normaliser = normalizers.Precompiled(self.charsmap) if self.charsmap else None
         self.bytes = [self._bytes(i) for i in range(len(self.pieces))]
+        self.sizes = np.array([len(x) for x in self.bytes])
         self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.odd: set[str] = set()  # words without parity, of those in the caches
+        self.torn: set[str] = set()  # likewise words that their ids don't give back
         self.peer = None
         if parity:
             import sentencepiece
@@ -134,20 +139,46 @@ class PieceModel:
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
 
     def learn(self, words: list[str]) -> None:
-        """Encode words not met before, as one multithreaded batch, and note those that sentencepiece encodes otherwise."""
-        got = self.backend.encode_batch(words, add_special_tokens=False)
-        ids = [e.ids for e in got]
+        """Encode words not met before, as one batch, and note those that sentencepiece encodes otherwise, and those that their ids don't give back."""
+        collects = gc.isenabled()
+        gc.disable()  # the many lists below are no garbage yet
+        try:
+            self._learn(words)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _learn(self, words: list[str]) -> None:
+        ids = [e.ids for e in self.backend.encode_batch_fast(words, add_special_tokens=False)]
         if self.peer and self.prefix:
-            for w, own, other in zip(words, ids, self.peer.encode([w[1:].replace(MARK, " ") if w[0] == MARK else w for w in words], num_threads=1), strict=True):
-                if own != other and w[0] == MARK and w[1:] and not (self.squeeze and w[1] == MARK):
-                    self.odd.add(w)
-        self.cache.update((w, np.array(i, dtype="<i4").tobytes()) for w, i in zip(words, ids, strict=True))
+            other = self.peer.encode([w[1:].replace(MARK, " ") if w[0] == MARK else w for w in words], num_threads=1)
+            if ids != other:
+                for w, x, y in zip(words, ids, other, strict=True):
+                    if x != y and w[0] == MARK and w[1:] and not (self.squeeze and w[1] == MARK):
+                        self.odd.add(w)
+        flat = list(chain.from_iterable(ids))
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        text = np.append(0, np.cumsum(self.sizes[flat]))[ends]  # where the bytes of each word end
+        wanted = [w.replace(MARK, " ").encode("utf-8") for w in words]
+        if b"".join(map(self.bytes.__getitem__, flat)) != b"".join(wanted) or (text != np.cumsum(np.fromiter(map(len, wanted), np.int64, len(words)))).any():
+            self.torn.update(w for w, x, t in zip(words, ids, wanted, strict=True) if b"".join(map(self.bytes.__getitem__, x)) != t)
+        raw, ends = np.array(flat, dtype="<i4").tobytes(), (4 * ends).tolist()
+        self.cache.update(zip(words, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[int]]:
         """The ids of each text, as the bytes of 32-bit integers, and how many of its distinct words have no parity."""
+        return self.checked(texts)[:2]
+
+    def checked(self, texts: list[str]) -> tuple[list[bytes], list[int], list[bool]]:
+        """As encode(), and whether decoding the ids gives each text back.
+
+        A text's ids are those of its words one after the other, so their bytes are the text's where each
+        word's are the word's, which is looked at as it is learned; a text with other words is decoded.
+        """
         if len(self.cache) > KEPT:  # the words met since the last change stay one turn longer
             self.older, self.cache = self.cache, {}
             self.odd &= self.older.keys()
+            self.torn &= self.older.keys()
         split = [self.words.findall(self.marked(t)) for t in texts]
         fresh = set().union(*split).difference(self.cache)
         known = fresh & self.older.keys()
@@ -156,7 +187,13 @@ class PieceModel:
         for i in range(0, len(some), 20_000):
             self.learn(some[i : i + 20_000])
         get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split], [len(self.odd.intersection(words)) if self.odd else 0 for words in split]
+        raw = [b"".join(map(get, words)) for words in split]
+        same = [not self.torn or self.torn.isdisjoint(words) or self.gives_back(t, r) for t, words, r in zip(texts, split, raw, strict=True)]
+        return raw, [len(self.odd.intersection(words)) if self.odd else 0 for words in split], same
+
+    def gives_back(self, text: str, raw: bytes) -> bool:
+        want = self.marked(text).replace(MARK, " ")
+        return self.decode(np.frombuffer(raw, dtype="<i4").tolist()) == (want[1:] if self.prefix else want)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, ids outside the vocabulary raise."""
@@ -186,7 +223,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """One row per row of docs: the id, ids array<int>, n_tokens, round_trip, and parity_misses.
 
     round_trip: decoding the ids gives the text back (as normalised by the model; byte fallback makes
-    this true of every text).  No begin or end pieces.  Null and empty texts have no ids and round_trip
+    this true of every text), see PieceModel.checked.  No begin or end pieces.  Null and empty texts have no ids and round_trip
     true.  parity_misses: how many distinct words of the text sentencepiece encodes otherwise (the ids are
     the backend's all the same; 0 where all agree).  No shuffle; repeated rows stay; other columns are not
     read.
@@ -194,19 +231,16 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_caches(__name__)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks fill the cores already
         m = model(path)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             at = 0
             for some in _pieces_of(texts, batch_chars):
-                raw, misses = m.encode(some)
+                raw, misses, same = m.checked(some)
                 sizes = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
                 flat = np.frombuffer(b"".join(raw), dtype="<i4")
                 ends = np.concatenate([[0], np.cumsum(sizes)])
-                same = []
-                for t, lo, hi in zip(some, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                    want = m.marked(t).replace(MARK, " ")
-                    same.append(m.decode(flat[lo:hi].tolist()) == (want[1:] if m.prefix else want))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, len(some)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), pa.array(sizes), pa.array(same, pa.bool_()), pa.array(misses, pa.int32())],
                     names=[id_col, "ids", "n_tokens", "round_trip", "parity_misses"],

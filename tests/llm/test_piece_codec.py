@@ -38,6 +38,26 @@ def test_parity_is_counted_and_words_come_and_go(monkeypatch):
         own.encode(["some other words that fill the cache"])
 
 
+def test_round_trips_are_told_by_words(monkeypatch):
+    """Of each new word once; only texts with a word that its ids don't give back are decoded."""
+    own, decoded = PieceModel(PATH), []
+    was = own.decode
+    monkeypatch.setattr(own, "decode", lambda ids: decoded.append(ids) or was(ids))
+    raw, _, same = own.checked([*TEXTS, *TEXTS])
+    assert all(same) and not own.torn and not decoded
+    assert [was(np.frombuffer(x, "<i4").tolist()) for x in raw] == [t.replace("▁", " ") for t in [*TEXTS, *TEXTS]]
+    # a piece that decodes to other bytes of the same size, and one to fewer
+    for other in (b" zq", b""):
+        own = PieceModel(PATH)
+        broken = own.backend.encode("▁ab", add_special_tokens=False).ids[-1]
+        own.bytes[broken] = other
+        own.sizes[broken] = len(other)
+        texts = ["an ab", "ab", "an", "", "ab an"]
+        for _ in range(2):  # learned, and from the cache
+            raw, _, same = own.checked(texts)
+            assert same == [own.decode(np.frombuffer(x, "<i4").tolist()) == t for t, x in zip(texts, raw)] == [False, False, True, True, False]
+
+
 def test_frame_round_trip(spark):
     rows = [(i, t, [1]) for i, t in enumerate(TEXTS)] + [(3, "a", [2]), (None, None, None)]
     out = encode(spark.createDataFrame(rows, "doc_id long, text string, ids array<int>"), PATH)
