@@ -33,6 +33,21 @@ def test_sanitized():
     assert once == sanitized(once) == "<ul><li>a</li><li>b</li></ul><p>c</p><p>d &amp;amp;</p>"
 
 
+def test_references_without_a_semicolon(spark):
+    from pyspark.sql import functions as F
+
+    from quillstack.functions.text import strip_markup
+
+    texts = ["a&amp;&amp", "a &amp b &copy; &ampx; &amp>c", "&am &a &quo &#39 &#39; &#x27g &lt", "a&b < c &amp d", "&amp;amp &nosuch; &amp;lt;i&amp;gt;"]
+    kept = ["a&amp;&amp", "a &amp b © &ampx; &amp&gt;c", "&amp;am &amp;a &amp;quo &#39 ' &#x27g &lt", "a&amp;b &lt; c &amp d", "&amp;amp &amp;nosuch; &amp;lt;i&amp;gt;"]
+    assert [sanitized(f"<p>{x}</p>") for x in texts] == [f"<p>{x}</p>" for x in kept]
+    # a browser shows the same, and so does what resolves ended references only
+    assert [plain(sanitized(x)) for x in texts] == [plain(x) for x in texts]
+    d = spark.createDataFrame([(x, sanitized(x)) for x in texts], "a string, b string")
+    assert [r for r in d.select(strip_markup("a").alias("a"), strip_markup("b").alias("b")).collect() if r.a != r.b] == []
+    assert sanitized('<a href="java&#115cript:x()">x</a>') == "<a>x</a>" and sanitized("x &lt<b") == "x &lt&lt;b"
+
+
 def test_sections_and_lists():
     assert list(markup.sections("<h3 id=a>T</h3>\n<h4>S</h4> <p>A<b>x</b></p><h3>no id</h3><h4>S</h4><p>A</p><h3 id=b>T</h3>text<h4>S</h4><p>A</p>")) == [(0, "T", "S", "A<b>x</b>")]
     assert list(markup.listed_meetings('<ul><li><a href="2020-03/">March</a> - Here - There - Canceled</li><li><a href="x/">no</a></li><li><b><a href=\'2021-04-05\'>Day</a></b></ul>')) == [(0, "2020-03", "March", "Here - There"), (2, "2021-04-05", "Day", "")]
