@@ -54,6 +54,15 @@ def staged_in_turns(parts: Iterable[DataFrame], label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df for a join by merging, at every size.
+
+    What an explode, a Python function or a compressed file gives is many times what Spark takes it for from its
+    input, so that by Spark's own choice it would be broadcast, through the driver, at tens of times the threshold.
+    """
+    return df.hint("merge")
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """The session's setting within it; what it was comes back after."""

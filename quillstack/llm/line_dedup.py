@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, staged
+from .common import lean, merged, staged
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LAST = 2**63 - 1  # where rows without an id stand in the order
@@ -70,7 +70,7 @@ def shared_only(lines: DataFrame, parts: int) -> DataFrame:
     """h of those lines (h, line; h distinct) that share a key of part_keys with another."""
     keys = lines.select("h", F.explode(part_keys(F.col("line"), parts)).alias("k"))
     met = keys.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("k")
-    return keys.join(met, "k", "left_semi").select("h").distinct()
+    return keys.join(merged(met), "k", "left_semi").select("h").distinct()
 
 
 def document_key(id_col: str, text_col: str) -> tuple[Column, Column]:
@@ -111,7 +111,7 @@ def _later_of_near(lines: DataFrame, places: DataFrame) -> DataFrame:
     # k before p: the aggregation on keys needs numbers only, and first places are asked of what is left
     coarse = places.where("keys is not null").select("h", F.explode("keys").alias("k"))
     met = coarse.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("k")
-    left = coarse.join(met, "k", "left_semi").select("h").distinct()
+    left = coarse.join(merged(met), "k", "left_semi").select("h").distinct()
     some = places.select("d", "i", "h").join(left, "h", "left_semi").groupBy("h").agg(F.min(F.struct("d", "i")).alias("p")).select("h", "p.d", "p.i")
     texts = staged(lines.select("h", "d", "i", "line").join(some, ["h", "d", "i"], "left_semi").dropDuplicates(["h"]), "lines-texts")
     texts = staged(texts.join(shared_only(texts, 16), "h", "left_semi"), "lines-close")
@@ -133,15 +133,15 @@ def _later_of_near(lines: DataFrame, places: DataFrame) -> DataFrame:
     sub = v.where("at >= 0").groupBy("k", "at").agg(F.min("me").alias("e"), F.max("h").alias("x"), F.min("h").alias("y")).where("x <> y")
     full = v.where("at < 0").groupBy("k").agg(F.min("me").alias("f"))
     cut = v.where("at >= 0").groupBy("k").agg(F.min("me").alias("c"))
-    both = full.join(cut, "k")
+    both = full.join(merged(cut), "k")
     hits = (
-        v.join(sub, ["k", "at"]).where("me > e").select("h", F.col("e.h").alias("w"))
+        v.join(merged(sub), ["k", "at"]).where("me > e").select("h", F.col("e.h").alias("w"))
         .unionByName(both.where("f > c").select(F.col("f.h").alias("h"), F.col("c.h").alias("w")))
-        .unionByName(v.where("at >= 0").join(both, "k").where("me > f").select("h", F.col("f.h").alias("w")))
+        .unionByName(v.where("at >= 0").join(merged(both), "k").where("me > f").select("h", F.col("f.h").alias("w")))
         .distinct()
     )
     t = texts.select("h", "line")
-    near = hits.join(t, "h").join(t.select(F.col("h").alias("w"), F.col("line").alias("other")), "w").where((F.levenshtein("line", "other", 1) >= 0))
+    near = hits.join(merged(t), "h").join(merged(t.select(F.col("h").alias("w"), F.col("line").alias("other"))), "w").where((F.levenshtein("line", "other", 1) >= 0))
     return near.select("h").distinct().withColumn("near", F.lit(True))
 
 

@@ -88,3 +88,16 @@ def test_short_lines(spark):
         m.setattr(queries, "table", lambda *_: d)
         assert {r.doc_id: r.text for r in queries.op7_line_dedup(spark, "").collect()} == want
     assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, d, "").collect()} == {1: want[1], 2: want[2]}
+
+
+def test_no_deletions_are_broadcast(spark, monkeypatch):
+    """By Spark's own choice: it takes what explodes and Python functions give for little more than their input."""
+    from quillstack.llm import line_dedup
+
+    plans = {}
+    plan_of = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(line_dedup, "staged", lambda d, label, _f=line_dedup.staged: plans.update({label: plan_of(d)}) or _f(d, label))
+    d = spark.createDataFrame([(i, t) for i, t in corpus(3) if i is not None], "doc_id long, text string")
+    plans[""] = plan_of(drop_duplicate_lines(d))
+    assert "Broadcast" not in plans["lines-near"] and plans["lines-near"].count("SortMergeJoin") >= 5
+    assert all("SortMergeJoin [k" in plans[x] for x in ("lines-texts", "lines-close")) and not any("BroadcastHashJoin [k" in p for p in plans.values())
