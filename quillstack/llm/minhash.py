@@ -425,7 +425,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     idf = document_frequencies(rows, "t")
     sigs = staged(signatures(rows, idf, "id", "t"), "mh-signatures")
     of_text = sigs.groupBy("x", "y", "n").agg(F.min("id").alias("rep"))
-    copies = staged(sigs.select("id", "x", "y", "n").join(of_text, ["x", "y", "n"]).select("id", "rep", "x").distinct(), "mh-copies")
+    copies = staged(sigs.select("id", "x", "y", "n").join(of_text.hint("merge"), ["x", "y", "n"]).select("id", "rep", "x").distinct(), "mh-copies")
     own = copies.where("id = rep").select("id", "x").hint("merge")
     reps = sigs.join(own, ["id", "x"], "left_semi").dropDuplicates(["id"])
     banded = staged(reps.select("id", "n", F.posexplode("bands").alias("band", "key")), "mh-bands")

@@ -89,3 +89,17 @@ def test_near_duplicates_weigh_common_words_however_documents_are_dealt(spark):
     for parts in (60, 1):
         docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string, lang string, source string, n_chars long")
         assert corpus_pipeline.near_duplicate_stage(spark, docs, "").count() == 60
+
+
+def test_no_stage_broadcasts_keys_of_its_documents(spark, monkeypatch):
+    """By Spark's own choice, which goes by compressed files and by what explodes and Python functions read."""
+    import corpus_pipeline
+    from quillstack.llm import line_dedup, minhash
+
+    plans = {}
+    for m in (line_dedup, minhash):
+        monkeypatch.setattr(m, "staged", lambda d, label, *a, _f=m.staged: plans.update({label: d._jdf.queryExecution().executedPlan().toString()}) or _f(d, label, *a))
+    d = spark.createDataFrame([(i, f"some words of a line that is long enough {i % 7}\nand another {i % 5}", "en", "web", 60) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.line_stage(spark, d, "")
+    corpus_pipeline.near_duplicate_stage(spark, d, "")
+    assert all("SortMergeJoin" in plans[x] and "Broadcast" not in plans[x] for x in ("lines-near", "mh-copies"))
