@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +20,9 @@ from .numbering import numbered
 
 # Weights of a phrase by its place and length.
 TITLE_WEIGHT, TITLE_STEP, ABSTRACT_WEIGHT, ABSTRACT_STEP, BOTH_BONUS, TITLE_BONUS = 0.55, 0.25, 1.25, 0.55, 1.35, 0.5
-MINED, STORED, LONGEST = 14, 24, 64
+MINED, STORED, LONGEST, TITLE_LETTERS = 14, 24, 64, 11
+#: Tokens that are counted at once, unless a row has more.
+SLICE = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -78,27 +85,88 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def phrase_scores(df: DataFrame, id_col: str, title: str, abstract: str, lex: Lexicon | None = None) -> DataFrame:
+def phrase_counts(lex: Lexicon, met_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow, of rows (id, title tokens, abstract tokens): (id, phrase, n, title_hits, abstract_hits) of each row.
+
+    Tokens are numbers while they are counted, SLICE of them at a time; words are put together for what is returned.
+    met_only: only what met() lets pass, for rows that are all there is of their id.
+    """
+
+    def may_be(t: str) -> bool:  # as is_candidate()
+        bare = re.sub("[^a-z0-9]+", "", t)
+        return t not in lex.stop and t not in lex.noise and not re.fullmatch(r"[0-9]+[+]?", t) and not re.fullmatch("[0-9]*", bare) and (len(bare) > 2 or t in lex.formats)
+
+    def counted(ids: pa.Array, titles: pa.Array, abstracts: pa.Array) -> Iterator[pa.RecordBatch]:
+        parts = (titles, 1), (abstracts, 0)
+        rows = [np.repeat(np.arange(len(ids)), pc.list_value_length(x).to_numpy(zero_copy_only=False)) for x, _ in parts]
+        in_title, row = np.concatenate([np.full(len(r), k) for r, (_, k) in zip(rows, parts, strict=True)]), np.concatenate(rows)
+        tokens = pa.concat_arrays([x.flatten() for x, _ in parts]).dictionary_encode()
+        words, code = tokens.dictionary, tokens.indices.to_numpy().astype(np.int64)
+        good = np.array([may_be(w) for w in words.to_pylist()], dtype=bool)[code]
+        size = pc.binary_length(words).to_numpy().astype(np.int64)  # tokens are ASCII
+        at, group = np.flatnonzero(good), row
+        for n in (1, 2, 3):
+            if n > 1:
+                at = at[at + n - 1 < len(code)]
+                end = at + n - 1
+                at = at[good[end] & (row[end] == row[at]) & (in_title[end] == in_title[at])]
+            # the phrase's number: that of the phrase without its last word (at first, the row's) with the last word
+            _, first, which = np.unique(group[at] * len(words) + code[at + n - 1], return_index=True, return_inverse=True)
+            group = np.zeros(len(code), dtype=np.int64)
+            group[at] = which
+            title_hits = np.bincount(which, in_title[at], len(first)).astype(np.int64)
+            abstract_hits = np.bincount(which, minlength=len(first)) - title_hits
+            start = at[first]
+            letters = sum(size[code[start + k]] for k in range(n))
+            keep = letters + n - 1 <= LONGEST
+            if met_only:
+                keep &= np.where(title_hits > 0, (abstract_hits > 0) | (letters >= TITLE_LETTERS), abstract_hits >= 2)
+            start = start[keep]
+            phrase = pc.binary_join_element_wise(*(words.take(pa.array(code[start + k])) for k in range(n)), " ")
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[start])), phrase, pa.array(np.full(len(start), n, dtype=np.int32)), pa.array(title_hits[keep]), pa.array(abstract_hits[keep])], names=["id", "phrase", "n", "title_hits", "abstract_hits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            upto = np.cumsum(sum(pc.list_value_length(b.column(k)).to_numpy(zero_copy_only=False) for k in (1, 2)))
+            lo = 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + SLICE, "right")))
+                yield from counted(*(c.slice(lo, hi - lo) for c in b.columns))
+                lo = hi
+
+    return run
+
+
+def phrase_scores(df: DataFrame, id_col: str, title: str, abstract: str, lex: Lexicon | None = None, met_only: bool = False) -> DataFrame:
     """(id, phrase, n, title_hits, abstract_hits, score) of all candidate phrases of one to three words (AGG-16, KWX-04).
 
-    Each token is tested once: what is no candidate becomes null, which no phrase may hold.  A row for each token and
-    the two after it then gives its phrases, counted by an aggregation that is partial before the shuffle.
+    Phrases are counted row by row.  Those of rows that share an id, or have none, are then added up; all others are
+    final, and don't go through a shuffle.  met_only: phrases that mined_phrases() drops for being met too seldom may
+    be left out.
     """
     lex = lex or Lexicon()
-    df = spread(df.select(F.col(id_col), F.col(title), F.col(abstract)))
-    tested = lambda c: F.transform(keyword_tokens(mining_fragment(c)), lambda x: F.when(is_candidate(x, lex), x))
-    base = df.select(F.col(id_col).alias("id"), F.explode(F.array(F.struct(F.lit(1).alias("in_title"), tested(title).alias("t")), F.struct(F.lit(0).alias("in_title"), tested(abstract).alias("t")))).alias("x")).select("id", "x.*")
-    after = lambda n: F.slice("t", F.lit(1 + n), F.greatest(F.size("t") - n, F.lit(0)))
-    runs = base.select("id", "in_title", F.explode(F.arrays_zip(F.col("t").alias("a"), after(1).alias("b"), after(2).alias("c"))).alias("x")).select("id", "in_title", "x.*").where("a IS NOT NULL")
-    two, three = F.concat("a", F.lit(" "), "b"), F.concat("a", F.lit(" "), "b", F.lit(" "), "c")  # null where a part is
-    each = F.explode(F.array(*(F.struct(p.alias("phrase"), F.lit(n).alias("n")) for n, p in ((1, F.col("a")), (2, two), (3, three))))).alias("p")
-    e = runs.select("id", "in_title", each).select("id", "in_title", "p.*").where(F.col("phrase").isNotNull() & (F.length("phrase") <= LONGEST))
-    g = e.groupBy("id", "phrase", "n").agg(F.sum("in_title").alias("title_hits"), F.sum(1 - F.col("in_title")).alias("abstract_hits"))
+    df = df.select(F.col(id_col).alias("id"), F.col(title).alias("t"), F.col(abstract).alias("a"))
+    known, kind = df.where("id IS NOT NULL"), df.schema["id"].dataType.simpleString()
+    again = known.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id")
+
+    def counts(rows: DataFrame, met_only: bool) -> DataFrame:
+        tokens = rows.select("id", *(keyword_tokens(mining_fragment(c)).alias(c) for c in ("t", "a")))
+        return tokens.mapInArrow(phrase_counts(lex, met_only), f"id {kind}, phrase string, n int, title_hits long, abstract_hits long")
+
+    shared = counts(known.join(again, "id", "left_semi").unionByName(spread(df.where("id IS NULL"))), False)
+    shared = shared.groupBy("id", "phrase", "n").agg(F.sum("title_hits").alias("title_hits"), F.sum("abstract_hits").alias("abstract_hits"))
+    g = counts(spread(known.join(again, "id", "left_anti")), met_only).unionByName(shared)
     bonus = F.when((F.col("title_hits") > 0) & (F.col("abstract_hits") > 0), BOTH_BONUS).when(F.col("title_hits") > 0, TITLE_BONUS).otherwise(0.0)
     score = F.col("title_hits") * (TITLE_WEIGHT + TITLE_STEP * (F.col("n") - 1)) + F.col("abstract_hits") * (ABSTRACT_WEIGHT + ABSTRACT_STEP * (F.col("n") - 1)) + bonus
     return g.withColumn("score", F.round(score, 6))
 
 
+def met(p: Column) -> Column:
+    """Whether a phrase is met often enough: outside the title twice; of the title alone it must be of TITLE_LETTERS letters."""
+    in_title, letters = F.col("title_hits") > 0, F.length(F.replace(p, F.lit(" "), F.lit("")))
+    return F.when(in_title, (F.col("abstract_hits") > 0) | (letters >= TITLE_LETTERS)).otherwise(F.col("abstract_hits") >= 2)
+
+
 def mined_phrases(scores: DataFrame, lex: Lexicon | None = None) -> DataFrame:
     """Of phrase_scores() those that may be keywords (KWX-04).
 
@@ -107,18 +175,17 @@ def mined_phrases(scores: DataFrame, lex: Lexicon | None = None) -> DataFrame:
     and not end like a verb or adverb.
     """
     lex = lex or Lexicon()
-    p, in_title, twice = F.col("phrase"), F.col("title_hits") > 0, F.col("abstract_hits") >= 2
-    met = F.when(in_title, (F.col("abstract_hits") > 0) | (F.length(F.replace(p, F.lit(" "), F.lit(""))) >= 11)).otherwise(twice)
+    p, twice = F.col("phrase"), F.col("abstract_hits") >= 2
     plain = twice & (F.col("title_hits") + F.col("abstract_hits") >= 3) & (F.length(p) >= 6)
     single = ~p.isin(*lex.unigram_noise) & (~p.rlike("(ly|ed|ing)$") | p.isin(*lex.kept_endings)) & (is_technical(p, lex) | plain)
     # most phrases are met once: they go before anything else is looked at
-    return scores.where(met).where(~p.isin(*lex.noise) & ~is_low_signal(F.split(p, " "), lex) & ((F.col("n") > 1) | single))
+    return scores.where(met(p)).where(~p.isin(*lex.noise) & ~is_low_signal(F.split(p, " "), lex) & ((F.col("n") > 1) | single))
 
 
 def mined_keywords(df: DataFrame, id_col: str, title: str, abstract: str, lex: Lexicon | None = None, limit: int = MINED) -> DataFrame:
     """(id, keywords): the best phrases; one that lies in another taken before is passed over, one that holds another takes its place (KWX-04, LIM-02)."""
     lex = lex or Lexicon()
-    s = mined_phrases(phrase_scores(df, id_col, title, abstract, lex), lex)
+    s = mined_phrases(phrase_scores(df, id_col, title, abstract, lex, met_only=True), lex)
     # a document's own phrases, as many as it has
     lists = s.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("phrase")))).alias("ranked"))
     phrases = F.transform("ranked", lambda x: F.struct(format_phrase(x["phrase"], lex).alias("phrase"), alnum_key(format_phrase(x["phrase"], lex)).alias("key")))

@@ -335,7 +335,7 @@ def _fragment(x: str) -> str:
 def mined_phrases(spark: SparkSession, sf: str) -> DataFrame:
     """AGG-16, KWX-04, KWX-05, KWX-06, KWX-07, TXT-16: the phrases of every document that may be keywords, with their scores."""
     d = t(spark, sf, "documents").withColumn("title", F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1))
-    return keywords.mined_phrases(keywords.phrase_scores(d, "doc_id", "title", "text", LEXICON), LEXICON).select("id", "phrase", F.round("score", 4).alias("score"))
+    return keywords.mined_phrases(keywords.phrase_scores(d, "doc_id", "title", "text", LEXICON, met_only=True), LEXICON).select("id", "phrase", F.round("score", 4).alias("score"))
 
 
 def _choice_sql() -> str:

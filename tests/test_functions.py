@@ -174,6 +174,32 @@ def test_mined_keywords_equal_a_plain_loop(spark, limit):
     assert max(map(len, got.values())) <= limit and len(got) > 30
 
 
+def test_phrases_of_rows_that_share_an_id_are_added_up(spark, monkeypatch):
+    """Whatever is left out early: phrases of single rows are final, those of others are not."""
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(keywords, "SLICE", 20)
+    r, words = random.Random(6), "loop fusion vectorization gpu-offload ir the 2020 12+ x86 ab code".split()
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(i if i % 5 else None, text(r.randint(0, 5)), text(r.randint(0, 12))) for i in [*range(30), 3, 3, 4]] + [(90, None, None), (91, "", "fusion " * 60)]
+    lex, want = keywords.Lexicon(), Counter()
+    for i, *both in rows:
+        for in_title, t in zip((1, 0), both, strict=True):
+            t = (t or "").replace("gpu-offload", "gpu -offload").replace("12+", "12 +").split()
+            t = [w for w in ([x.lstrip("-+") for x in t]) if w]
+            for n in (1, 2, 3):
+                for k in range(len(t) - n + 1):
+                    if not {"the", "2020", "12", "ab"} & set(t[k : k + n]):
+                        want[i, " ".join(t[k : k + n]), n, in_title] += 1
+    d = spark.createDataFrame(rows, "id int, title string, abstract string").repartition(3)
+    got = {(x["id"], x["phrase"], x["n"]): (x["title_hits"], x["abstract_hits"]) for x in keywords.phrase_scores(d, "id", "title", "abstract", lex).collect()}
+    assert got == {k[:3]: (want[*k[:3], 1], want[*k[:3], 0]) for k in list(want)}
+    every, early = (sorted(keywords.mined_phrases(keywords.phrase_scores(d, "id", "title", "abstract", lex, met_only=m), lex).collect(), key=str) for m in (False, True))
+    assert early == every and {x["id"] for x in early} >= {3, None, 91}
+    assert keywords.phrase_scores(d, "id", "title", "abstract", lex, met_only=True).count() < len(got)
+
+
 def test_mining_predicates(spark):
     lex = keywords.Lexicon()
     assert values(spark, lambda c: keywords.is_candidate(c, lex), "the", "2020", "12+", "ir", "ab", "a-", "loop", "x86") == [False, False, False, True, False, False, True, True]
